@@ -6,6 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import url_filters
+from .mixing import mix
+from .packing import pack
 from .substring_dedup import substring_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -19,6 +22,23 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(table(spark, sf_dir, "documents"), with_text=False)
 
 
-QUERIES: dict[str, Query] = {"op1_substring_dedup": op1_substring_dedup}
+def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filters.url_filter(table(spark, sf_dir, "pages"))
 
-ORACLES: dict[str, str] = {}
+
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"))
+
+
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(table(spark, sf_dir, "documents")).drop("row")
+
+
+QUERIES: dict[str, Query] = {
+    "op1_substring_dedup": op1_substring_dedup,
+    "op2_url_filters": op2_url_filters,
+    "op3_packing": op3_packing,
+    "op10_mixing": op10_mixing,
+}
+
+ORACLES: dict[str, str] = {"op2_url_filters": url_filters.oracle()}
