@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import url_filters
+from .fingerprints import document_fingerprints
 from .mixing import mix
 from .packing import pack
 from .substring_dedup import substring_dedup
@@ -30,6 +31,10 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
+def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return document_fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).drop("row")
 
@@ -38,6 +43,7 @@ QUERIES: dict[str, Query] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_url_filters": op2_url_filters,
     "op3_packing": op3_packing,
+    "op7_fingerprints": op7_fingerprints,
     "op10_mixing": op10_mixing,
 }
 

@@ -73,14 +73,22 @@ class Words:
     starts: np.ndarray
     ends: np.ndarray
     data: np.ndarray
+    stems: dict[int, np.ndarray]
+
+    def doc(self, at: np.ndarray) -> np.ndarray:
+        """Of word positions, the document's place in this chunk."""
+        return np.searchsorted(self.bounds, at, side="right") - 1
 
     def room(self) -> np.ndarray:
         """For each word, how many words its document has from it on."""
         return np.repeat(self.bounds[1:], np.diff(self.bounds)) - np.arange(len(self.hashes))
 
 
-def hashed_words(data: np.ndarray, offsets: np.ndarray) -> Iterator[Words]:
-    """Word hashes of whole documents, some half megabyte of text at a time (or one longer document)."""
+def hashed_words(data: np.ndarray, offsets: np.ndarray, stems: tuple[int, ...] = ()) -> Iterator[Words]:
+    """Word hashes of whole documents, some half megabyte of text at a time (or one longer document).
+
+    stems: byte lengths; for each, the hash of a word's first bytes as if they were the word (0 for shorter words).
+    """
     at, n = 0, len(offsets) - 1
     while at < n:
         to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + CHUNK_BYTES, side="right")) - 1)
@@ -98,7 +106,11 @@ def hashed_words(data: np.ndarray, offsets: np.ndarray) -> Iterator[Words]:
         sums = np.zeros(len(own) + 1, U64)
         np.cumsum(_byte_value[own] * up[: len(own)], dtype=U64, out=sums[1:])
         hashes = mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(U64) * _STEP)
-        yield Words(at, hashes, np.searchsorted(starts, edges), starts, ends, own)
+        cut = {}
+        for n in stems:
+            to_n = np.minimum(starts + n, ends)
+            cut[n] = np.where(ends - starts >= n, mix((sums[to_n] - sums[starts]) * down[starts] + U64(n) * _STEP), U64(0))
+        yield Words(at, hashes, np.searchsorted(starts, edges), starts, ends, own, cut)
         at = to
 
 
