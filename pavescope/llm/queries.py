@@ -11,6 +11,7 @@ from .fingerprints import document_fingerprints
 from .mixing import mix
 from .packing import pack
 from .substring_dedup import substring_dedup
+from .toxicity import toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -31,6 +32,10 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return document_fingerprints(table(spark, sf_dir, "documents"))
 
@@ -43,6 +48,7 @@ QUERIES: dict[str, Query] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_url_filters": op2_url_filters,
     "op3_packing": op3_packing,
+    "op6_toxicity": op6_toxicity,
     "op7_fingerprints": op7_fingerprints,
     "op10_mixing": op10_mixing,
 }

@@ -107,9 +107,9 @@ def hashed_words(data: np.ndarray, offsets: np.ndarray, stems: tuple[int, ...] =
         np.cumsum(_byte_value[own] * up[: len(own)], dtype=U64, out=sums[1:])
         hashes = mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(U64) * _STEP)
         cut = {}
-        for n in stems:
-            to_n = np.minimum(starts + n, ends)
-            cut[n] = np.where(ends - starts >= n, mix((sums[to_n] - sums[starts]) * down[starts] + U64(n) * _STEP), U64(0))
+        for size in stems:
+            to_size = np.minimum(starts + size, ends)
+            cut[size] = np.where(ends - starts >= size, mix((sums[to_size] - sums[starts]) * down[starts] + U64(size) * _STEP), U64(0))
         yield Words(at, hashes, np.searchsorted(starts, edges), starts, ends, own, cut)
         at = to
 
