@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import url_filters
 from .fingerprints import document_fingerprints
+from .hmm import language_scores
 from .mixing import mix
 from .packing import pack
 from .substring_dedup import substring_dedup
@@ -40,6 +41,10 @@ def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return document_fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op8_language_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_scores(table(spark, sf_dir, "documents"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).drop("row")
 
@@ -50,6 +55,7 @@ QUERIES: dict[str, Query] = {
     "op3_packing": op3_packing,
     "op6_toxicity": op6_toxicity,
     "op7_fingerprints": op7_fingerprints,
+    "op8_language_scores": op8_language_scores,
     "op10_mixing": op10_mixing,
 }
 
