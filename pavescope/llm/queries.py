@@ -8,11 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import url_filters
 from .fingerprints import document_fingerprints
+from .hilbert_ann import nearest
 from .hmm import language_scores
 from .mixing import mix
 from .packing import pack
 from .substring_dedup import substring_dedup
 from .toxicity import toxicity
+from .warc import archived
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -33,6 +35,14 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archived(table(spark, sf_dir, "pages"))
+
+
+def op5_hilbert_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -53,6 +63,8 @@ QUERIES: dict[str, Query] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_url_filters": op2_url_filters,
     "op3_packing": op3_packing,
+    "op4_warc": op4_warc,
+    "op5_hilbert_ann": op5_hilbert_ann,
     "op6_toxicity": op6_toxicity,
     "op7_fingerprints": op7_fingerprints,
     "op8_language_scores": op8_language_scores,
