@@ -10,6 +10,7 @@ from . import url_filters
 from .fingerprints import document_fingerprints
 from .hilbert_ann import nearest
 from .hmm import language_scores
+from .jaccard_join import jaccard_components
 from .mixing import mix
 from .packing import pack
 from .substring_dedup import substring_dedup
@@ -55,6 +56,10 @@ def op8_language_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_scores(table(spark, sf_dir, "documents"))
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).drop("row")
 
@@ -68,6 +73,7 @@ QUERIES: dict[str, Query] = {
     "op6_toxicity": op6_toxicity,
     "op7_fingerprints": op7_fingerprints,
     "op8_language_scores": op8_language_scores,
+    "op9_jaccard_join": op9_jaccard_join,
     "op10_mixing": op10_mixing,
 }
 
