@@ -23,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import sketch
@@ -266,3 +266,22 @@ def labelled(join: Join) -> DataFrame:
     rows = join.rows.select("doc_id", "n", "a", "b")
     full = rows.where("n > 0").join(named, ["a", "b"]).where("n = n_class").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     return full.unionByName(rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+
+
+def representatives(docs: DataFrame, k: int = SHINGLE, least: int = LEAST) -> DataFrame:
+    """The rows of docs that stay when each group of linked documents keeps one: its least doc_id (nulls last), ties to the least text hash.
+
+    Rows without words stay; of rows that repeat a kept one, one stays. All columns are kept.
+    """
+    join = Join(docs, k, least)
+    join.run()
+    best = F.min(F.struct(F.col("label").isNull().alias("bare"), "label", "text_hash"))
+    kept = join.classes.join(join.components, "node").groupBy("component").agg(best.alias("best")).select(F.col("best.label").alias("_label"), F.col("best.text_hash").alias("_hash"))
+    bare = join.rows.where("n = 0").select(F.col("doc_id").alias("_label"), F.col("text_hash").alias("_hash")).distinct()
+    hashed = F.xxhash64(docs["text"])
+    kept = kept.unionByName(bare).distinct()
+    out = docs.join(kept, docs["doc_id"].eqNullSafe(kept["_label"]) & (hashed == kept["_hash"]), "left_semi")
+    if join._repeated():
+        number = F.row_number().over(Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(F.lit(0)))
+        out = out.withColumn("_nth", number).where((F.col("_nth") == 1) | (F.coalesce(F.regexp_count("text", F.lit(tx.WORD)), F.lit(0)) == 0)).drop("_nth")
+    return out

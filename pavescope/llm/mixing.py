@@ -111,3 +111,38 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
     rest = rest.select("src", F.when(~F.col("null_id"), F.col("k")).alias("doc_id"), "row", "size", F.lit(0).cast("long").alias("taken"), F.array_repeat(F.lit(0).cast("long"), MOST_PASSES).alias("passes"), F.explode(F.sequence(F.lit(1), F.col("more"))).alias("_i")).drop("_i")
     table = docs.sparkSession.createDataFrame([(i, n, t) for i, (_, n, t) in enumerate(m.sources)], "src int, source_size long, target double")
     return taken.unionByName(rest).join(table, "src").select("doc_id", "size", "source_size", "target", "taken", "passes", "row")
+
+
+def _prefix(text: str, words: int) -> str:
+    data, offsets = tx.text_bytes(pa.array([text]))
+    (found,) = tx.hashed_words(data, offsets)
+    return data[: found.ends[words - 1]].tobytes().decode()
+
+
+def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
+    """The mixed corpus with the columns of docs: a row for each pass over a document, with the words that pass took.
+
+    A pass that the mix leaves in the middle of a document ends its text there (and n_chars, if there is one).
+    """
+    plays = mix(docs, weights).select(F.col("row").alias("_row"), F.col("size").alias("_size"), F.explode("passes").alias("_words")).where("_words > 0")
+    named = docs.withColumn("_row", F.xxhash64("doc_id", "source", "text"))
+    counts = named.groupBy("_row").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    if not counts.isEmpty():  # plays of equal rows are interchangeable
+        named = named.dropDuplicates(["_row"])
+    played, names = named.join(plays, "_row"), docs.columns
+
+    def cut(batches):
+        for batch in batches:
+            partial = np.flatnonzero(batch.column("_words").to_numpy() < batch.column("_size").to_numpy())
+            columns = {name: batch.column(name) for name in names}
+            if len(partial):
+                texts = batch.column("text").to_pylist()
+                for i in partial.tolist():
+                    texts[i] = _prefix(texts[i], batch.column("_words")[i].as_py())
+                columns["text"] = pa.array(texts, pa.string())
+                if "n_chars" in columns:
+                    sizes, own = columns["n_chars"].to_pylist(), set(partial.tolist())
+                    columns["n_chars"] = pa.array([len(t) if i in own else n for i, (t, n) in enumerate(zip(texts, sizes))], columns["n_chars"].type)
+            yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
+
+    return played.mapInArrow(cut, docs.schema)

@@ -154,6 +154,8 @@ def _cut(window: int, with_text: bool):
         out = {"doc_id": docs.column("doc_id"), "n_words": pa.array(total, pa.int64()), "n_removed": pa.array(gone, pa.int64()), "kept_sha256": pa.array(digest, pa.string())}
         if with_text:
             out |= {"kept_text": pa.array(kept_text, pa.string()), "spans": pa.array(spans_out, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))}
+        if "carried" in docs.column_names:
+            out["carried"] = docs.column("carried")
         return pa.table(out)
 
     return run
@@ -170,15 +172,17 @@ def _without(raw: bytes, spans: list[list[int]]) -> str:
     return b"".join([*out, raw[at:]]).decode()
 
 
-def substring_dedup(docs: DataFrame, window: int = WINDOW, k: int = K, with_text: bool = True) -> DataFrame:
+def substring_dedup(docs: DataFrame, window: int = WINDOW, k: int = K, with_text: bool = True, carried: list[str] | None = None) -> DataFrame:
     """Per row of docs: doc_id, n_words, n_removed, kept_sha256 and, with_text, kept_text and spans of removed words.
 
+    carried: other columns of docs to return with each row, as a struct ``carried``.
+
     Null, empty and short texts lose nothing (null counts as empty; kept_text of an untouched row is
     its text, null included). An empty table gives an empty result. Rows that share a doc_id are
     ordered by text, the later ones losing what the earlier have. A null doc_id comes after all others.
     Other columns are not looked at.
     """
-    dealt, n = tx.by_shard(docs)
+    dealt, n = tx.by_shard(docs, carried)
     counted = dealt.mapInArrow(_count_seeds(window, k), "seed long, shard int, places byte")
     everywhere = Window.partitionBy("seed")
     recurring = counted.withColumn("all", F.sum("places").over(everywhere)).where("all > 1").select("seed", "shard")
@@ -188,4 +192,6 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, k: int = K, with_text
     owner = F.when(F.col("doc_id") != NULL_ID, F.col("doc_id"))
     repeats = repeats.withColumn("shard", F.pmod(F.xxhash64(owner), F.lit(n * tx.SHARDS_EACH)).cast("int")).repartition(n, "shard")
     out = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string, spans array<struct<start:int,end:int>>" * with_text
+    if carried:
+        out += f", carried {dealt.schema['carried'].dataType.simpleString()}"
     return dealt.groupBy("shard").cogroup(repeats.groupBy("shard")).applyInArrow(_cut(window, with_text), out)

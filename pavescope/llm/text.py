@@ -146,13 +146,14 @@ def partitions_for(docs: DataFrame, text: str = "text") -> int:
     return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // PARTITION_BYTES))
 
 
-def by_shard(docs: DataFrame) -> tuple[DataFrame, int]:
-    """(doc_id, text, shard) dealt out so that a shard lies in one task; and the number of partitions.
+def by_shard(docs: DataFrame, carried: list[str] | None = None) -> tuple[DataFrame, int]:
+    """(doc_id, text, shard, and a struct of carried columns) dealt out so that a shard lies in one task; and the number of partitions.
 
     Plans that use the returned frame more than once share its exchange.
     """
     n = partitions_for(docs)
-    return docs.select("doc_id", "text", doc_shard(n * SHARDS_EACH).alias("shard")).repartition(n, "shard"), n
+    more = [F.struct(*carried).alias("carried")] if carried else []
+    return docs.select("doc_id", "text", doc_shard(n * SHARDS_EACH).alias("shard"), *more).repartition(n, "shard"), n
 
 
 def shared_dir(spark: SparkSession) -> str:

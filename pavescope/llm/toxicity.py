@@ -16,6 +16,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from . import boosting
 from . import text as tx
@@ -197,7 +198,7 @@ def scored(docs: DataFrame, model: Model, name: str = "toxicity") -> DataFrame:
             scores = pa.array(sent.value.score(batch.column("text")), pa.float64())
             yield pa.RecordBatch.from_arrays([*batch.columns, scores], [*batch.schema.names, name])
 
-    schema = docs.schema.add(name, "double")
+    schema = StructType([*docs.schema.fields, StructField(name, DoubleType())])
     return docs.mapInArrow(run, schema)
 
 
