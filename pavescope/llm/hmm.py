@@ -55,9 +55,11 @@ def _shard_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     """shard, token, c: distinct tokens of each shard in the task with their counts in training texts (0 where in none)."""
     shards: dict[int, tuple[Counter, Counter]] = {}
     for batch in batches:
-        docs, _ = _tokens(batch.column("text"))
-        for shard, train, words in zip(batch.column("shard").to_pylist(), batch.column("train").to_pylist(), docs):
-            shards.setdefault(shard, (Counter(), Counter()))[not train].update(words)
+        for a in range(0, batch.num_rows, 256):
+            part = batch.slice(a, 256)
+            docs, _ = _tokens(part.column("text"))
+            for shard, train, words in zip(part.column("shard").to_pylist(), part.column("train").to_pylist(), docs):
+                shards.setdefault(shard, (Counter(), Counter()))[not train].update(words)
     for shard in list(shards):
         train, other = shards.pop(shard)
         tokens = [*train, *(w for w in other if w not in train)]
@@ -273,7 +275,7 @@ def language_scores(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """
     spark = docs.sparkSession
     n = tx.partitions_for(docs)
-    source = docs.select("doc_id", "text", (~held_out()).alias("train"), tx.doc_shard(n * tx.SHARDS_EACH).alias("shard"))
+    source = docs.select("doc_id", "text", (~held_out()).alias("train"), tx.doc_shard(2 * n).alias("shard"))
     dealt = source.repartition(n, "shard")
     gathered = dealt.mapInArrow(_shard_counts, "shard int, token string, c long")
     # a token has one row for each shard that holds it
