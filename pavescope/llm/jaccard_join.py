@@ -34,6 +34,8 @@ SHINGLE = 3
 LEAST = 90
 SMALL, FAN, SPREAD, DEPTH = 48, 6, 2.5, 12
 GROUP_BYTES = 8 << 20
+#: Counters of rarity: 16 MB broadcast, whatever the corpus.
+RARITY_BITS = 23
 
 
 def shingles(words: tx.Words, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -77,7 +79,7 @@ def _prints(rarity: np.ndarray, k: int, least: int):
                 here = words.first + doc[begun]
                 n[here] = np.diff(np.r_[begun, len(doc)])
                 a[here], b[here] = (np.add.reduceat(tx.mix(own ^ tx.U64(salt)), begun) for salt in (0x51, 0xA7))
-                order = np.lexsort((own, rarity[sketch.counter_of(own)], doc))
+                order = np.lexsort((own, rarity[sketch.counter_of(own, RARITY_BITS)], doc))
                 sorted_own = own[order].view(np.int64)
                 for row, start, take in zip(here.tolist(), begun.tolist(), _window(n[here], least).tolist()):
                     pivots[row] = sorted_own[start : start + take]
@@ -86,22 +88,19 @@ def _prints(rarity: np.ndarray, k: int, least: int):
     return run
 
 
-def _sets(k: int):
-    """node and its sorted set, for rows of (node, a, b, text) whose text has the class's digest."""
+def _sets(bits: np.ndarray, k: int):
+    """doc_id, text_hash and the sorted set of the documents whose text hash is marked."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            node, a, b = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("node", "a", "b"))
-            out, sets = [], []
+            hashes = batch.column("text_hash").to_numpy(zero_copy_only=False)
+            batch = batch.take(pa.array(np.flatnonzero(sketch.marked(bits, hashes))))
+            sets: list[bytes] = [b""] * batch.num_rows
             for words in tx.hashed_words(*tx.text_bytes(batch.column("text"), lower=True)):
                 doc, own = shingles(words, k)
                 edges = np.searchsorted(doc, np.arange(len(words.bounds)))
-                for i, (x, y) in enumerate(zip(edges[:-1], edges[1:])):
-                    mine, row = own[x:y], words.first + i
-                    if tx.mix(mine ^ tx.U64(0x51)).sum(dtype=tx.U64) == a[row].view(tx.U64) and tx.mix(mine ^ tx.U64(0xA7)).sum(dtype=tx.U64) == b[row].view(tx.U64):
-                        out.append(row)
-                        sets.append(mine.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(node[out]), pa.array(sets, pa.binary())], ["node", "items"])
+                sets[words.first : words.first + len(words.bounds) - 1] = [own[x:y].tobytes() for x, y in zip(edges[:-1], edges[1:])]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(sets, pa.binary())], ["doc_id", "text_hash", "items"])
 
     return run
 
@@ -127,27 +126,51 @@ class Join:
         self.spark, self.least = docs.sparkSession, least
         self.n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         docs = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
-        counts, _ = sketch.corpus_counts(docs, lambda words: shingles(words, k)[1])
-        sent = self.spark.sparkContext.broadcast(np.log2(counts + 1).astype(np.uint8))
+        rarity, _ = sketch.corpus_counts(docs, lambda words: shingles(words, k)[1], bits=RARITY_BITS, as_kept=lambda sums: np.rint(256 * np.log2(sums + 1)).astype(np.uint16))
+        sent = self.spark.sparkContext.broadcast(rarity)
         prints = docs.mapInArrow(lambda batches: _prints(sent.value, k, least)(batches), "doc_id long, text_hash long, n long, a long, b long, pivots array<long>")
-        self.rows = tx.written(prints, "jaccard-prints")
+        prints = tx.written(prints, "jaccard-prints")
+        self.rows = tx.written(prints.drop("pivots"), "jaccard-rows")
         first = F.min(F.struct(F.col("doc_id").isNull().alias("bare"), "doc_id", "text_hash"))
-        classes = self.rows.where("n > 0").groupBy("a", "b", "n").agg(first.alias("first"), F.any_value("pivots").alias("pivots"))
+        classes = prints.where("n > 0").groupBy("a", "b", "n").agg(first.alias("first"), F.any_value("pivots").alias("pivots"))
         classes = classes.select("a", "b", "n", F.col("first.doc_id").alias("label"), "first.text_hash", "pivots")
         # numbers given once, in a written table
-        self.classes = tx.written(classes.withColumn("node", F.monotonically_increasing_id()), "jaccard-classes")
-        members = self.classes.select("node", "n", F.posexplode("pivots").alias("pos", "region"))
-        shared = members.groupBy("region").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
-        self.members = tx.written(members.join(shared, "region").select("region", "node", "n", "pos", "m"), "jaccard-members")
-        wanted = self.members.select("node").distinct().join(self.classes.select("node", "a", "b", "label", F.col("text_hash").alias("its_hash")), "node")
-        texts = docs.join(wanted, (docs.text_hash == wanted.its_hash) & docs.doc_id.eqNullSafe(wanted.label)).select("node", "a", "b", "text")
-        sets = texts.mapInArrow(_sets(k), "node long, items binary")
-        self.sets = tx.written(sets.dropDuplicates(["node"]) if self._repeated() else sets, "jaccard-sets")
+        full = tx.written(classes.withColumn("node", F.monotonically_increasing_id()), "jaccard-pivots")
+        tx.discard(prints)
+        self.classes = tx.written(full.drop("pivots"), "jaccard-classes")
+        members = full.select("node", F.col("n").cast("int").alias("n"), F.posexplode("pivots").alias("pos", "region"))
+        shared = members.groupBy("region").agg(F.count(F.lit(1)).alias("m"), F.min("pos").alias("least_pos")).where("m > 1")
+        # no partner of a member has fewer rarer shingles than the region's least; then intersection <= n - pos, union >= n + least_pos
+        hopeful = (F.col("pos") == F.col("least_pos")) | ((F.col("n") - F.col("pos")) * 100 >= (F.col("n") + F.col("least_pos")) * least)
+        met = tx.written(members.join(shared, "region").where(hopeful).select("region", "node", "n", "pos"), "jaccard-met")
+        tx.discard(full)
+        again = met.groupBy("region").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
+        self.members = tx.written(met.join(again, "region"), "jaccard-members")
+        tx.discard(met)
+        self.docs, self.k, self.sets, self.repeated = docs, k, None, None
         self.compared = None
         self.components = self.classes.select("node", F.col("node").alias("component"))
 
     def _repeated(self) -> bool:
-        return bool(self.rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("c")).where("c > 1").limit(1).count())
+        if self.repeated is None:
+            self.repeated = not self.rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("c")).where("c > 1").isEmpty()
+        return self.repeated
+
+    def _read_sets(self, pairs: DataFrame) -> None:
+        """The sets of what is to be compared, each read from its text once."""
+        wanted = pairs.select(F.col("x").alias("node")).unionByName(pairs.select(F.col("y").alias("node"))).distinct()
+        if self.sets is not None:
+            wanted = wanted.join(self.sets.select("node"), "node", "left_anti")
+        wanted = tx.written(wanted.join(self.classes.select("node", "label", F.col("text_hash").alias("its_hash")), "node"), "jaccard-wanted")
+        if wanted.isEmpty() and self.sets is not None:
+            return
+        # a bit for each wanted text hash, so that what is shuffled to the exact join are wanted sets and no texts
+        bits = self.spark.sparkContext.broadcast(sketch.marks(wanted, "its_hash"))
+        k = self.k
+        sets = self.docs.mapInArrow(lambda batches: _sets(bits.value, k)(batches), "doc_id long, text_hash long, items binary")
+        sets = sets.join(wanted, (sets.text_hash == wanted.its_hash) & sets.doc_id.eqNullSafe(wanted.label)).select("node", "items")
+        sets = tx.written(sets.dropDuplicates(["node"]) if self._repeated() else sets, "jaccard-sets")
+        self.sets = sets if self.sets is None else self.sets.unionByName(sets)
 
     def compare(self, pairs: DataFrame) -> DataFrame:
         """x, y, both, union of pairs (x < y) that have not been compared; added to ``compared``."""
@@ -155,6 +178,7 @@ class Join:
         if self.compared is not None:
             pairs = pairs.join(self.compared, ["x", "y"], "left_anti")
         pairs = tx.written(pairs, "jaccard-pairs")
+        self._read_sets(pairs)
         sizes = self.classes.select("node", "n")
         # partners of a set are cut into groups of about GROUP_BYTES
         cuts = pairs.join(sizes, pairs.y == sizes.node).groupBy("x").agg(F.ceil(F.sum("n") * 8 / F.lit(GROUP_BYTES)).cast("int").alias("cuts"))
@@ -188,17 +212,22 @@ class Join:
         moved = of.join(label, of.component == label.u, "left").select("node", F.coalesce("c", "component").alias("component"))
         self.components = tx.written(moved, "jaccard-components")
 
-    def near_sizes(self, n: str, m: str):
-        return F.least(n, m) * 100 >= F.greatest(n, m) * self.least
+    def may_link(self, n: str, pos: str, m: str, at: str):
+        """Whether sets of sizes n and m, with pos and at rarer shingles before the shared one, can link if it is the first they share.
+
+        Linked sets meet in the region of the first shingle they share, so no link is lost.
+        """
+        most = F.least(F.col(n) - F.col(pos), F.col(m) - F.col(at))
+        return most * 100 >= (F.col(n) + F.col(m) - most) * self.least
 
     def run(self) -> None:
         """All links between classes that are not connected otherwise."""
         centre = self.members.groupBy("region").agg(F.min(F.struct("pos", "n", "node")).alias("p"))
-        stars = self.members.join(centre, "region").where((F.col("node") != F.col("p.node")) & self.near_sizes("n", "p.n"))
+        stars = self.members.join(centre, "region").where((F.col("node") != F.col("p.node")) & self.may_link("n", "pos", "p.n", "p.pos"))
         stars = stars.select(F.least("node", "p.node").alias("x"), F.greatest("node", "p.node").alias("y"))
         self.compare(stars)
         self.connect(self.links())
-        regions, depth = self.members.select("region", "node", "n"), 0
+        regions, depth = self.members.select("region", "node", "n", "pos"), 0
         while True:
             regions = self.open_regions(regions)
             if regions.isEmpty():
@@ -216,12 +245,12 @@ class Join:
         """Members of regions that hold more than one component; of each, m members."""
         here = regions.join(self.components, "node")
         open_ = here.groupBy("region").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("m")).where("low < high").select("region", "m")
-        return tx.written(here.select("region", "node", "n", "component").join(open_, "region"), "jaccard-open")
+        return tx.written(here.select("region", "node", "n", "pos", "component").join(open_, "region"), "jaccard-open")
 
     def open_pairs(self, regions: DataFrame) -> DataFrame:
-        """Pairs in the same region, in different components, whose sizes allow a link."""
-        left, right = (regions.select("region", F.col("node").alias(a), F.col("n").alias(f"n_{a}"), F.col("component").alias(f"c_{a}")) for a in "xy")
-        return left.join(right, "region").where((F.col("x") < F.col("y")) & (F.col("c_x") != F.col("c_y")) & self.near_sizes("n_x", "n_y")).select("x", "y")
+        """Pairs in the same region and in different components that may link."""
+        left, right = (regions.select("region", F.col("node").alias(a), F.col("n").alias(f"n_{a}"), F.col("pos").alias(f"at_{a}"), F.col("component").alias(f"c_{a}")) for a in "xy")
+        return left.join(right, "region").where((F.col("x") < F.col("y")) & (F.col("c_x") != F.col("c_y")) & self.may_link("n_x", "at_x", "n_y", "at_y")).select("x", "y")
 
     def voronoi(self, large: DataFrame) -> tuple[DataFrame | None, DataFrame | None]:
         """Regions of FAN document pivots each in place of the given ones, with windows of 2 R; and what this does not part.
@@ -235,9 +264,9 @@ class Join:
         seen = self.compared.select("x", "y", (1 - F.col("both") / F.col("union")).alias("d"))
         far = pairs.withColumn("x", F.least("node", "pivot")).withColumn("y", F.greatest("node", "pivot")).join(seen, ["x", "y"], "left").withColumn("d", F.coalesce("d", F.lit(0.0)))
         homes = far.groupBy("region", "node").agg(F.min("d").alias("home"))
-        inside = tx.written(far.join(homes, ["region", "node"]).where(F.col("d") <= F.col("home") + 2 * (1 - self.least / 100) + 1e-9).select("region", "node", "n", "m", "component", "pivot"), "jaccard-voronoi")
+        inside = tx.written(far.join(homes, ["region", "node"]).where(F.col("d") <= F.col("home") + 2 * (1 - self.least / 100) + 1e-9).select("region", "node", "n", "pos", "m", "component", "pivot"), "jaccard-voronoi")
         even = inside.groupBy("region", "m").agg(F.count(F.lit(1)).alias("all")).where(F.col("all") > SPREAD * F.col("m")).select("region")
-        parts = inside.join(even, "region", "left_anti").select(F.xxhash64("region", "pivot").alias("region"), "node", "n")
+        parts = inside.join(even, "region", "left_anti").select(F.xxhash64("region", "pivot").alias("region"), "node", "n", "pos")
         return tx.written(parts, "jaccard-regions"), large.join(even, "region", "left_semi")
 
     def _pivots(self, regions: DataFrame) -> DataFrame:

@@ -1,7 +1,7 @@
 """Corpus-wide counts of hashed keys in a table of fixed size.
 
 Every occurrence in the corpus is counted; keys share a counter when their leading hash bits are equal.
-The table has 2 ** BITS counters whatever the corpus, so it may be broadcast; what tasks send for it
+The table has 2 ** bits counters whatever the corpus, so it may be broadcast; what tasks send for it
 grows with the input.
 """
 
@@ -19,19 +19,19 @@ from . import text as tx
 BITS, BLOCK_BITS = 20, 14
 
 
-def counter_of(hashes: np.ndarray) -> np.ndarray:
-    return (hashes >> tx.U64(64 - BITS)).astype(np.int64)
+def counter_of(hashes: np.ndarray, bits: int = BITS) -> np.ndarray:
+    return (hashes >> tx.U64(64 - bits)).astype(np.int64)
 
 
-def corpus_counts(docs: DataFrame, keys: Callable[[tx.Words], np.ndarray], lower: bool = True) -> tuple[np.ndarray, int]:
-    """The summed counters (float64) of keys(words) over all texts, and the number of rows of docs."""
+def corpus_counts(docs: DataFrame, keys: Callable[[tx.Words], np.ndarray], lower: bool = True, bits: int = BITS, as_kept: Callable[[np.ndarray], np.ndarray] = lambda sums: sums.astype(float)) -> tuple[np.ndarray, int]:
+    """The summed counters of keys(words) over all texts, block by block as_kept, and the number of rows of docs."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, rows = np.zeros(1 << BITS, np.int64), 0
+        own, rows = np.zeros(1 << bits, np.uint32), 0
         for batch in batches:
             rows += batch.num_rows
             for words in tx.hashed_words(*tx.text_bytes(batch.column("text"), lower)):
-                own += np.bincount(counter_of(keys(words)), minlength=1 << BITS)
+                np.add.at(own, counter_of(keys(words), bits), 1)
         if rows:
             blocks = own.reshape(-1, 1 << BLOCK_BITS)
             yield pa.RecordBatch.from_arrays([pa.array(range(-1, len(blocks)), pa.int32()), pa.array([str(rows).encode(), *(zlib.compress(b.tobytes(), 1) for b in blocks)], pa.binary())], ["block", "sums"])
@@ -43,13 +43,43 @@ def corpus_counts(docs: DataFrame, keys: Callable[[tx.Words], np.ndarray], lower
         else:
             summed = np.zeros(1 << BLOCK_BITS, np.int64)
             for x in table.column("sums"):
-                summed += np.frombuffer(zlib.decompress(x.as_py()), np.int64)
+                summed += np.frombuffer(zlib.decompress(x.as_py()), np.uint32)
             total = zlib.compress(summed.tobytes(), 1)
         return pa.table({"block": pa.array([block], pa.int32()), "sums": pa.array([total], pa.binary())})
 
     parts = docs.select("text").mapInArrow(count, "block int, sums binary")
     found = {r.block: bytes(r.sums) for r in parts.groupBy("block").applyInArrow(add, "block int, sums binary").collect()}
     if not found:
-        return np.zeros(1 << BITS), 0
+        return as_kept(np.zeros(1 << bits, np.int64)), 0
     rows = int(found.pop(-1))
-    return np.concatenate([np.frombuffer(zlib.decompress(found[b]), np.int64) for b in sorted(found)]).astype(float), rows
+    return np.concatenate([as_kept(np.frombuffer(zlib.decompress(found.pop(b)), np.int64)) for b in sorted(found)]), rows
+
+
+MARK_BITS = 24
+
+
+def marks(df: DataFrame, column: str) -> np.ndarray:
+    """One bit (2 ** MARK_BITS in all, whatever the input) for each leading-bits value of a 64-bit hash column, set where it occurs."""
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = np.zeros(1 << MARK_BITS, bool)
+        for batch in batches:
+            own[counter_of(batch.column(0).to_numpy(zero_copy_only=False).view(tx.U64), MARK_BITS)] = True
+        blocks = np.packbits(own).reshape(256, -1)
+        full = np.flatnonzero(blocks.any(1))
+        if len(full):
+            yield pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.array([blocks[b].tobytes() for b in full], pa.binary())], ["block", "bits"])
+
+    def join(table: pa.Table) -> pa.Table:
+        bits = np.bitwise_or.reduce([np.frombuffer(x.as_py(), np.uint8) for x in table.column("bits")])
+        return pa.table({"block": table.column("block").slice(0, 1), "bits": pa.array([bits.tobytes()], pa.binary())})
+
+    out = np.zeros((256, 1 << (MARK_BITS - 11)), np.uint8)
+    for r in df.select(column).mapInArrow(mark, "block int, bits binary").groupBy("block").applyInArrow(join, "block int, bits binary").collect():
+        out[r.block] = np.frombuffer(bytes(r.bits), np.uint8)
+    return out.ravel()
+
+
+def marked(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    at = counter_of(hashes.view(tx.U64), MARK_BITS)
+    return (bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
