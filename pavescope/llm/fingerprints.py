@@ -45,7 +45,7 @@ def lexicon(docs: DataFrame) -> np.ndarray:
 def hashes_of(texts: pa.Array, lexicon_bits: np.ndarray) -> np.ndarray:
     """Of each text the subset hashes, 0 for a subset without any of its terms."""
     out = np.zeros((len(texts), SUBSETS), np.uint32)
-    for words in tx.hashed_words(*tx.text_bytes(texts, lower=True)):
+    for words in tx.hashed_words(*tx.text_bytes(texts), lower=True):
         doc, terms = distinct_terms(words)
         kept = lexicon_bits[sketch.counter_of(terms)]
         doc, terms = doc[kept], terms[kept]

@@ -71,7 +71,7 @@ def _prints(rarity: np.ndarray, k: int, least: int):
             rows = batch.num_rows
             n, a, b = np.zeros(rows, np.int64), np.zeros(rows, tx.U64), np.zeros(rows, tx.U64)
             pivots: list = [[]] * rows
-            for words in tx.hashed_words(*tx.text_bytes(batch.column("text"), lower=True)):
+            for words in tx.hashed_words(*tx.text_bytes(batch.column("text")), lower=True):
                 doc, own = shingles(words, k)
                 if not len(doc):
                     continue
@@ -96,7 +96,7 @@ def _sets(bits: np.ndarray, k: int):
             hashes = batch.column("text_hash").to_numpy(zero_copy_only=False)
             batch = batch.take(pa.array(np.flatnonzero(sketch.marked(bits, hashes))))
             sets: list[bytes] = [b""] * batch.num_rows
-            for words in tx.hashed_words(*tx.text_bytes(batch.column("text"), lower=True)):
+            for words in tx.hashed_words(*tx.text_bytes(batch.column("text")), lower=True):
                 doc, own = shingles(words, k)
                 edges = np.searchsorted(doc, np.arange(len(words.bounds)))
                 sets[words.first : words.first + len(words.bounds) - 1] = [own[x:y].tobytes() for x, y in zip(edges[:-1], edges[1:])]

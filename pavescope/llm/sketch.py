@@ -30,7 +30,7 @@ def corpus_counts(docs: DataFrame, keys: Callable[[tx.Words], np.ndarray], lower
         own, rows = np.zeros(1 << bits, np.uint32), 0
         for batch in batches:
             rows += batch.num_rows
-            for words in tx.hashed_words(*tx.text_bytes(batch.column("text"), lower)):
+            for words in tx.hashed_words(*tx.text_bytes(batch.column("text")), lower=lower):
                 np.add.at(own, counter_of(keys(words), bits), 1)
         if rows:
             blocks = own.reshape(-1, 1 << BLOCK_BITS)

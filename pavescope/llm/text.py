@@ -50,7 +50,7 @@ def _powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
     return out[0], out[1]
 
 
-def text_bytes(column: pa.Array | pa.ChunkedArray, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
+def text_bytes(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """The concatenated UTF-8 bytes and the offsets of each text; nulls are empty texts."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
@@ -58,8 +58,6 @@ def text_bytes(column: pa.Array | pa.ChunkedArray, lower: bool = False) -> tuple
     offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int64)
     data = np.frombuffer(column.buffers()[2], np.uint8) if column.buffers()[2] is not None else np.zeros(0, np.uint8)
     data, offsets = data[offsets[0] : offsets[-1]], offsets - offsets[0]
-    if lower:
-        data = np.where((data >= 65) & (data <= 90), data + np.uint8(32), data)
     return data, offsets
 
 
@@ -84,15 +82,17 @@ class Words:
         return np.repeat(self.bounds[1:], np.diff(self.bounds)) - np.arange(len(self.hashes))
 
 
-def hashed_words(data: np.ndarray, offsets: np.ndarray, stems: tuple[int, ...] = ()) -> Iterator[Words]:
+def hashed_words(data: np.ndarray, offsets: np.ndarray, stems: tuple[int, ...] = (), lower: bool = False) -> Iterator[Words]:
     """Word hashes of whole documents, some half megabyte of text at a time (or one longer document).
 
-    stems: byte lengths; for each, the hash of a word's first bytes as if they were the word (0 for shorter words).
+    lower: with A-Z in lower case. stems: byte lengths; for each, the hash of a word's first bytes as if they were the word (0 for shorter words).
     """
     at, n = 0, len(offsets) - 1
     while at < n:
         to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + CHUNK_BYTES, side="right")) - 1)
         own, edges = data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at]
+        if lower:
+            own = np.where((own >= 65) & (own <= 90), own + np.uint8(32), own)
         inside = ~_separator[own]
         starting, ending = inside.copy(), inside.copy()
         starting[1:] &= ~inside[:-1]

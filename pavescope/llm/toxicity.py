@@ -26,6 +26,7 @@ MOST_LABELS = 20_000
 THRESHOLD = 0.7
 STEMS, NEAR = (4, 5, 6), 5
 MOST_TERMS, LEAST_TOXIC = 2_000, 4
+SLICE = 256
 
 # Words that insult in the four languages, and words that address a second person.
 INSULTS = (
@@ -81,6 +82,11 @@ def _among(values: np.ndarray, table: np.ndarray) -> np.ndarray:
 
 
 def features(texts: pa.Array, lexicon: Lexicon) -> np.ndarray:
+    """FEATURES of each text, SLICE texts at a time."""
+    return np.concatenate([np.zeros((0, len(FEATURES))), *(_features(texts.slice(a, SLICE), lexicon) for a in range(0, len(texts), SLICE))])
+
+
+def _features(texts: pa.Array, lexicon: Lexicon) -> np.ndarray:
     data, offsets = tx.text_bytes(texts)
     plain, spells = spelled_out(data)
     out = np.zeros((len(texts), len(FEATURES)))
@@ -122,8 +128,8 @@ def features(texts: pa.Array, lexicon: Lexicon) -> np.ndarray:
 
 
 def _term_docs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """kind (0 words, else a stem's length), hash, toxic and clean documents, summed over the batch."""
-    for batch in batches:
+    """kind (0 words, else a stem's length), hash, toxic and clean documents, summed over each slice."""
+    for batch in (whole.slice(a, SLICE) for whole in batches for a in range(0, whole.num_rows, SLICE)):
         toxic = batch.column("toxic").to_numpy(zero_copy_only=False).astype(bool)
         plain, _ = spelled_out((parts := tx.text_bytes(batch.column("text")))[0])
         kinds, hashes, bad = [], [], []
