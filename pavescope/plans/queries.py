@@ -327,3 +327,106 @@ def ext_tumbling(spark, d):
     from ..streaming.windows import tumbling
 
     return tumbling(t.read(spark, d, "events")).select("user_id", F.col("start"), "event_type", "n", F.round("total", 4).alias("total"))
+
+
+_BITS = "list_sum([CASE WHEN embedding[i + 2] > embedding[i + 1] THEN 1::BIGINT << i ELSE 0 END FOR i IN range(63)])::BIGINT"
+
+
+def _gradient_hash(spark: SparkSession, d: str) -> DataFrame:
+    e = F.col("embedding")
+    bit = lambda acc, i: acc + F.when(F.get(e, i + 1) > F.get(e, i), F.expr("shiftleft(1L, 0)") * F.pow(F.lit(2.0), i).cast("long")).otherwise(F.lit(0).cast("long"))
+    return t.read(spark, d, "embeddings").select("vec_id", F.aggregate(F.sequence(F.lit(0), F.lit(62)), F.lit(0).cast("long"), bit).alias("h"))
+
+
+@query(f"SELECT vec_id, {_BITS} AS h FROM embeddings")
+def gr_dhash(spark, d):
+    return _gradient_hash(spark, d)
+
+
+@query(f"WITH h AS (SELECT vec_id, {_BITS} AS h FROM embeddings) SELECT a.vec_id AS a, b.vec_id AS b, bit_count(xor(a.h, b.h))::INT AS bits FROM h a JOIN h b ON a.vec_id < b.vec_id AND bit_count(xor(a.h, b.h)) <= 14")
+def jn_hamming(spark, d):
+    """Of 63 bits in 15 bands, hashes at most 14 bits apart agree in one band at least."""
+    bands = F.posexplode(F.array(*[F.shiftright("h", i * 63 // 15).bitwiseAND(F.lit((1 << ((i + 1) * 63 // 15 - i * 63 // 15)) - 1)) for i in range(15)]))
+    h = _gradient_hash(spark, d).select("vec_id", "h", bands.alias("band", "bits"))
+    a, b = h.withColumnsRenamed({"vec_id": "a", "h": "ha"}), h.withColumnsRenamed({"vec_id": "b", "h": "hb"})
+    far = F.bit_count(F.col("ha").bitwiseXOR(F.col("hb")))
+    return a.join(b, ["band", "bits"]).where((F.col("a") < F.col("b")) & (far <= 14)).select("a", "b", far.alias("bits")).distinct()
+
+
+_NUMBER = "[0-9]+(?:[.,][0-9]+)?"
+
+
+@query(f"SELECT doc_id, len(m)::INT AS numbers, coalesce(list_bool_and([abs(x - n_chars) <= greatest(0.6, 0.005 * abs(n_chars)) OR abs(x - 90) <= 0.6 OR abs(x - 100) <= 0.6 OR abs(x - 30) <= 0.6 OR abs(x - 6) <= 0.6 OR abs(x - 12) <= 0.6 OR abs(x - 250) <= 1.25 OR abs(x - 3) <= 0.6 FOR x IN m]), true) AS faithful FROM (SELECT doc_id, n_chars, [replace(v, ',', '.')::DOUBLE FOR v IN regexp_extract_all(text, '{_NUMBER}')] AS m FROM documents)")
+def txt_faithful(spark, d):
+    """Whether every number of a text is near its fact or a rule's constant."""
+    values = F.transform(F.regexp_extract_all("text", F.lit(_NUMBER), 0), lambda v: F.replace(v, F.lit(","), F.lit(".")).cast("double"))
+    facts = F.array(F.col("n_chars").cast("double"), *[F.lit(float(v)) for v in (90, 100, 30, 6, 12, 250, 3)])
+    near = lambda v: F.exists(facts, lambda f: F.abs(v - f) <= F.greatest(F.lit(0.6), 0.005 * F.abs(f)))
+    return t.read(spark, d, "documents").select("doc_id", F.size(values).alias("numbers"), F.forall(values, near).alias("faithful"))
+
+
+@query("SELECT segment_id, substr(sha1(string_agg(image_id::VARCHAR, '' ORDER BY image_id::VARCHAR)), 1, 12) AS digest, 'VIA-' || substr(sha1(segment_id::VARCHAR), 1, 12) AS via FROM frames GROUP BY segment_id", "frames")
+def agg_sorted_hash(spark, d):
+    names = F.concat_ws("", F.array_sort(F.collect_list(F.col("image_id").cast("string"))))
+    return t.frames(spark, d).groupBy("segment_id").agg(F.substring(F.sha1(names), 1, 12).alias("digest")).withColumn("via", F.concat(F.lit("VIA-"), F.substring(F.sha1(F.col("segment_id").cast("string")), 1, 12)))
+
+
+@query("WITH s AS (SELECT c_custkey, " + _STATE.format("(c_acctbal / 100)") + " AS state, CASE WHEN c_custkey % 4 > 0 THEN (c_custkey % 110) / 10.0 END AS depth, (c_custkey % 9) / 10.0 AS conf FROM customer) SELECT c_custkey, state, CASE WHEN depth IS NULL THEN NULL WHEN depth < 2.5 THEN 'L' WHEN depth < 5 THEN 'M' ELSE 'H' END AS severity, CASE WHEN state IN ('malo', 'muy_malo') OR coalesce(depth, -1) >= 8 OR conf >= 0.5 THEN 'intervencion' WHEN state = 'regular' OR coalesce(depth, -1) >= 3 THEN 'mantenimiento' ELSE 'prevencion' END AS label FROM s")
+def prj_label_rules(spark, d):
+    s = t.read(spark, d, "customer").select("c_custkey", x.state(F.col("c_acctbal") / 100).alias("state"), F.when(F.col("c_custkey") % 4 > 0, F.col("c_custkey") % 110 / 10.0).alias("depth"), (F.col("c_custkey") % 9 / 10.0).alias("conf"))
+    deep = F.coalesce("depth", F.lit(float("-inf")))
+    severity = F.when(F.col("depth").isNull(), None).when(F.col("depth") < 2.5, "L").when(F.col("depth") < 5, "M").otherwise("H")
+    label = F.when(F.col("state").isin("malo", "muy_malo") | (deep >= 8) | (F.col("conf") >= 0.5), "intervencion").when((F.col("state") == "regular") | (deep >= 3), "mantenimiento").otherwise("prevencion")
+    return s.select("c_custkey", "state", severity.alias("severity"), label.alias("label"))
+
+
+@query("SELECT o_custkey, round(stddev_samp(o_totalprice), 4) AS sd, round(max(o_totalprice) - min(o_totalprice), 4) AS spread, count(DISTINCT o_orderpriority) = 1 AS agree, count(*) AS n FROM orders GROUP BY o_custkey")
+def fld_repeat(spark, d):
+    price = F.col("o_totalprice")
+    return t.read(spark, d, "orders").groupBy("o_custkey").agg(F.round(F.stddev_samp(price), 4).alias("sd"), F.round(F.max(price) - F.min(price), 4).alias("spread"), (F.count_distinct("o_orderpriority") == 1).alias("agree"), F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT bool_and(cx BETWEEN 0 AND 1 AND cy BETWEEN 0 AND 1) AS centres, bool_and(w > 0 AND h > 0) AS sizes, bool_and(cls IN ('D00', 'D10', 'D20', 'D40')) AS classes, count(*) FILTER (conf IS NULL) = 0 AS complete, count(DISTINCT image_id) AS images FROM boxes", "boxes")
+def dq_validate(spark, d):
+    inside = F.col("cx").between(0, 1) & F.col("cy").between(0, 1)
+    return t.all_boxes(spark, d).agg(F.bool_and(inside).alias("centres"), F.bool_and((F.col("w") > 0) & (F.col("h") > 0)).alias("sizes"), F.bool_and(F.col("cls").isin(*c.CLASSES)).alias("classes"), (F.count_if(F.col("conf").isNull()) == 0).alias("complete"), F.count_distinct("image_id").alias("images"))
+
+
+@query("WITH s AS (SELECT p_partkey, CASE WHEN p_size % 5 > 0 THEN ln(1 + p_retailprice) END AS v FROM part), f AS (SELECT p_partkey, coalesce(v, (SELECT median(v) FROM s)) AS v FROM s) SELECT p_partkey, round(least(greatest((v - avg(v) OVER ()) / stddev_samp(v) OVER (), -8), 8), 6) AS z FROM f")
+def ml_preproc(spark, d):
+    """log1p, median for missing, z-scores (ddof 1) clipped at 8: one row of statistics, then a projection."""
+    s = t.read(spark, d, "part").select("p_partkey", F.when(F.col("p_size") % 5 > 0, F.log1p("p_retailprice")).alias("v"))
+    filled = s.crossJoin(F.broadcast(s.agg(F.median("v").alias("m")))).select("p_partkey", F.coalesce("v", "m").alias("v"))  # one row
+    stats = filled.agg(F.avg("v").alias("mu"), F.stddev_samp("v").alias("sd"))
+    z = (F.col("v") - F.col("mu")) / F.when(F.col("sd") == 0, 1.0).otherwise(F.col("sd"))
+    return filled.crossJoin(F.broadcast(stats)).select("p_partkey", F.round(F.least(F.greatest(z, F.lit(-8.0)), F.lit(8.0)), 6).alias("z"))  # one row
+
+
+@query(f"WITH {_YP} SELECT round(avg((y BETWEEN p - 30 AND p + 25)::INT), 6) AS coverage, round(avg(55.0), 6) AS width, round(quantile_cont(abs(y - p), 0.9), 5) AS q90 FROM yp")
+def ev_coverage(spark, d):
+    hit = F.col("y").between(F.col("p") - 30, F.col("p") + 25).cast("double")
+    return _yp(spark, d).agg(r6(F.avg(hit), "coverage"), r6(F.avg(F.lit(55.0)), "width"), F.round(F.percentile(F.abs(F.col("y") - F.col("p")), F.lit(0.9)), 5).alias("q90"))
+
+
+@query("SELECT o_orderkey AS run_id, o_orderstatus AS status FROM orders WHERE o_orderkey % 3 <> 0 UNION ALL SELECT o_orderkey, 'new' FROM orders WHERE o_orderkey % 6 = 0")
+def snk_upsert(spark, d):
+    """History with the rows of new runs in place of old ones: anti join and union."""
+    old = t.read(spark, d, "orders").select(F.col("o_orderkey").alias("run_id"), F.col("o_orderstatus").alias("status"))
+    gone, new = old.where("run_id % 3 = 0").select("run_id"), old.where("run_id % 6 = 0").select("run_id", F.lit("new").alias("status"))
+    return old.join(gone, "run_id", "left_anti").unionByName(new)
+
+
+_CELL = "SELECT DISTINCT image_id, cls, x, y FROM b, LATERAL (SELECT unnest(range(greatest(0, trunc((cx - w / 2) * 64))::INT, least(64, ceil((cx + w / 2) * 64))::INT)) AS x), LATERAL (SELECT unnest(range(greatest(0, trunc((cy - h / 2) * 64))::INT, least(64, ceil((cy + h / 2) * 64))::INT)) AS y)"
+
+
+@query(f"+b AS (SELECT * FROM boxes WHERE conf >= 0.9), cells AS ({_CELL}) SELECT image_id, cls, round(count(*) / 4096.0, 6) AS area FROM cells GROUP BY image_id, cls", "boxes")
+def vis_union_area(spark, d):
+    """Share of a 64 x 64 raster that the boxes of a class cover."""
+    def span(m: str, n: str):
+        low = F.greatest(F.lit(0), ((F.col(m) - F.col(n) / 2) * 64).cast("int"))
+        high = F.least(F.lit(64), F.ceil((F.col(m) + F.col(n) / 2) * 64).cast("int"))
+        return F.when(high > low, F.sequence(low, high - 1)).otherwise(F.array().cast("array<int>"))
+
+    boxes = t.all_boxes(spark, d).where("conf >= 0.9").select("image_id", "cls", F.explode(span("cx", "w")).alias("x"), "cy", "h")
+    cells = boxes.select("image_id", "cls", "x", F.explode(span("cy", "h")).alias("y")).distinct()
+    return cells.groupBy("image_id", "cls").agg(F.round(F.count(F.lit(1)) / 4096.0, 6).alias("area"))
