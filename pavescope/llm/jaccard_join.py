@@ -89,11 +89,11 @@ def _prints(rarity: np.ndarray, k: int, least: int):
 
 
 def _sets(bits: np.ndarray, k: int):
-    """doc_id, text_hash and the sorted set of the documents whose text hash is marked."""
+    """doc_id, text_hash and the sorted set of the marked documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hashes = batch.column("text_hash").to_numpy(zero_copy_only=False)
+            hashes = batch.column("mark").to_numpy(zero_copy_only=False)
             batch = batch.take(pa.array(np.flatnonzero(sketch.marked(bits, hashes))))
             sets: list[bytes] = [b""] * batch.num_rows
             for words in tx.hashed_words(*tx.text_bytes(batch.column("text")), lower=True):
@@ -147,7 +147,8 @@ class Join:
         again = met.groupBy("region").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
         self.members = tx.written(met.join(again, "region"), "jaccard-members")
         tx.discard(met)
-        self.docs, self.k, self.sets, self.repeated = docs, k, None, None
+        self.docs, self.k, self.repeated = docs.withColumn("mark", F.xxhash64("doc_id", "text_hash")), k, None
+        self.sets = self.read = None
         self.compared = None
         self.components = self.classes.select("node", F.col("node").alias("component"))
 
@@ -159,18 +160,24 @@ class Join:
     def _read_sets(self, pairs: DataFrame) -> None:
         """The sets of what is to be compared, each read from its text once."""
         wanted = pairs.select(F.col("x").alias("node")).unionByName(pairs.select(F.col("y").alias("node"))).distinct()
-        if self.sets is not None:
-            wanted = wanted.join(self.sets.select("node"), "node", "left_anti")
-        wanted = tx.written(wanted.join(self.classes.select("node", "label", F.col("text_hash").alias("its_hash")), "node"), "jaccard-wanted")
-        if wanted.isEmpty() and self.sets is not None:
+        if self.read is not None:
+            wanted = wanted.join(self.read, "node", "left_anti")
+        wanted = tx.written(wanted.join(self.classes.select("node", F.xxhash64("label", "text_hash").alias("mark")), "node"), "jaccard-wanted")
+        if wanted.isEmpty() and self.read is not None:
             return
-        # a bit for each wanted text hash, so that what is shuffled to the exact join are wanted sets and no texts
-        bits = self.spark.sparkContext.broadcast(sketch.marks(wanted, "its_hash"))
+        # a bit for each wanted document, so that only their sets are written and no texts are shuffled
+        bits = self.spark.sparkContext.broadcast(sketch.marks(wanted, "mark"))
         k = self.k
         sets = self.docs.mapInArrow(lambda batches: _sets(bits.value, k)(batches), "doc_id long, text_hash long, items binary")
-        sets = sets.join(wanted, (sets.text_hash == wanted.its_hash) & sets.doc_id.eqNullSafe(wanted.label)).select("node", "items")
-        sets = tx.written(sets.dropDuplicates(["node"]) if self._repeated() else sets, "jaccard-sets")
+        sets = tx.written(sets.dropDuplicates(["doc_id", "text_hash"]) if self._repeated() else sets, "jaccard-sets")
         self.sets = sets if self.sets is None else self.sets.unionByName(sets)
+        self.read = wanted.select("node") if self.read is None else self.read.unionByName(wanted.select("node"))
+
+    def _with_sets(self, df: DataFrame, node: str) -> DataFrame:
+        """df with the items of the nodes in a column."""
+        named = self.classes.select(F.col("node").alias("its_node"), "label", F.col("text_hash").alias("its_hash"))
+        df = df.join(named, F.col(node) == F.col("its_node"))
+        return df.join(self.sets, (F.col("text_hash") == F.col("its_hash")) & F.col("doc_id").eqNullSafe(F.col("label")))
 
     def compare(self, pairs: DataFrame) -> DataFrame:
         """x, y, both, union of pairs (x < y) that have not been compared; added to ``compared``."""
@@ -182,8 +189,8 @@ class Join:
         sizes = self.classes.select("node", "n")
         # partners of a set are cut into groups of about GROUP_BYTES
         cuts = pairs.join(sizes, pairs.y == sizes.node).groupBy("x").agg(F.ceil(F.sum("n") * 8 / F.lit(GROUP_BYTES)).cast("int").alias("cuts"))
-        ours = cuts.join(self.sets, cuts.x == self.sets.node).select("x", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)).alias("cut"), "items")
-        theirs = pairs.join(cuts, "x").join(self.sets, F.col("y") == F.col("node")).select(F.col("x").alias("its_x"), F.pmod(F.xxhash64("y"), F.col("cuts")).cast("int").alias("its_cut"), "y", F.col("items").alias("its_items"))
+        ours = self._with_sets(cuts, "x").select("x", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)).alias("cut"), "items")
+        theirs = self._with_sets(pairs.join(cuts, "x"), "y").select(F.col("x").alias("its_x"), F.pmod(F.xxhash64("y"), F.col("cuts")).cast("int").alias("its_cut"), "y", F.col("items").alias("its_items"))
         found = ours.groupBy("x", "cut").cogroup(theirs.groupBy("its_x", "its_cut")).applyInArrow(_compare, "x long, y long, both long, union long")
         found = tx.written(found, "jaccard-compared")
         self.compared = found if self.compared is None else self.compared.unionByName(found)
