@@ -14,3 +14,5 @@ TAU_FIELD = {"D00": 0.25, "D10": 0.15, "D20": 0.20, "D40": 0.20}
 SURFACES = {"asfalto": CLASSES, "adoquin": ("D40",)}
 NEIGHBOURS, PERSIST_IOU, SHIFT = 2, 0.30, 0.15
 EARTH_M = 6_371_000.0
+# Class weights of the first rule score.
+RULE_WEIGHTS = {"D00": 4.0, "D10": 4.0, "D20": 8.0, "D40": 12.0}

@@ -107,3 +107,9 @@ def geohash(lat: Column, lon: Column, length: int) -> Column:
         return F.substring(alphabet, (value + 1).cast("int"), F.lit(1))
 
     return F.concat(*[char(i) for i in range(length)])
+
+
+def capture_time(name: Column) -> Column:
+    """Timestamp of a name like captura_20240131_235959_123_4.jpg; null for others."""
+    digits = F.regexp_extract(name, r"^captura_(\d{8}_\d{6}_\d{3})_\d+\.jpg$", 1)
+    return F.try_to_timestamp(F.nullif(digits, F.lit("")), F.lit("yyyyMMdd_HHmmss_SSS"))

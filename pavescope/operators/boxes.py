@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
@@ -12,13 +14,21 @@ from ..functions import exprs as x
 KEY = ("image_id", "cls", "l_partkey", "l_suppkey", "l_linenumber", "conf", "cx", "cy", "w", "h")
 
 
-def filtered(boxes: DataFrame, frames: DataFrame) -> DataFrame:
-    """Boxes with the first reason to discard them, or none: confidence, band, road, persistence among near frames."""
+def _surface_bars(surface: Column) -> Column:
+    """Whether a class has no place on a surface; unknown and missing surfaces take all."""
+    bars = [(surface == s) & ~F.col("cls").isin(*classes) for s, classes in c.SURFACES.items() if set(classes) != set(c.CLASSES)]
+    return F.coalesce(reduce(lambda a, b: a | b, bars), F.lit(False))
+
+
+def filtered(boxes: DataFrame, frames: DataFrame, surface: Column | None = None) -> DataFrame:
+    """Boxes with the first reason to discard them, or none: confidence, band, road, surface, persistence among near frames."""
     col = F.col
     reason = (
         F.when(col("conf") < x.by_class(c.TAU_FIELD, col("cls")), "1_confianza").when(x.wide_band(col("cls"), col("w"), col("h")), "2_banda")
         .when(~x.in_road(col("cx"), col("cy")), "2_fuera_de_via")
     )
+    if surface is not None:
+        reason = reason.when(_surface_bars(surface), "2_superficie")
     early = boxes.select(*KEY).distinct().withColumn("early", reason).join(frames, "image_id")
     alive = early.where(col("early").isNull()).select("segment_id", "cls", "chain_pos", F.struct("cx", "cy", "w", "h").alias("a"))
     # a partner stands up to NEIGHBOURS frames away: dealt out to those positions, the join is on equality
@@ -56,3 +66,38 @@ def presence_thresholds(frame_max: DataFrame, grid: list[int]) -> DataFrame:
     f1 = F.try_divide(2 * F.col("tp"), F.col("hits") + F.col("all"))
     ranked = full.where(F.col("step") >= grid[0]).withColumn("f1", F.coalesce(f1, F.lit(0.0))).withColumn("r", F.row_number().over(Window.partitionBy("cls").orderBy(F.desc("f1"), "step")))
     return ranked.where("r = 1").select("cls", F.col("step").alias("tau_hundredths"), "f1")
+
+
+def consensus(judged: DataFrame, scales: list[DataFrame], least: int = 1, share: float = 0.6, iou: float = 0.5) -> DataFrame:
+    """Judged boxes (with reason) that stay only if seen at ``least`` of the other scales, there with a share of the confidence."""
+    seen = reduce(DataFrame.unionByName, [s.where(F.col("conf") >= share * x.by_class(c.TAU_FIELD, F.col("cls"))).select("image_id", "cls", F.struct("cx", "cy", "w", "h").alias("b"), F.lit(i).alias("scale")) for i, s in enumerate(scales)])
+    alive = judged.where("reason = ''").select(*KEY).distinct().withColumn("a", F.struct("cx", "cy", "w", "h"))
+    hits = alive.join(seen, ["image_id", "cls"]).where(x.iou("a", "b") >= iou).groupBy(*KEY).agg(F.count_distinct("scale").alias("hits")).where(F.col("hits") >= least)
+    out = judged.join(hits, list(KEY), "left")
+    return out.select(*KEY, F.when((F.col("reason") == "") & F.col("hits").isNull(), "4_sin_consenso_escala").otherwise(F.col("reason")).alias("reason"))
+
+
+def limits(boxes: DataFrame, frames: DataFrame) -> DataFrame:
+    """Boxes inside the road with the greatest multiplier of the thresholds at which they stay; those without a partner go."""
+    col = F.col
+    inside = boxes.select(*KEY).distinct().where(~x.wide_band(col("cls"), col("w"), col("h")) & x.in_road(col("cx"), col("cy"))).join(frames, "image_id")
+    inside = inside.withColumn("ratio", col("conf") / x.by_class(c.TAU_FIELD, col("cls"))).withColumn("a", F.struct("cx", "cy", "w", "h"))
+    place = ["segment_id", "cls", "chain_pos"]
+    steps = [s for s in range(-c.NEIGHBOURS, c.NEIGHBOURS + 1) if s]
+    best = inside.groupBy(*place, "a").agg(F.max("ratio").alias("ratio"))
+    near = best.select("segment_id", "cls", F.explode(F.array(*[col("chain_pos") + s for s in steps])).alias("chain_pos"), col("a").alias("b"), col("ratio").alias("partner"))
+    alike = F.greatest(*[x.iou("a", "b", s) for s in (0.0, c.SHIFT, -c.SHIFT)]) >= c.PERSIST_IOU
+    partners = best.select(*place, "a").join(near, place).where(alike).groupBy(*place, "a").agg(F.max("partner").alias("partner"))
+    return inside.join(partners, [*place, "a"]).withColumn("limit", F.least("ratio", "partner")).drop("a")
+
+
+def precision_grid(judged: DataFrame, grid: list[int], least: float) -> DataFrame:
+    """Precision of each class at each threshold (hundredths), from a histogram; the least one that reaches ``least`` is chosen."""
+    last = F.size(F.filter(F.array(*map(F.lit, grid)), lambda g: g <= F.col("conf") * 100 + 1e-9))
+    hist = judged.groupBy("cls", last.alias("reach")).agg(F.count(F.lit(1)).alias("n"), F.sum("tp").alias("tp"))
+    spine = hist.select("cls").distinct().select("cls", F.explode(F.sequence(F.lit(1), F.lit(len(grid)))).alias("reach"))
+    down = Window.partitionBy("cls").orderBy(F.desc("reach"))
+    out = spine.join(hist, ["cls", "reach"], "left").fillna(0, ["n", "tp"]).select("cls", F.element_at(F.array(*map(F.lit, grid)), F.col("reach")).alias("tau"), F.sum("n").over(down).alias("n"), F.sum("tp").over(down).alias("tp"))
+    out = out.withColumn("precision", F.col("tp") / F.greatest("n", F.lit(1)))
+    first = F.min(F.when((F.col("n") > 0) & (F.col("precision") >= least), F.col("tau"))).over(Window.partitionBy("cls"))
+    return out.withColumn("chosen", F.coalesce(F.col("tau") == first, F.lit(False)))

@@ -30,3 +30,12 @@ def percentile_of(values: DataFrame, refs: DataFrame, value: str, ref: str, name
     # one row a distinct value
     upto = steps.select("v", (100 * F.sum("k").over(Window.orderBy("v")) / F.sum("k").over(Window.partitionBy())).alias(name))
     return values.join(upto, values[value] == upto["v"], "left").drop("v")
+
+
+def priority(segments: DataFrame) -> DataFrame:
+    """importance, priority (0 to 100) and level of segments with icv, social, mobility, safety, rain (0 to 100), school_m and hospital_m."""
+    importance = (0.4 * F.col("social") + 0.35 * F.col("mobility") + 0.25 * F.col("safety")) / (0.4 + 0.35 + 0.25)
+    extra = F.when(F.col("school_m") <= 300, 5).otherwise(0) + F.when(F.col("hospital_m") <= 1000, 5).otherwise(0) + F.when((F.col("rain") >= 75) & x.state(F.col("icv")).isin("malo", "muy_malo"), 3).otherwise(0)
+    out = segments.withColumn("importance", importance)
+    out = out.withColumn("priority", F.least(F.greatest(0.6 * (100 - F.col("icv")) + 0.4 * F.col("importance") + extra, F.lit(0.0)), F.lit(100.0)))
+    return out.withColumn("level", F.when(F.col("priority") >= 60, "alta").when(F.col("priority") >= 40, "media").otherwise("baja"))

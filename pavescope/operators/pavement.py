@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -47,3 +49,14 @@ def segment_scores(densities: DataFrame) -> DataFrame:
     """Densities averaged over a segment's frames and only then scored: the score of a mean is no mean of scores."""
     means = densities.groupBy("segment_id").agg(*[F.avg(f"rho_{k}").alias(f"rho_{k}") for k in c.CLASSES], F.count(F.lit(1)).alias("n_frames"))
     return scored(means)
+
+
+def rule_scores(boxes: DataFrame, roughness: DataFrame | None = None) -> DataFrame:
+    """First rule score of segments: 100 less weighted severities (count times 1 + 10 mean area) and 25 times roughness (0 to 1)."""
+    own = lambda k: F.col("cls") == k
+    severity = lambda k: F.count_if(own(k)) * (1 + 10 * F.coalesce(F.avg(F.when(own(k), F.col("w") * F.col("h"))), F.lit(0.0)))
+    out = boxes.groupBy("segment_id").agg(reduce(lambda a, b: a + b, [w * severity(k) for k, w in c.RULE_WEIGHTS.items()]).alias("penalty"))
+    if roughness is not None:
+        out = out.join(roughness, "segment_id", "left").withColumn("penalty", F.col("penalty") + 25.0 * F.coalesce("roughness", F.lit(0.0)))
+    out = out.withColumn("score", F.round(F.least(F.greatest(100 - F.col("penalty"), F.lit(0.0)), F.lit(100.0)), 1))
+    return out.withColumn("category", F.when(F.col("score") >= 75, "bueno").when(F.col("score") >= 50, "regular").otherwise("malo"))

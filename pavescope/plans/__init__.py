@@ -1,0 +1,3 @@
+"""Registered queries: importing any module here registers all."""
+
+from . import queries, field  # noqa: F401, I001

@@ -150,10 +150,10 @@ def win_cut_dense(spark, d):
 
 
 def _times(spark: SparkSession, d: str) -> DataFrame:
-    return t.read(spark, d, "orders").where("o_orderkey % 7 = 0").select((F.col("o_custkey") % 150).alias("user_id"), F.col("o_orderkey").alias("query"), (F.lit(1704067200000000) + (F.col("o_orderkey") * 7919 % 2600000) * 1000000).alias("us"))
+    return t.read(spark, d, "orders").select((F.col("o_custkey") % 150).alias("user_id"), F.col("o_orderkey").alias("query"), (F.lit(1704067200000000) + (F.col("o_orderkey") * 7919 % 2600000) * 1000000).alias("us"))
 
 
-_INTERP = "q AS (SELECT o_custkey % 150 AS user_id, o_orderkey AS query, 1704067200000000 + ((o_orderkey * 7919) % 2600000) * 1000000 AS us FROM orders WHERE o_orderkey % 7 = 0), one AS (SELECT user_id, us, arg_max(value, event_id) AS value FROM track GROUP BY ALL), a AS (SELECT q.*, o.us AS au, o.value AS av FROM q ASOF LEFT JOIN one o ON q.user_id = o.user_id AND q.us >= o.us), b AS (SELECT a.*, o.us AS bu, o.value AS bv FROM a ASOF LEFT JOIN one o ON a.user_id = o.user_id AND a.us <= o.us)"
+_INTERP = "q AS (SELECT o_custkey % 150 AS user_id, o_orderkey AS query, 1704067200000000 + ((o_orderkey * 7919) % 2600000) * 1000000 AS us FROM orders), one AS (SELECT user_id, us, arg_max(value, event_id) AS value FROM track GROUP BY ALL), a AS (SELECT q.*, o.us AS au, o.value AS av FROM q ASOF LEFT JOIN one o ON q.user_id = o.user_id AND q.us >= o.us), b AS (SELECT a.*, o.us AS bu, o.value AS bv FROM a ASOF LEFT JOIN one o ON a.user_id = o.user_id AND a.us <= o.us)"
 
 
 @query(f"+{_INTERP} SELECT user_id, query, us, round(CASE WHEN au IS NULL THEN bv WHEN bu IS NULL OR au = bu THEN av ELSE av + (us - au)::DOUBLE / (bu - au) * (bv - av) END, 6) AS value, CASE WHEN au IS NULL THEN bu WHEN bu IS NULL OR us - au <= bu - us THEN au ELSE bu END AS nearest_us, au IS NOT NULL AND bu IS NOT NULL AS inside FROM b", "track")
@@ -304,9 +304,9 @@ def agg_crosstab(spark, d):
     return t.read(spark, d, "orders").cube("o_orderstatus", "o_orderpriority").agg(F.count(F.lit(1)).alias("n"), F.grouping_id().alias("margin"))
 
 
-@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 200000 AND o_custkey IS NOT NULL)")
+@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 450000 AND o_custkey IS NOT NULL)")
 def jn_anti(spark, d):
-    return t.read(spark, d, "customer").join(t.read(spark, d, "orders").where("o_totalprice > 200000"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
+    return t.read(spark, d, "customer").join(t.read(spark, d, "orders").where("o_totalprice > 450000"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
 
 
 @query("SELECT p_partkey, (row_number() OVER (ORDER BY p_retailprice DESC, p_partkey))::INT AS ranking FROM part QUALIFY ranking <= 400")

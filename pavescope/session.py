@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(name: str = "pavescope", master: str | None = None, **conf: str) -> SparkSession:
@@ -11,3 +13,11 @@ def session(name: str = "pavescope", master: str | None = None, **conf: str) ->
         builder = builder.master(master)
     base = {"spark.sql.session.timeZone": "UTC", "spark.sql.adaptive.enabled": "true", "spark.sql.adaptive.skewJoin.enabled": "true", "spark.ui.showConsoleProgress": "false"}
     return builder.config(map=base | conf).getOrCreate()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df with its lineage cut by a checkpoint in spark.checkpoint.dir; where that is unset (tests), in a folder of this machine."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or f"file://{tempfile.mkdtemp()}")
+    return df.checkpoint()
