@@ -102,7 +102,7 @@ def _locate(window: int, k: int):
             marked = np.flatnonzero((np.cumsum(edge)[: len(codes)] > 0) & (words.room() >= window))
             d = np.searchsorted(words.bounds, marked, side="right") - 1
             h.append(tx.rolling(words.hashes, window, 2)[marked])
-            x.append(tx.rolling(words.hashes, window, 3)[marked])
+            x.append(tx.rolling(words.hashes, window, 3, tx.OTHER_STEP)[marked])
             doc.append(words.first + d)
             pos.append(row[words.first + d] * _ROW + marked - words.bounds[d])
         h, x, doc, pos = (np.concatenate(v) for v in (h, x, doc, pos))

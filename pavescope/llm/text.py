@@ -22,6 +22,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 _BASE = 0x9E3779B97F4A7C15
 _BASE_INVERSE = pow(_BASE, -1, 1 << 64)
 _STEP = U64(0xD6E8FEB86659FD93)
+#: A second multiplier: sums by the two collide independently, sums by one with other salts do not.
+OTHER_STEP = U64(0xA0761D6478BD642F)
 CHUNK_BYTES = 1 << 19
 #: Text bytes meant for one partition, and groups (shards) in it.
 PARTITION_BYTES, SHARDS_EACH = 20 << 20, 4
@@ -114,14 +116,14 @@ def hashed_words(data: np.ndarray, offsets: np.ndarray, stems: tuple[int, ...] =
         at = to
 
 
-def rolling(hashes: np.ndarray, k: int, salt: int = 0) -> np.ndarray:
+def rolling(hashes: np.ndarray, k: int, salt: int = 0, step: np.uint64 = _STEP) -> np.ndarray:
     """A hash of each run of k consecutive words (document edges are not looked at)."""
     n = len(hashes) - k + 1
     if n <= 0:
         return np.zeros(0, U64)
     out = np.full(n, salt, U64)
     for j in range(k):
-        out *= _STEP
+        out *= step
         out += hashes[j : j + n]
     return mix(out)
 
