@@ -6,7 +6,7 @@ A passage recurs when a window of WINDOW consecutive words occurs at two places.
    have equal seeds, and one position in seven is one. Each document shard counts its own seeds;
    counts are summed over the corpus, and a seed confirmed at two places or more recurs.
 2. Automata. For each shard the recurring seeds that occur in it are compiled, as sequences of
-   32-bit word codes, into one pyahocorasick automaton, so all automata together grow as the text
+   8-bit word codes, into one pyahocorasick automaton, so all automata together grow as the text
    and none is broadcast. All documents of the shard stream through it, and every hit marks the windows around it.
 3. Exact check. Marked windows are compared by a 96-bit hash of their whole word sequence: first
    inside the shard (so that hot passages leave it once), then over the corpus. Every window but
@@ -71,6 +71,15 @@ def _row_numbers(ids: np.ndarray) -> np.ndarray:
     return np.arange(len(ids)) - np.repeat(begun, np.diff(np.r_[begun, len(ids)]))
 
 
+def _codes(words: tx.Words) -> np.ndarray:
+    """Symbols of the automata: eight bits a word.
+
+    A state's edges are searched one by one, so a symbol for each word of a vocabulary makes a slow root. Seeds of
+    other words with equal codes only mark windows that the exact check then tells apart.
+    """
+    return (words.hashes >> tx.U64(56)).astype(np.uint8)
+
+
 def _locate(window: int, k: int):
     def run(docs: pa.Table, recurring: pa.Table) -> pa.Table:
         if not recurring.num_rows or not docs.num_rows:
@@ -85,13 +94,13 @@ def _locate(window: int, k: int):
             at, own = seeds(words, window, k)
             _, one = np.unique(own, return_index=True)
             one = one[known[np.minimum(np.searchsorted(known, own[one]), len(known) - 1)] == own[one]]
-            codes = words.hashes.astype(np.uint32)
+            codes = _codes(words)
             for p in at[one].tolist():
                 automaton.add_word(tuple(codes[p : p + k].tolist()), 1)
         automaton.make_automaton()
         h, x, doc, pos = [], [], [], []
         for words in chunks:
-            codes, hits = words.hashes.astype(np.uint32), []
+            codes, hits = _codes(words), []
             for a, b in zip(words.bounds[:-1].tolist(), words.bounds[1:].tolist()):
                 if b - a >= window:
                     hits += [a + end for end, _ in automaton.iter(tuple(codes[a:b].tolist()))]
