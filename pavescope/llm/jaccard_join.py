@@ -15,6 +15,7 @@ uses pivots of two kinds, both by their triangle-inequality windows:
    Voronoi region and to each other region whose pivot is at most 2 R farther, and those regions join in turn.
 
 Equal sets are one class from the start. Components come from min-label propagation over distinct links.
+The links of each document are counted afterwards: all of them lie in components, whose sets are compared each with each, tile by tile.
 """
 
 from __future__ import annotations
@@ -34,6 +35,8 @@ SHINGLE = 3
 LEAST = 90
 SMALL, FAN, SPREAD, DEPTH = 48, 6, 2.5, 12
 GROUP_BYTES = 8 << 20
+#: Classes in a tile of a component at most, and shingles in a block of its product.
+TILE_ROWS, TILE_ITEMS = 2_048, 2_048
 #: Counters of rarity: 16 MB broadcast, whatever the corpus.
 RARITY_BITS = 23
 
@@ -119,6 +122,42 @@ def _compare(left: pa.Table, right: pa.Table) -> pa.Table:
     return pa.table({"x": pa.array(np.full(len(raw), left.column("x")[0].as_py(), np.int64)), "y": right.column("y"), "both": pa.array(both), "union": pa.array(len(mine) + np.diff(edges) - both)}, schema=schema)
 
 
+def _count(least: int):
+    """node and the rows of the classes its set links with, over the pairs of one cell: a tile with itself (low = high), or with another."""
+
+    def run(table: pa.Table) -> pa.Table:
+        node, copies, tile = (table.column(c).to_numpy() for c in ("node", "copies", "tile"))
+        own = np.flatnonzero(tile == table.column("low")[0].as_py())
+        other = np.flatnonzero(tile == table.column("high")[0].as_py())
+        raw = table.column("items").to_pylist()
+        n = np.array([len(r) // 8 for r in raw], np.int64)
+        _, place, held = np.unique(np.frombuffer(b"".join(raw), tx.U64), return_inverse=True, return_counts=True)
+        # shingles of one set only are in no intersection
+        at = np.flatnonzero(held[place] > 1)
+        row, place = np.repeat(np.arange(len(n)), n)[at], (np.cumsum(held > 1) - 1)[place[at]]
+        order = np.argsort(place, kind="stable")
+        row, place = row[order], place[order]
+        kind = np.float32 if n.max(initial=0) < 1 << 24 else np.float64
+        both = np.zeros((len(own), len(other)), kind)
+        for first in range(0, int(place[-1]) + 1 if len(place) else 0, TILE_ITEMS):
+            a, b = np.searchsorted(place, [first, first + TILE_ITEMS])
+            holds = np.zeros((len(n), min(TILE_ITEMS, int(place[-1]) + 1 - first)), kind)
+            holds[row[a:b], place[a:b] - first] = 1
+            both += holds[own] @ holds[other].T
+        found, same = np.zeros(len(n), np.int64), tile[own[0]] == tile[other[0]] if len(own) and len(other) else False
+        for a in range(0, len(own), 256):
+            rows, shared = own[a : a + 256], both[a : a + 256].astype(np.int64)
+            linked = shared * 100 >= (n[rows, None] + n[None, other] - shared) * least
+            if same:
+                linked[np.arange(len(rows)), a + np.arange(len(rows))] = False
+            else:
+                found[other] += copies[rows] @ linked
+            found[rows] += linked @ copies[other]
+        return pa.table({"node": pa.array(node), "links": pa.array(found)})
+
+    return run
+
+
 class Join:
     """The state of one join: classes, their shingle regions, sets, and what has been compared so far."""
 
@@ -132,8 +171,8 @@ class Join:
         prints = tx.written(prints, "jaccard-prints")
         self.rows = tx.written(prints.drop("pivots"), "jaccard-rows")
         first = F.min(F.struct(F.col("doc_id").isNull().alias("bare"), "doc_id", "text_hash"))
-        classes = prints.where("n > 0").groupBy("a", "b", "n").agg(first.alias("first"), F.any_value("pivots").alias("pivots"))
-        classes = classes.select("a", "b", "n", F.col("first.doc_id").alias("label"), "first.text_hash", "pivots")
+        classes = prints.where("n > 0").groupBy("a", "b", "n").agg(first.alias("first"), F.any_value("pivots").alias("pivots"), F.count(F.lit(1)).alias("copies"))
+        classes = classes.select("a", "b", "n", F.col("first.doc_id").alias("label"), "first.text_hash", "pivots", "copies")
         # numbers given once, in a written table
         full = tx.written(classes.withColumn("node", F.monotonically_increasing_id()), "jaccard-pivots")
         tx.discard(prints)
@@ -248,6 +287,32 @@ class Join:
                 return
             regions, depth = parts, depth + 1
 
+    def counted(self) -> DataFrame:
+        """node and links of the classes in components of several: the rows of the other classes that each links with. After run()."""
+        here = self.components.join(self.classes.select("node", "n", "copies", F.xxhash64("label", "text_hash").alias("mark")), "node")
+        sums = here.groupBy("component").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("items"), F.sum("copies").alias("all")).where("m > 1")
+        here = tx.written(here.join(sums, "component"), "jaccard-connected")
+        # two connected classes link; of more, any two may or may not
+        couples = here.where("m = 2").select("node", (F.col("all") - F.col("copies")).alias("links"))
+        several = here.where("m > 2")
+        bits = self.spark.sparkContext.broadcast(sketch.marks(several, "mark"))
+        if self.sets is None:
+            return couples
+
+        def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield batch.filter(pa.array(sketch.marked(bits.value, batch.column("mark").to_numpy())))
+
+        # only the sets of such components are moved; each was read for some comparison
+        sets = self.sets.withColumn("mark", F.xxhash64("doc_id", "text_hash")).mapInArrow(met, "doc_id long, text_hash long, items binary, mark long").drop("mark")
+        cuts = F.ceil(F.greatest(F.col("items") * 8 / F.lit(GROUP_BYTES), F.col("m") / F.lit(TILE_ROWS))).cast("int")
+        tiles = several.select("node", "component", "copies", cuts.alias("cuts")).withColumn("tile", F.pmod(F.xxhash64("node"), F.col("cuts")).cast("int"))
+        tiles = tiles.join(self.classes.select("node", "label", "text_hash"), "node").join(sets.withColumnRenamed("text_hash", "its_hash"), (F.col("text_hash") == F.col("its_hash")) & F.col("doc_id").eqNullSafe(F.col("label")))
+        cells = tiles.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
+        cells = cells.select("component", F.least("tile", "with").alias("low"), F.greatest("tile", "with").alias("high"), "tile", "node", "copies", "items")
+        found = cells.groupBy("component", "low", "high").applyInArrow(_count(self.least), "node long, links long")
+        return couples.unionByName(found.groupBy("node").agg(F.sum("links").alias("links")))
+
     def open_regions(self, regions: DataFrame) -> DataFrame:
         """Members of regions that hold more than one component; of each, m members."""
         here = regions.join(self.components, "node")
@@ -283,25 +348,37 @@ class Join:
         return best.select("region", F.col("p.node").alias("pivot"))
 
 
-def jaccard_components(docs: DataFrame, k: int = SHINGLE, least: int = LEAST) -> DataFrame:
+def jaccard_links(docs: DataFrame, k: int = SHINGLE, least: int = LEAST) -> DataFrame:
     """doc_id, n_shingles, component_id and n_links of each row of docs.
 
     component_id is the least doc_id reachable by links, the row's own included (null only where all of them are
-    null). Rows without words, with null or empty text, have no shingles and link with nothing. Rows of equal sets link, repeated rows
-    too. An empty table gives an empty result. Other columns are not looked at.
+    null). n_links counts all other rows the row links with. Rows without words, with null or empty text, have no shingles and link
+    with nothing. Rows of equal sets link, repeated rows too. An empty table gives an empty result. Other columns are not looked at.
     """
     join = Join(docs, k, least)
     join.run()
+    return labelled(join, join.counted())
+
+
+def jaccard_components(docs: DataFrame, k: int = SHINGLE, least: int = LEAST) -> DataFrame:
+    """doc_id, n_shingles and component_id as in jaccard_links, without the count of links."""
+    join = Join(docs, k, least)
+    join.run()
     return labelled(join)
 
 
-def labelled(join: Join) -> DataFrame:
-    named = join.classes.select("node", "a", "b", F.col("n").alias("n_class"), "label").join(join.components, "node")
+def labelled(join: Join, links: DataFrame | None = None) -> DataFrame:
+    """The rows with their components; with links (node, links), also their n_links."""
+    named = join.classes.select("node", "a", "b", F.col("n").alias("n_class"), "label", "copies").join(join.components, "node")
     least = named.groupBy("component").agg(F.min("label").alias("component_id"))
-    named = named.join(least, "component").select("a", "b", "n_class", "component_id")
+    count = [] if links is None else ["n_links"]
+    if links is not None:
+        named = named.join(links, "node", "left").withColumn("n_links", F.col("copies") - 1 + F.coalesce("links", F.lit(0)))
+    named = named.join(least, "component").select("a", "b", "n_class", "component_id", *count)
     rows = join.rows.select("doc_id", "n", "a", "b")
-    full = rows.where("n > 0").join(named, ["a", "b"]).where("n = n_class").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    return full.unionByName(rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+    full = rows.where("n > 0").join(named, ["a", "b"]).where("n = n_class").select("doc_id", F.col("n").alias("n_shingles"), "component_id", *count)
+    bare = rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), *[F.lit(0).cast("long").alias(c) for c in count])
+    return full.unionByName(bare)
 
 
 def representatives(docs: DataFrame, k: int = SHINGLE, least: int = LEAST) -> DataFrame:

@@ -10,7 +10,7 @@ from . import url_filters
 from .fingerprints import document_fingerprints
 from .hilbert_ann import nearest
 from .hmm import language_scores
-from .jaccard_join import jaccard_components
+from .jaccard_join import jaccard_links
 from .mixing import mix
 from .packing import pack
 from .substring_dedup import substring_dedup
@@ -57,7 +57,7 @@ def op8_language_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_components(table(spark, sf_dir, "documents"))
+    return jaccard_links(table(spark, sf_dir, "documents"))
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

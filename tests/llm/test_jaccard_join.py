@@ -3,7 +3,7 @@ import random
 import pytest
 
 from pavescope.llm import jaccard_join
-from pavescope.llm.jaccard_join import jaccard_components
+from pavescope.llm.jaccard_join import jaccard_components, jaccard_links
 
 SCHEMA = "doc_id long, text string, n int, component_id string"
 
@@ -80,3 +80,16 @@ def test_empty(spark):
     docs = spark.createDataFrame([(1, "a b c d", 1, "x")], SCHEMA)
     assert jaccard_components(docs.limit(0)).count() == 0
     assert [tuple(r) for r in jaccard_components(docs).collect()] == [(1, 2, 1)]
+
+
+@pytest.mark.parametrize("tile", [2048, 7])
+def test_all_links_are_counted(spark, tile, monkeypatch):
+    """Also those between texts that a third one connects, and those of repeated rows."""
+    monkeypatch.setattr(jaccard_join, "TILE_ROWS", tile)
+    monkeypatch.setattr(jaccard_join, "TILE_ITEMS", 50)
+    rows = corpus(4, 8, 150, 2)
+    rows += [(5000, None), (5001, ""), (None, rows[0][1]), (8, rows[3][1]), (8, rows[3][1]), (9000, "on its own")]
+    sets = [shingle_set(t) for _, t in rows]
+    want = [sum(i != j and bool(x and y) and 100 * len(x & y) >= 90 * len(x | y) for j, y in enumerate(sets)) for i, x in enumerate(sets)]
+    got = sorted((str(r.doc_id), r.n_shingles, r.n_links) for r in jaccard_links(spark.createDataFrame([(i, t, 1, "x") for i, t in rows], SCHEMA)).collect())
+    assert got == sorted((str(d), len(sets[i]), want[i]) for i, (d, _) in enumerate(rows)) and max(want) > 10
