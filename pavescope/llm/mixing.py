@@ -3,7 +3,8 @@
 Slot t of the schedule takes the point t / golden ratio (mod 1), in exact 64-bit arithmetic, and the
 source whose interval of cumulative target shares holds it. Slots are ranked per source, and the slot
 of rank r plays block r of its source: documents in hash order, cut into blocks of equal word counts,
-played again from the first block when all have been played.
+played again from the first block when all have been played. A source has blocks of its own size, BLOCKS at least
+where it has as many words; its slots end with its target, the last one inside its block if need be.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ from .running import hash_bucket, running_before
 
 WEIGHTS, MOST_PASSES = (5, 2, 1), 3
 SLOTS, MOST_BLOCK = 1 << 18, 1 << 16
+#: Blocks that each source is cut into at least.
+BLOCKS = 256
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 _CHUNK_BITS = 16
 
@@ -42,11 +45,11 @@ def targets(sizes: list[int], weights: tuple[int, ...] = WEIGHTS, passes: int =
 
 @dataclass
 class Mix:
-    """sized: row, doc_id, source, size, and src, the source's number; sources: per source (source, size, target)."""
+    """sized: row, doc_id, source, size, and src, the source's number; sources: per source (source, size, target); block: words in a block of each."""
 
     sized: DataFrame
     sources: list[tuple[str | None, int, float]]
-    block: int
+    block: list[int]
     slots: DataFrame
     pieces: DataFrame
 
@@ -63,7 +66,7 @@ def _slot_sources(edges: np.ndarray):
 
 
 def plan(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS) -> Mix:
-    """The schedule: slots (slot, src, pass, block) and pieces (src, block, doc_id, row, words of the document in the block).
+    """The schedule: slots (slot, src, pass, block) and pieces (src, block, doc_id, row, words of the document in the block, and those played in each pass).
 
     Sources (one row for each on the driver) are numbered by code point, null last. A null text has size 0.
     """
@@ -75,21 +78,32 @@ def plan(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS) -> Mix:
     found.sort(key=lambda r: (r.source is None, (r.source or "").encode()))
     goal, total = targets([r["size"] for r in found], weights), sum(r["size"] for r in found)
     sources = [(r.source, r["size"], t) for r, t in zip(found, goal)]
-    block = min(max(1, total // SLOTS), MOST_BLOCK)
-    table = spark.createDataFrame([(i, s, n, t, max(1, -(-n // block))) for i, (s, n, t) in enumerate(sources)], "src int, name string, source_size long, target double, blocks long")
+    block = [max(1, min(total // SLOTS, MOST_BLOCK, n // BLOCKS)) for _, n, _ in sources]
+    blocks = [max(1, -(-n // b)) for (_, n, _), b in zip(sources, block)]
+    words = [round(t) for t in goal]
+    # slots until the target: whole passes, then the blocks that hold the rest
+    needed = [w // n * k + -(-(w % n) // b) if n else 0 for (_, n, _), w, k, b in zip(sources, words, blocks, block)]
+    table = spark.createDataFrame([(i, *x) for i, x in enumerate(zip([r.source for r in found], blocks, block, needed, words, [n for _, n, _ in sources]))], "src int, name string, blocks long, block_words long, needed long, goal long, source_size long")
     sized = sized.join(table.select("src", "name"), F.col("source").eqNullSafe(F.col("name"))).drop("name")
     # the schedule
-    edges = np.cumsum(goal) / max(total, 1)
-    slots = spark.range(-(-total // block)).mapInArrow(_slot_sources(edges), "slot long, src int")
-    slots = running_before(slots, ["src"], F.shiftright("slot", _CHUNK_BITS), ["slot"], F.lit(1), "rank").join(table.select("src", "blocks"), "src")
-    slots = slots.select("slot", "src", F.expr("rank div blocks").alias("pass"), F.expr("rank % blocks").alias("block")).where(F.col("pass") < MOST_PASSES)
+    count = sum(needed)
+    slots = spark.range(count).mapInArrow(_slot_sources(np.cumsum(needed) / max(count, 1)), "slot long, src int")
+    slots = running_before(slots, ["src"], F.shiftright("slot", _CHUNK_BITS), ["slot"], F.lit(1), "rank").select("slot", "src", "rank")
+    # the points give a source some slots more or less than it needs: those over are left out, those missing follow at the end
+    dealt = {r.src: r.n for r in slots.groupBy("src").agg(F.count(F.lit(1)).alias("n")).collect()}
+    missing = [(i, rank) for i, n in enumerate(needed) for rank in range(dealt.get(i, 0), n)]
+    slots = slots.unionByName(spark.createDataFrame([(count + j, i, rank) for j, (i, rank) in enumerate(missing)], "slot long, src int, rank long"))
+    slots = slots.join(table.select("src", "blocks", "needed"), "src").where("rank < needed")
+    slots = slots.select("slot", "src", F.expr("rank div blocks").alias("pass"), F.expr("rank % blocks").alias("block"))
     # the blocks: equal rows of documents keep apart by their running number only, and any order of theirs is the same
     rows = max([r.n for r in found], default=1)
     laid = running_before(sized.where("size > 0"), ["src"], hash_bucket(rows, "row"), ["row", "doc_id"], F.col("size"), "start")
-    last = F.expr(f"(start + size - 1) div {block}")
-    pieces = laid.select("src", "doc_id", "row", "start", "size", F.explode(F.sequence(F.expr(f"start div {block}"), last)).alias("block"))
-    words = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * block) - F.greatest(F.col("start"), F.col("block") * block)
-    pieces = pieces.select("src", "block", "doc_id", "row", "start", "size", words.alias("words"))
+    laid = laid.join(table.select("src", "block_words", "goal", "source_size"), "src")
+    pieces = laid.select("*", F.explode(F.sequence(F.expr("start div block_words"), F.expr("(start + size - 1) div block_words"))).alias("block"))
+    begins, ends = F.greatest("start", F.col("block") * F.col("block_words")), F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * F.col("block_words"))
+    # a pass ends at the target
+    took = [F.greatest(F.lit(0), F.least(ends, F.col("goal") - p * F.col("source_size")) - begins) for p in range(MOST_PASSES)]
+    pieces = pieces.select("src", "block", "doc_id", "row", "start", "size", (ends - begins).alias("words"), F.array(*took).alias("in_pass"))
     return Mix(sized, sources, block, slots, pieces)
 
 
@@ -102,8 +116,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
     m = plan(docs, weights)
     uses = m.slots.groupBy("src", "block").agg(F.count(F.lit(1)).alias("uses"))
     played = m.pieces.join(uses, ["src", "block"])
-    taken = played.groupBy("src", "row", "doc_id", "start", "size").agg(F.sum(F.col("words") * F.col("uses")).alias("taken"), *[F.sum(F.when(F.col("uses") > p, F.col("words")).otherwise(0)).alias(f"p{p}") for p in range(MOST_PASSES)])
-    taken = taken.select("src", "doc_id", "row", "size", "taken", F.array(*[f"p{p}" for p in range(MOST_PASSES)]).alias("passes"))
+    taken = played.groupBy("src", "row", "doc_id", "start", "size").agg(*[F.sum(F.when(F.col("uses") > p, F.col("in_pass")[p]).otherwise(0)).alias(f"p{p}") for p in range(MOST_PASSES)])
+    taken = taken.select("src", "doc_id", "row", "size", sum((F.col(f"p{p}") for p in range(1, MOST_PASSES)), F.col("p0")).alias("taken"), F.array(*[f"p{p}" for p in range(MOST_PASSES)]).alias("passes"))
     # rows that took nothing: as many as the sized rows have more than the taken ones of the same key
     have = taken.groupBy("src", "row", F.coalesce("doc_id", F.lit(-1)).alias("k"), F.col("doc_id").isNull().alias("null_id")).agg(F.count(F.lit(1)).alias("have"))
     all_rows = m.sized.groupBy("src", "row", F.coalesce("doc_id", F.lit(-1)).alias("k"), F.col("doc_id").isNull().alias("null_id"), "size").agg(F.count(F.lit(1)).alias("n"))

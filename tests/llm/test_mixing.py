@@ -1,6 +1,7 @@
 import random
 from collections import Counter
 
+from pavescope.llm import mixing
 from pavescope.llm.mixing import mix, plan, targets
 
 SCHEMA = "doc_id long, text string, source string, size int, src string"
@@ -49,3 +50,17 @@ def test_schedule_is_even(spark):
         seen = Counter(slots[a : a + 2000])
         for i, (_, _, target) in enumerate(m.sources):
             assert abs(seen[i] - 2000 * target / total) <= 14
+
+
+def test_targets_are_met_with_large_blocks(spark, monkeypatch):
+    """Sources smaller than a block of the whole corpus, too, play their targets to the word."""
+    monkeypatch.setattr(mixing, "SLOTS", 16)
+    data = [(i, "w " * (1 + i % 90), "hot", 1, "x") for i in range(900)] + [(1000 + i, "w " * (7 * i + 1), f"s{i % 4}", 1, "x") for i in range(24)] + [(2000, "one", "t", 1, "x")]
+    docs = spark.createDataFrame(data, SCHEMA)
+    m = plan(docs)
+    assert max(m.block) > 1 and sum(s for _, s, _ in m.sources) // 16 > min(s for _, s, _ in m.sources if s > 1)
+    by = {}
+    for r in mix(docs).collect():
+        assert all(0 <= p <= r["size"] for p in r.passes) and r.taken == sum(r.passes)
+        by[r.source_size, r.target] = by.get((r.source_size, r.target), 0) + r.taken
+    assert by == {(s, t): round(t) for _, s, t in m.sources}
