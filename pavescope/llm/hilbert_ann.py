@@ -80,19 +80,25 @@ def _norms(x: np.ndarray) -> np.ndarray:
 
 
 def top(queries: np.ndarray, query_ids: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Each query's k nearest rows of x other than its own id: query, id and exact score; ties to the smaller id."""
+    """Each query's k nearest ids of x other than its own, by the nearest row of each: query, id and exact score; ties to the smaller id."""
+    order = np.argsort(ids, kind="stable")
+    x, ids = x[order], ids[order]
+    begun = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])[: len(ids)]
     qn, xn = _norms(queries), _norms(x)
     unit = x / xn[:, None]
     out = ([], [], [])
     for a in range(0, len(queries), 256):
         near = (queries[a : a + 256] / qn[a : a + 256, None]) @ unit.T
         near[query_ids[a : a + 256, None] == ids[None, :]] = -np.inf
-        least = np.partition(near, -k, axis=1)[:, -k] if near.shape[1] > k else np.full(len(near), -2.0)
+        nearest_rows = near if len(begun) == len(ids) else np.maximum.reduceat(near, begun, axis=1)
+        least = np.partition(nearest_rows, -k, axis=1)[:, -k] if len(begun) > k else np.full(len(near), -2.0)
         for i, row in enumerate(near):
             at = np.flatnonzero(row >= max(least[i] - 1e-9, -2.0))
             # as products of whole matrices may differ in the last bit, what counts is computed row by row
             score = np.clip(np.einsum("j,ij->i", queries[a + i], x[at]) / (qn[a + i] * xn[at]), -1, 1)
-            best = np.lexsort((ids[at], -score))[:k]
+            best = np.lexsort((-score, ids[at]))
+            best = best[np.r_[True, ids[at[best[1:]]] != ids[at[best[:-1]]]][: len(best)]]
+            best = best[np.lexsort((ids[at[best]], -score[best]))[:k]]
             out[0].append(np.full(len(best), query_ids[a + i]))
             out[1].append(ids[at[best]])
             out[2].append(score[best])
@@ -184,12 +190,14 @@ def _window(placed: DataFrame, rows: int, blocks: int, step: int, k: int, goal:
     ids = [r.vec_id for r in every.where(F.col("vec_id") % step == 0).select("vec_id").distinct().orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).collect()]
     if not ids:
         return 0
-    asked: dict[int, np.ndarray] = {}
-    mine = np.full((len(ids), CURVES), -1)
-    for r in placed.where(F.col("vec_id").isin(ids)).collect() if len(ids) else []:
-        asked.setdefault(r.vec_id, np.frombuffer(r.vector, float))
-        mine[ids.index(r.vec_id), r.curve] = r.block
-    q, qi = np.stack([asked[i] for i in ids]), np.array(ids)
+    # rows that share a query's vec_id are asked each
+    asked: dict[int, set[bytes]] = {}
+    mine: dict[tuple[int, int], set[int]] = {}
+    for r in placed.where(F.col("vec_id").isin(ids)).distinct().collect():
+        asked.setdefault(r.vec_id, set()).add(bytes(r.vector))
+        mine.setdefault((r.vec_id, r.curve), set()).add(r.block)
+    q = np.stack([np.frombuffer(v, float) for i in ids for v in sorted(asked[i])])
+    qi = np.repeat(np.array(ids), [len(asked[i]) for i in ids])
 
     def brute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -198,10 +206,10 @@ def _window(placed: DataFrame, rows: int, blocks: int, step: int, k: int, goal:
                 yield from _found(*top(q, qi, x, xi, k)).to_batches()
 
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    true = every.mapInArrow(brute, _FOUND).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "vec_id")
+    true = every.mapInArrow(brute, _FOUND).groupBy("query_id", "vec_id").agg(F.max("score").alias("score")).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "vec_id")
     there = placed.join(F.broadcast(true), "vec_id").groupBy("query_id", "vec_id", "curve").agg(F.min("block").alias("low"), F.max("block").alias("high")).collect()
     far: dict[tuple[int, int], int] = {}
     for r in there:
-        b = mine[ids.index(r.query_id), r.curve]
-        far[r.query_id, r.vec_id] = min(far.get((r.query_id, r.vec_id), blocks), max(abs(r.low - b), abs(r.high - b)))
+        away = min(max(abs(r.low - b), abs(r.high - b)) for b in mine[r.query_id, r.curve])
+        far[r.query_id, r.vec_id] = min(far.get((r.query_id, r.vec_id), blocks), away)
     return int(np.quantile(list(far.values()), goal, method="higher")) if far else 0

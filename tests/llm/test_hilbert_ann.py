@@ -53,3 +53,15 @@ def test_recall(spark):
         got.setdefault(r.query_id, set()).add(r.vec_id)
     hits = sum(len(got[q] & {j for _, j in best}) for q, best in want.items())
     assert hits >= 0.9 * 5 * len(want) and all(len(v) == 5 for v in got.values())
+
+
+def test_repeated_ids_count_once(spark):
+    """Rows that repeat a vec_id, equal or not, take one place among the neighbours."""
+    rng = np.random.default_rng(5)
+    rows = [(i, rng.standard_normal(8).tolist()) for i in range(120)]
+    near = [(200 + i, (np.array(rows[50][1]) + 0.01 * (i + 1)).tolist()) for i in range(3)]
+    rows = [r for r in rows for _ in range(2)] + [r for r in near for _ in range(7)] + [(201, (np.array(rows[50][1]) * 2 + 0.001).tolist())]
+    got = {}
+    for r in nearest(spark.createDataFrame([(i, v, 1, 1) for i, v in rows], SCHEMA)).collect():
+        got.setdefault(r.query_id, []).append((r.rank, round(-r.score, 12), r.vec_id))
+    assert {q: [x[1:] for x in sorted(v)] for q, v in got.items()} == brute(rows)
