@@ -7,20 +7,13 @@ padding. Inside each bucket, documents in hash order form batches of at most a t
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text as tx
 from .running import hash_bucket, running_before
 
 BUCKETS, BUDGET = 16, 65_536
-_EXACT, _STEPS = 2_048, 64
-
-
-def rounded(length: Column) -> Column:
-    """Lengths over _EXACT rounded up to one of _STEPS steps in each octave: the histogram stays under a few thousand rows."""
-    step = F.pow(F.lit(2.0), F.floor(F.log2(length.cast("double"))) - int(np.log2(_STEPS)))
-    return F.when(length <= _EXACT, length).otherwise((F.ceil(length / step) * step).cast("long"))
 
 
 def boundaries(lengths: np.ndarray, counts: np.ndarray, tokens: np.ndarray, buckets: int) -> list[int]:
@@ -33,11 +26,19 @@ def boundaries(lengths: np.ndarray, counts: np.ndarray, tokens: np.ndarray, buck
     froms = []
     for _ in range(min(buckets, n) - 1):
         now, back = best.copy(), np.full(n, -1)
-        for j in range(1, n):
-            cost = best[:j] + lengths[j] * (c[j + 1] - c[1 : j + 1]) - (t[j + 1] - t[1 : j + 1])
-            i = int(cost.argmin())
-            if cost[i] < now[j]:
-                now[j], back[j] = cost[i], i
+        # the best split moves up with the length: halves of a range of lengths look on either side of its middle's
+        open_ = [(1, n, 0, n - 1)]
+        while open_:
+            low, high, least, most = open_.pop()
+            if low >= high:
+                continue
+            j = (low + high) // 2
+            i = np.arange(least, min(most, j - 1) + 1)
+            cost = best[i] + lengths[j] * (c[j + 1] - c[i + 1]) - (t[j + 1] - t[i + 1])
+            at = int(cost.argmin())
+            if cost[at] < now[j]:
+                now[j], back[j] = cost[at], i[at]
+            open_ += [(low, j, least, int(i[at])), (j + 1, high, int(i[at]), most)]
         froms.append(back)
         best = now
     out, j = {int(lengths[-1])}, n - 1
@@ -56,7 +57,7 @@ def pack(docs: DataFrame, buckets: int = BUCKETS, budget: int = BUDGET) -> DataF
     """
     n_tokens = F.coalesce(F.regexp_count("text", F.lit(tx.WORD)), F.lit(0)).cast("long")
     sized = tx.written(docs.select("doc_id", n_tokens.alias("n_tokens")).withColumn("row", F.xxhash64("doc_id", "n_tokens")), "packing-lengths")
-    histogram = sized.where("n_tokens > 0").groupBy(rounded(F.col("n_tokens")).alias("length")).agg(F.count(F.lit(1)).alias("n"), F.sum("n_tokens").alias("tokens")).orderBy("length").toPandas()
+    histogram = sized.where("n_tokens > 0").groupBy(F.col("n_tokens").alias("length")).agg(F.count(F.lit(1)).alias("n"), F.sum("n_tokens").alias("tokens")).orderBy("length").toPandas()
     tops = boundaries(histogram.length.to_numpy(np.int64), histogram.n.to_numpy(np.int64), histogram.tokens.to_numpy(np.int64), buckets)
     bucket = F.lit(None).cast("int")
     top = F.lit(None).cast("long")

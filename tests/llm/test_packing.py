@@ -40,3 +40,13 @@ def test_pack(spark):
         full[b] += len(rs) < max(1, 4096 // rs[0].bucket_length)
     assert all(n <= 1 for n in full.values())
     assert pack(docs.limit(0)).count() == 0
+
+
+def test_long_documents_have_exact_tops(spark):
+    """Lengths over 2,048 are their own boundaries."""
+    sizes = [2049] * 3 + [2051, 5000, 5003]
+    docs = spark.createDataFrame([(i, "w " * n) for i, n in enumerate(sizes)], "doc_id long, text string")
+    got = {r.doc_id: (r.n_tokens, r.bucket_length, r.padding) for r in pack(docs).collect()}
+    assert got == {i: (n, n, 0) for i, n in enumerate(sizes)}
+    two = {r.doc_id: r.bucket_length for r in pack(docs, buckets=2).collect()}
+    assert [two[i] for i in range(6)] == [2051] * 4 + [5003] * 2
