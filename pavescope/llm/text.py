@@ -111,7 +111,7 @@ def hashed_words(data: np.ndarray, offsets: np.ndarray, stems: tuple[int, ...] =
         cut = {}
         for size in stems:
             to_size = np.minimum(starts + size, ends)
-            cut[size] = np.where(ends - starts >= size, mix((sums[to_size] - sums[starts]) * down[starts] + U64(size) * _STEP), U64(0))
+            cut[size] = np.where(ends - starts >= size, mix((sums[to_size] - sums[starts]) * down[starts] + np.full(1, size, U64) * _STEP), U64(0))
         yield Words(at, hashes, np.searchsorted(starts, edges), starts, ends, own, cut)
         at = to
 
@@ -190,6 +190,33 @@ def discard(table: DataFrame) -> None:
         path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Rows that one task of a summing level takes.
+FAN_IN = 1_024
+
+
+def in_levels(parts: DataFrame, key: str, add) -> DataFrame:
+    """Rows of one key added up by add (a table to a table of one row, same schema): FAN_IN tasks' rows at a time, then those sums.
+
+    A task holds a row of a key for each of FAN_IN tasks, or for each such lot, and never one for all.
+    """
+    schema = parts.schema
+    lots = parts.withColumn("_lot", F.expr(f"spark_partition_id() div {FAN_IN}"))
+    first = lots.groupBy(key, "_lot").applyInArrow(lambda table: add(table.drop(["_lot"])), schema)
+    return first.groupBy(key).applyInArrow(add, schema)
+
+
+def ddl(schema: pa.Schema) -> str:
+    kinds = {pa.int64(): "long", pa.int32(): "int", pa.binary(): "binary", pa.float64(): "double", pa.string(): "string", pa.list_(pa.int64()): "array<long>"}
+    return ", ".join(f"{f.name} {kinds[f.type]}" for f in schema)
+
+
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """The batches in smaller ones, so that what is made of one is small, here and in the JVM."""
+    for whole in batches:
+        for a in range(0, whole.num_rows, rows):
+            yield whole.slice(a, rows)
+
+
 def sorted_docs(table: pa.Table) -> pa.Table:
     """Documents by doc_id (nulls last), rows of one doc_id by text (nulls last)."""
     order = pc.sort_indices(table, sort_keys=[("doc_id", "ascending"), ("text", "ascending")], null_placement="at_end")

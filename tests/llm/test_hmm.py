@@ -7,10 +7,12 @@ import numpy as np
 import pyarrow as pa
 
 from pavescope.llm import hmm
+from pavescope.llm import text as tx
 
 
 def brute_counts(seqs, start, move, emit):
-    """Plain forward-backward."""
+    """Plain forward-backward, unscaled: in long doubles, whose exponents hold some thousand tokens."""
+    start, move, emit = (x.astype(np.longdouble) for x in (start, move, emit))
     s0, m0, e0, total = np.zeros_like(start), np.zeros_like(move), np.zeros_like(emit), 0.0
     for c in seqs:
         a = [start * emit[:, c[0]]]
@@ -20,7 +22,7 @@ def brute_counts(seqs, start, move, emit):
         for x in c[:0:-1]:
             b.insert(0, move @ (emit[:, x] * b[0]))
         p = a[-1].sum()
-        total += math.log(p)
+        total += float(np.log(p))
         s0 += a[0] * b[0] / p
         for t, x in enumerate(c):
             e0[:, x] += a[t] * b[t] / p
@@ -37,18 +39,31 @@ def random_model(rng, k=12):
 def test_expected_counts():
     rng = np.random.default_rng(1)
     start, move, emit = random_model(rng)
-    seqs = [rng.integers(0, 12, n) for n in (1, 2, 30, 7, 50, 1, 50)]
+    for sizes in ((1, 2, 30, 7, 50, 1, 50), (3, 1), (5,)):
+        seqs = [rng.integers(0, 12, n) for n in sizes]
+        bounds = np.r_[0, np.cumsum(sizes)]
+        for x, y in zip(hmm.expected_counts(np.concatenate(seqs), bounds, start, move, emit), brute_counts(seqs, start, move, emit)):
+            assert np.allclose(x, y)
+
+
+def test_expected_counts_of_long_texts(monkeypatch):
+    """Cuts into pieces change no count, neither of states nor of the transitions over the cuts."""
+    rng = np.random.default_rng(4)
+    start, move, emit = random_model(rng)
+    seqs = [rng.integers(0, 12, n) for n in (128, 127, 300, 64, 65, 1, 257, 96)]
     bounds = np.r_[0, np.cumsum([len(s) for s in seqs])]
-    table, lengths, begins = hmm._pieces(np.concatenate(seqs), bounds)
-    got = hmm.expected_counts(table, lengths, start, move, emit, begins)
-    for x, y in zip(got, brute_counts(seqs, start, move, emit)):
-        assert np.allclose(x, y)
+    want = brute_counts(seqs, start, move, emit)
+    for head, link in ((64, 32), (1, 1), (100, 7)):
+        monkeypatch.setattr(hmm, "HEAD", head)
+        monkeypatch.setattr(hmm, "LINK", link)
+        for x, y in zip(hmm.expected_counts(np.concatenate(seqs), bounds, start, move, emit), want):
+            assert np.allclose(x, y)
 
 
 def test_likelihood_of_long_texts():
     rng = np.random.default_rng(2)
     start, move, emit = random_model(rng)
-    seqs = [rng.integers(0, 12, n) for n in (1, 255, 256, 257, 1500, 3, 700)]
+    seqs = [rng.integers(0, 12, n) for n in (1, 2047, 2048, 2049, 4500, 3, 700)]
     bounds = np.r_[0, np.cumsum([len(s) for s in seqs])]
     want = []
     for c in seqs:
@@ -58,12 +73,7 @@ def test_likelihood_of_long_texts():
             total += math.log(v.sum())
             v = v / v.sum()
         want.append(total)
-    assert np.allclose(hmm.log_likelihood(np.concatenate(seqs), bounds, hmm.Model({}, start, move, emit)), want)
-
-
-def test_probabilities_sum_to_one():
-    classes = hmm.rest_class(pa.array(["a", "zebra", "zz", "é", "longer-than-eight"]))
-    assert ((0 <= classes) & (classes < hmm.REST)).all()
+    assert np.allclose(hmm.log_likelihood(np.concatenate(seqs), bounds, hmm.Model(start, move, emit)), want)
 
 
 def test_scores(spark):
@@ -84,6 +94,58 @@ def test_scores(spark):
     assert hmm.language_scores(docs.limit(0)).count() == 0
 
 
+def plain_scores(rows, rounds):
+    """score of every row by plain loops: vocabulary, classes, Baum-Welch and the forward recursion over whole texts."""
+    words = lambda t: [w for w in (t or "").encode().lower().split()]
+    out = lambda i: i is not None and zlib.crc32(str(i).encode()) % 10 == 0
+    counts = Counter(w for i, t in rows if not out(i) for w in words(t))
+    ends = sum(not out(i) for i, _ in rows)
+    number = lambda w: (int(hashed(w).view(np.int64)[0]), zlib.crc32(w))
+    hashed = lambda w: next(tx.hashed_words(np.frombuffer(w, np.uint8), np.array([0, len(w)]))).hashes
+    top = {w: k for k, w in enumerate(sorted(counts, key=lambda w: (-counts[w], *number(w)))[: hmm.TOP])}
+    rest = lambda w: hmm.TOP + 1 + int(hmm.rest_class(pa.array([w], pa.binary()))[0])
+    tokens, kinds = np.zeros(hmm.TOP + 1 + hmm.REST), np.zeros(hmm.TOP + 1 + hmm.REST)
+    of = {w: top[w] if w in top else rest(w) for i, t in rows for w in words(t)}
+    for w, n in counts.items():
+        tokens[of[w]] += n
+        kinds[of[w]] += 1
+    tokens[hmm.TOP], kinds[hmm.TOP] = ends, 1
+    seqs = [[*(of[w] for w in words(t)), hmm.TOP] for _, t in rows]
+    start, move, emit = hmm._initial(tokens + hmm.MODEL_SMOOTH)
+    for _ in range(rounds):
+        s, m, e, _ = brute_counts([c for c, (i, _) in zip(seqs, rows) if not out(i)], start, move, emit)
+        start, move, emit = (x / x.sum(-1, keepdims=True) for x in (s + 1, m + 1, e + hmm.MODEL_SMOOTH))
+    scores = []
+    for (_, t), c in zip(rows, seqs):
+        v, total = start, 0.0
+        for k, x in enumerate(c):
+            v = (v if k == 0 else v @ move) * emit[:, x]
+            total, v = total + math.log10(v.sum()), v / v.sum()
+        inner = sum(math.log10((counts[w] + 0.1) / (tokens[of[w]] + 0.1 * (kinds[of[w]] + 1))) for w in words(t) if w not in top)
+        scores.append(total + inner)
+    return scores
+
+
+def test_scores_against_plain_loops(spark, monkeypatch):
+    rng = random.Random(12)
+    rows = [(i, " ".join(rng.choice(["ab", "Cd", "é", "x1"]) + str(rng.randrange(700)) for _ in range(rng.randrange(40)))) for i in range(120)]
+    rows += [(500, None), (501, " "), (None, "ab1 zz"), (7, rows[7][1])]
+    got = hmm.language_scores(spark.createDataFrame(rows, "doc_id long, text string"), rounds=2).collect()
+    want = plain_scores(rows, 2)
+    key = lambda i, x: (str(i), round(x, 6))
+    assert sorted(key(r.doc_id, r.score) for r in got) == sorted(key(i, x) for (i, _), x in zip(rows, want))
+
+
+def test_probabilities_sum_to_one():
+    """Of a class: its known words and one unseen word share it whole."""
+    c = np.array([5.0, 1.0, 0.0, 2.0])
+    known = c > 0
+    share = (c + hmm.SMOOTH) / (c.sum() + hmm.SMOOTH * (known.sum() + 1))
+    assert math.isclose(share[known].sum() + share[~known][0], 1.0)
+    classes = hmm.rest_class(pa.array(["a", "zebra", "zz", "é", "longer-than-eight"]))
+    assert ((0 <= classes) & (classes < hmm.REST)).all()
+
+
 def test_training_raises_likelihood(spark):
     rng = np.random.default_rng(3)
     start, move, emit = random_model(rng)
