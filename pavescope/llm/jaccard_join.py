@@ -70,7 +70,7 @@ def _prints(rarity: np.ndarray, k: int, least: int):
     """doc_id, text_hash, n, digest (two longs) and the window of shingle pivots, rarest first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in tx.slices(batches):
             rows = batch.num_rows
             n, a, b = np.zeros(rows, np.int64), np.zeros(rows, tx.U64), np.zeros(rows, tx.U64)
             pivots: list = [[]] * rows
@@ -85,7 +85,7 @@ def _prints(rarity: np.ndarray, k: int, least: int):
                 order = np.lexsort((own, rarity[sketch.counter_of(own, RARITY_BITS)], doc))
                 sorted_own = own[order].view(np.int64)
                 for row, start, take in zip(here.tolist(), begun.tolist(), _window(n[here], least).tolist()):
-                    pivots[row] = sorted_own[start : start + take]
+                    pivots[row] = sorted_own[start : start + take].copy()  # a view would keep the whole chunk
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(n), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(pivots, pa.list_(pa.int64()))], ["doc_id", "text_hash", "n", "a", "b", "pivots"])
 
     return run
@@ -95,7 +95,7 @@ def _sets(bits: np.ndarray, k: int):
     """doc_id, text_hash and the sorted set of the marked documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in tx.slices(batches):
             hashes = batch.column("mark").to_numpy(zero_copy_only=False)
             batch = batch.take(pa.array(np.flatnonzero(sketch.marked(bits, hashes))))
             sets: list[bytes] = [b""] * batch.num_rows
@@ -232,6 +232,7 @@ class Join:
         theirs = self._with_sets(pairs.join(cuts, "x"), "y").select(F.col("x").alias("its_x"), F.pmod(F.xxhash64("y"), F.col("cuts")).cast("int").alias("its_cut"), "y", F.col("items").alias("its_items"))
         found = ours.groupBy("x", "cut").cogroup(theirs.groupBy("its_x", "its_cut")).applyInArrow(_compare, "x long, y long, both long, union long")
         found = tx.written(found, "jaccard-compared")
+        tx.discard(pairs)
         self.compared = found if self.compared is None else self.compared.unionByName(found)
         return found
 
@@ -247,16 +248,20 @@ class Join:
             return
         label = tx.written(edges.groupBy("u").agg(F.min("v").alias("v")).select("u", F.least("u", "v").alias("c")), "jaccard-labels")
         while True:
+            before = label
             around = edges.join(label.select(F.col("u").alias("v"), F.col("c").alias("near")), "v").groupBy("u").agg(F.min("near").alias("near"))
             nearer = label.join(around, "u").select("u", "c", F.least("c", "near").alias("best"))
             jump = label.select(F.col("u").alias("best"), F.col("c").alias("jumped"))
             after = nearer.join(jump, "best", "left").select("u", F.least("best", F.coalesce("jumped", "best")).alias("now"), "c")
             after = tx.written(after, "jaccard-labels")
+            tx.discard(before)
             label = after.select("u", F.col("now").alias("c"))
             if after.where("now != c").isEmpty():
                 break
         moved = of.join(label, of.component == label.u, "left").select("node", F.coalesce("c", "component").alias("component"))
         self.components = tx.written(moved, "jaccard-components")
+        tx.discard(edges)
+        tx.discard(label)
 
     def may_link(self, n: str, pos: str, m: str, at: str):
         """Whether sets of sizes n and m, with pos and at rarer shingles before the shared one, can link if it is the first they share.

@@ -28,13 +28,13 @@ def corpus_counts(docs: DataFrame, keys: Callable[[tx.Words], np.ndarray], lower
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, rows = np.zeros(1 << bits, np.uint32), 0
-        for batch in batches:
+        for batch in tx.slices(batches):
             rows += batch.num_rows
             for words in tx.hashed_words(*tx.text_bytes(batch.column("text")), lower=lower):
                 np.add.at(own, counter_of(keys(words), bits), 1)
         if rows:
             blocks = own.reshape(-1, 1 << BLOCK_BITS)
-            yield pa.RecordBatch.from_arrays([pa.array(range(-1, len(blocks)), pa.int32()), pa.array([str(rows).encode(), *(zlib.compress(b.tobytes(), 1) for b in blocks)], pa.binary())], ["block", "sums"])
+            yield pa.RecordBatch.from_arrays([pa.array(range(-1, len(blocks)), pa.int32()), pa.array([str(rows).encode(), *(zlib.compress(b.astype(np.int64).tobytes(), 1) for b in blocks)], pa.binary())], ["block", "sums"])
 
     def add(table: pa.Table) -> pa.Table:
         block = table.column("block")[0].as_py()
@@ -43,12 +43,12 @@ def corpus_counts(docs: DataFrame, keys: Callable[[tx.Words], np.ndarray], lower
         else:
             summed = np.zeros(1 << BLOCK_BITS, np.int64)
             for x in table.column("sums"):
-                summed += np.frombuffer(zlib.decompress(x.as_py()), np.uint32)
+                summed += np.frombuffer(zlib.decompress(x.as_py()), np.int64)
             total = zlib.compress(summed.tobytes(), 1)
         return pa.table({"block": pa.array([block], pa.int32()), "sums": pa.array([total], pa.binary())})
 
     parts = docs.select("text").mapInArrow(count, "block int, sums binary")
-    found = {r.block: bytes(r.sums) for r in parts.groupBy("block").applyInArrow(add, "block int, sums binary").collect()}
+    found = {r.block: bytes(r.sums) for r in tx.in_levels(parts, "block", add).collect()}
     if not found:
         return as_kept(np.zeros(1 << bits, np.int64)), 0
     rows = int(found.pop(-1))
@@ -75,7 +75,7 @@ def marks(df: DataFrame, column: str) -> np.ndarray:
         return pa.table({"block": table.column("block").slice(0, 1), "bits": pa.array([bits.tobytes()], pa.binary())})
 
     out = np.zeros((256, 1 << (MARK_BITS - 11)), np.uint8)
-    for r in df.select(column).mapInArrow(mark, "block int, bits binary").groupBy("block").applyInArrow(join, "block int, bits binary").collect():
+    for r in tx.in_levels(df.select(column).mapInArrow(mark, "block int, bits binary"), "block", join).collect():
         out[r.block] = np.frombuffer(bytes(r.bits), np.uint8)
     return out.ravel()
 

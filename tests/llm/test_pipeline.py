@@ -42,7 +42,6 @@ def test_stages(spark, tmp_path):
     kept = {r.doc_id for r in seen["toxicity"]}
     assert not kept & toxic and len(kept) >= 0.98 * len(set(text) - toxic)
     near = Counter(r.doc_id for r in seen["near_copies"])
-    assert not {2000 + k for k in range(20) if k + 2000 in kept} & set(near) or True
     assert all(n == 1 for n in near.values()) and 4000 in near and 4001 in near and 4004 not in near
     assert all(2000 + k not in near for k in range(20) if len(text[2000 + k].split()) > 40)
     cut = {r.doc_id: r for r in seen["passages"]}
