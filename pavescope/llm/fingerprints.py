@@ -1,7 +1,8 @@
 """I-Match document fingerprints.
 
 The lexicon holds the terms (lower-cased words) whose inverse document frequency lies in a band. Document
-frequencies are counted over all documents in hashed counters of fixed size. A document's distinct terms
+frequencies are counted over all documents, term by term. As both edges of the band are shares of the documents, the
+lexicon has at most 1 / LEAST_SHARE times as many terms as a document on average, whatever the corpus. A document's distinct terms
 that are in a randomised subset of the lexicon are sorted and hashed; SUBSETS such subsets, the first the
 whole lexicon and the others ever smaller shares of it, make the fingerprint. Two fingerprints are as
 alike as the share of equal subset hashes among the subsets that hold a term of either.
@@ -17,14 +18,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import sketch
 from . import text as tx
 
 SUBSETS = 32
 #: Shares of the lexicon in the subsets: the whole, half, a quarter, then evenly from 1/8 to 1/2048 in powers.
 SHARES = (1.0, 0.5, 0.25, *(2.0 ** -(3 + 8 * i / (SUBSETS - 4)) for i in range(SUBSETS - 3)))
-#: A term is in the lexicon if at least two documents and at most this share of them hold it.
-MOST_SHARE, LEAST_DOCS = 0.25, 2
+#: A term is in the lexicon if at least this share of the documents (and two of them) and at most that one hold it.
+LEAST_SHARE, MOST_SHARE, LEAST_DOCS = 1 / 4096, 0.25, 2
+#: Terms of a task that are summed before they go on.
+SUM_TERMS = 1 << 21
 
 
 def distinct_terms(words: tx.Words) -> tuple[np.ndarray, np.ndarray]:
@@ -36,18 +38,42 @@ def distinct_terms(words: tx.Words) -> tuple[np.ndarray, np.ndarray]:
     return doc[new], terms[new]
 
 
+def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held: list[np.ndarray] = []
+
+    def summed() -> pa.RecordBatch:
+        terms, n = np.unique(np.concatenate(held), return_counts=True)
+        held.clear()
+        return pa.RecordBatch.from_arrays([pa.array(terms.view(np.int64)), pa.array(n)], ["term", "n"])
+
+    for batch in tx.slices(batches):
+        for words in tx.hashed_words(*tx.text_bytes(batch.column("text")), lower=True):
+            held.append(distinct_terms(words)[1])
+        if sum(map(len, held)) > SUM_TERMS:
+            yield summed()
+    if held:
+        yield summed()
+
+
 def lexicon(docs: DataFrame) -> np.ndarray:
-    """One bit for each counter: whether its terms are in the band."""
-    counts, rows = sketch.corpus_counts(docs, lambda words: distinct_terms(words)[1])
-    return (counts >= LEAST_DOCS) & (counts <= max(LEAST_DOCS, MOST_SHARE * rows))
+    """The hashes of the terms in the band, ascending."""
+    rows = docs.count()
+    counts = docs.select("text").mapInArrow(_term_counts, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    band = F.col("n").between(max(LEAST_DOCS, LEAST_SHARE * rows), max(LEAST_DOCS, MOST_SHARE * rows))
+    # at most (distinct terms of a document, on average) / LEAST_SHARE
+    return np.sort(counts.where(band).select("term").toPandas().term.to_numpy(np.int64).view(tx.U64))
+
+
+def _within(terms: np.ndarray, band: np.ndarray) -> np.ndarray:
+    return band[np.minimum(np.searchsorted(band, terms), len(band) - 1)] == terms if len(band) else np.zeros(len(terms), bool)
 
 
-def hashes_of(texts: pa.Array, lexicon_bits: np.ndarray) -> np.ndarray:
+def hashes_of(texts: pa.Array, band: np.ndarray) -> np.ndarray:
     """Of each text the subset hashes, 0 for a subset without any of its terms."""
     out = np.zeros((len(texts), SUBSETS), np.uint32)
     for words in tx.hashed_words(*tx.text_bytes(texts), lower=True):
         doc, terms = distinct_terms(words)
-        kept = lexicon_bits[sketch.counter_of(terms)]
+        kept = _within(terms, band)
         doc, terms = doc[kept], terms[kept]
         for i, share in enumerate(SHARES):
             in_subset = slice(None) if i == 0 else np.flatnonzero(tx.mix(terms ^ tx.U64(0xA5A5 * i)) <= tx.U64(int(share * (2.0**64 - 2048))))
@@ -128,7 +154,7 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
     yield out
 
 
-def _print(bits: np.ndarray):
+def _print(band: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for pairs in _pairs(batches):
             if not pairs:
@@ -136,11 +162,11 @@ def _print(bits: np.ndarray):
             texts, nexts = [t for _, t, _ in pairs], [x for *_, x in pairs]
             edited = [t[: len(t) - len(t) // 2] + x[: len(t) // 2] for t, x in zip(texts, nexts)]
             # a row's next text is the following row's own, but for the ends of ranges
-            own, new = hashes_of(pa.array(texts, pa.large_string()), bits), hashes_of(pa.array(edited, pa.large_string()), bits)
+            own, new = hashes_of(pa.array(texts, pa.large_string()), band), hashes_of(pa.array(edited, pa.large_string()), band)
             after = np.zeros_like(own)
             after[:-1] = own[1:]
             odd = [k for k in range(len(pairs)) if k + 1 == len(pairs) or nexts[k] is not texts[k + 1]]
-            after[odd] = hashes_of(pa.array([nexts[k] for k in odd], pa.large_string()), bits)
+            after[odd] = hashes_of(pa.array([nexts[k] for k in odd], pa.large_string()), band)
             yield pa.RecordBatch.from_arrays([
                 pa.array([i for i, *_ in pairs], pa.int64()), pa.array([len(t) for t in texts], pa.int64()), pa.array([hashlib.sha256(e.encode()).hexdigest() for e in edited]),
                 pa.array(fingerprint_strings(own)), pa.array(fingerprint_strings(new)), pa.array(likeness(own, new)), pa.array(likeness(own, after)),
@@ -158,7 +184,7 @@ def document_fingerprints(docs: DataFrame) -> DataFrame:
     empty table gives an empty result. Other columns are not looked at.
     """
     docs = docs.select("doc_id", "text")
-    bits = docs.sparkSession.sparkContext.broadcast(lexicon(docs))
+    band = docs.sparkSession.sparkContext.broadcast(lexicon(docs))
     n = tx.partitions_for(docs)
     cuts = docs.agg(F.percentile_approx("doc_id", [(i + 1) / n for i in range(n - 1)] or [0.5], 100_000).alias("cuts"), F.min("doc_id").alias("least")).first()
     # the cuts are near their quantiles; the least doc_id in each range is what bounds it
@@ -167,4 +193,4 @@ def document_fingerprints(docs: DataFrame) -> DataFrame:
     bounds = np.array(sorted(set(firsts) - {cuts.least}), np.int64)
     dealt = docs.mapInArrow(_deal(bounds, cuts.least), "part int, role int, doc_id long, text string")
     dealt = dealt.repartition(n, "part").sortWithinPartitions("part", "role", F.col("doc_id").isNull(), "doc_id", "text")
-    return dealt.mapInArrow(lambda batches: _print(bits.value)(batches), "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return dealt.mapInArrow(lambda batches: _print(band.value)(batches), "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
