@@ -25,7 +25,7 @@ from . import text as tx
 MOST_LABELS = 20_000
 THRESHOLD = 0.7
 STEMS, NEAR = (4, 5, 6), 5
-MOST_TERMS, LEAST_TOXIC = 2_000, 4
+LEAST_TOXIC, FOLDS = 4, 3
 SLICE = 256
 
 # Words that insult in the four languages, and words that address a second person.
@@ -128,11 +128,12 @@ def _features(texts: pa.Array, lexicon: Lexicon) -> np.ndarray:
 
 
 def _term_docs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """kind (0 words, else a stem's length), hash, toxic and clean documents, summed over each slice."""
+    """fold, kind (0 words, else a stem's length), hash, toxic and clean documents, summed over each slice."""
     for batch in (whole.slice(a, SLICE) for whole in batches for a in range(0, whole.num_rows, SLICE)):
         toxic = batch.column("toxic").to_numpy(zero_copy_only=False).astype(bool)
+        folds = batch.column("fold").to_numpy(zero_copy_only=False)
         plain, _ = spelled_out((parts := tx.text_bytes(batch.column("text")))[0])
-        kinds, hashes, bad = [], [], []
+        kinds, hashes, bad, fold = [], [], [], []
         for words in tx.hashed_words(plain, parts[1], STEMS):
             doc = words.first + np.repeat(np.arange(len(words.bounds) - 1), np.diff(words.bounds))
             for kind, own in ((0, words.hashes), *words.stems.items()):
@@ -142,9 +143,27 @@ def _term_docs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 kinds.append(np.full(one.sum(), kind, np.int32))
                 hashes.append(h[one])
                 bad.append(toxic[d[one]])
+                fold.append(folds[d[one]])
         if kinds:
-            sums = pd.DataFrame({"kind": np.concatenate(kinds), "hash": np.concatenate(hashes).view(np.int64), "toxic": np.concatenate(bad)}).groupby(["kind", "hash"]).toxic.agg(["sum", "count"]).reset_index()
-            yield pa.RecordBatch.from_arrays([pa.array(sums.kind), pa.array(sums.hash), pa.array(sums["sum"].astype(np.int64)), pa.array((sums["count"] - sums["sum"]).astype(np.int64))], ["kind", "hash", "toxic", "clean"])
+            sums = pd.DataFrame({"fold": np.concatenate(fold), "kind": np.concatenate(kinds), "hash": np.concatenate(hashes).view(np.int64), "toxic": np.concatenate(bad)}).groupby(["fold", "kind", "hash"]).toxic.agg(["sum", "count"]).reset_index()
+            yield pa.RecordBatch.from_arrays([pa.array(sums.fold.astype(np.int32)), pa.array(sums.kind), pa.array(sums.hash), pa.array(sums["sum"].astype(np.int64)), pa.array((sums["count"] - sums["sum"]).astype(np.int64))], ["fold", "kind", "hash", "toxic", "clean"])
+
+
+def _lexicons(sample: DataFrame) -> tuple[list[Lexicon], int, int]:
+    """A lexicon learned without each of the folds, then one of the whole sample; and the sample's toxic and clean documents."""
+    sides = {(r.fold, r.toxic): r.n for r in sample.groupBy("fold", "toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    seen = [[f for f in range(FOLDS) if f != without] for without in range(FOLDS)] + [list(range(FOLDS))]
+    bad, good = ([sum(sides.get((f, t), 0) for f in folds) for folds in seen] for t in (1, 0))
+    terms = sample.mapInArrow(_term_docs, "fold int, kind int, hash long, toxic long, clean long")
+    # a term's counts in one fold go to the lexicons that may see them
+    goes = F.explode(F.filter(F.sequence(F.lit(0), F.lit(FOLDS)), lambda k: k != F.col("fold")))
+    terms = terms.withColumn("of", goes).groupBy("of", "kind", "hash").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    prior = F.element_at(F.array(*[F.lit(float(np.log((b + 1) / (g + 1)))) for b, g in zip(bad, good)]), F.col("of") + 1)
+    lift = F.log((F.col("toxic") + 0.5) / (F.col("clean") + 0.5)) - prior
+    # the terms of a bounded sample
+    found = terms.where(F.col("toxic") >= LEAST_TOXIC).where((lift > 2.5) & (lift > 2.0 / F.sqrt(F.col("toxic").cast("double")))).select("of", "kind", "hash").toPandas()
+    hashes = lambda of, kind: np.sort(found.hash[(found.of == of) & (found.kind == kind)].to_numpy(np.int64).view(tx.U64))
+    return [Lexicon(_hashes(INSULTS), _hashes(SECOND_PERSON), hashes(of, 0), {k: hashes(of, k) for k in STEMS}) for of in range(FOLDS + 1)], bad[-1], good[-1]
 
 
 @dataclass
@@ -166,31 +185,26 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELS) -> Model:
     known = labels.where(~held_out() & F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     # at most `most` rows of two numbers
-    sample = tx.written(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").where("text IS NOT NULL").groupBy("doc_id").agg(F.max("text").alias("text"), F.max("toxic").alias("toxic")), "toxicity-sample")
-    n = {r.toxic: r.n for r in sample.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
-    bad, good = n.get(1, 0), n.get(0, 0)
-    terms = sample.mapInArrow(_term_docs, "kind int, hash long, toxic long, clean long").groupBy("kind", "hash").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    lift = F.log((F.col("toxic") + 0.5) / (F.col("clean") + 0.5)) - float(np.log((bad + 1) / (good + 1)))
-    weight = (lift - 2.0 / F.sqrt(F.col("toxic").cast("double"))) * F.sqrt(F.col("toxic").cast("double"))
-    found = terms.where(F.col("toxic") >= LEAST_TOXIC).withColumn("weight", weight).where((lift > 2.5) & (F.col("weight") > 0)).orderBy(F.desc("weight"), "kind", "hash").limit(MOST_TERMS).toPandas()
-    of = lambda kind: np.sort(found.hash[found.kind == kind].to_numpy(np.int64).view(tx.U64))
-    lexicon = Lexicon(_hashes(INSULTS), _hashes(SECOND_PERSON), of(0), {k: of(k) for k in STEMS})
+    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").where("text IS NOT NULL").groupBy("doc_id").agg(F.max("text").alias("text"), F.max("toxic").alias("toxic"))
+    sample = tx.written(sample.withColumn("fold", F.pmod(F.xxhash64("doc_id"), F.lit(FOLDS)).cast("int")), "toxicity-sample")
+    lexicons, bad, good = _lexicons(sample)
     if not bad or not good:
-        return Model(lexicon, None, (np.zeros(1), np.zeros(1)), bad / max(bad + good, 1))
+        return Model(lexicons[-1], None, (np.zeros(1), np.zeros(1)), bad / max(bad + good, 1))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), pa.array(features(batch.column("text"), lexicon).tolist(), pa.list_(pa.float64()))], ["doc_id", "toxic", "x"])
+        for batch in tx.slices(batches):
+            x = np.stack([features(batch.column("text"), lexicon) for lexicon in lexicons], 1)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), batch.column("fold"), pa.array([r.tobytes() for r in x], pa.binary())], ["doc_id", "toxic", "fold", "x"])
 
-    got = sample.mapInArrow(rows, "doc_id long, toxic int, x array<double>").toPandas().sort_values("doc_id")
-    x, y = np.array(got.x.tolist()), got.toxic.to_numpy(float)
-    fold = tx.mix(got.doc_id.to_numpy(np.int64).view(tx.U64)) % tx.U64(3)
+    got = sample.select("doc_id", "text", "toxic", "fold").mapInArrow(rows, "doc_id long, toxic int, fold int, x binary").toPandas().sort_values("doc_id")
+    x = np.frombuffer(b"".join(got.x), float).reshape(len(got), FOLDS + 1, len(FEATURES))
+    y, fold = got.toxic.to_numpy(float), got.fold.to_numpy()
     margin = np.zeros(len(y))
-    for f in range(3):  # what a document's calibration margin comes from has not seen it
+    for f in range(FOLDS):  # neither the lexicon nor the trees of a document's calibration margin have seen it
         rest, own = fold != f, fold == f
         if own.any() and rest.any():
-            margin[own] = boosting.fit(x[rest], y[rest]).margin(x[own])
-    return Model(lexicon, boosting.fit(x, y), boosting.isotonic(margin, y), bad / (bad + good))
+            margin[own] = boosting.fit(x[rest, f], y[rest]).margin(x[own, f])
+    return Model(lexicons[-1], boosting.fit(x[:, -1], y), boosting.isotonic(margin, y), bad / (bad + good))
 
 
 def scored(docs: DataFrame, model: Model, name: str = "toxicity") -> DataFrame:
@@ -200,7 +214,7 @@ def scored(docs: DataFrame, model: Model, name: str = "toxicity") -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in tx.slices(batches):
             scores = pa.array(sent.value.score(batch.column("text")), pa.float64())
             yield pa.RecordBatch.from_arrays([*batch.columns, scores], [*batch.schema.names, name])
 
@@ -220,7 +234,7 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in tx.slices(batches):
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sent.value.score(batch.column("text")), pa.float64())], ["doc_id", "score"])
 
     out = texts.mapInArrow(run, "doc_id long, score double")
