@@ -1,6 +1,6 @@
 import numpy as np
 
-from pavescope.llm.hilbert_ann import hilbert_index, nearest
+from pavescope.llm.hilbert_ann import cheapest, hilbert_index, nearest
 
 SCHEMA = "vec_id long, embedding array<float>, label int, rank int"
 
@@ -26,12 +26,18 @@ def test_hilbert_is_a_curve():
     assert (np.abs(np.diff(cells[order], axis=0)).sum(1) == 1).all()
 
 
-def test_exact_when_small(spark):
+def test_cheapest_choice():
+    assert cheapest(np.array([[0, 9, 9, 9]] * 10), 32, 0.95) == (2, 0)
+    assert cheapest(np.array([[9, 9, 9, 1]] * 10), 32, 0.95) == (4, 1)
+    assert cheapest(np.array([[9, 8, 9, 9]] * 10), 32, 0.95) == (2, 8)
+
+
+def test_exact_with_goal_one(spark):
     rng = np.random.default_rng(0)
     rows = [(i, rng.standard_normal(16).tolist()) for i in range(400)]
     rows += [(450, rows[7][1]), (451, rows[7][1]), (500, rows[100][1]), (600, None), (601, []), (602, [0.0] * 16), (603, [float("nan")] * 16), (604, [None] + [1.0] * 15), (None, rows[3][1]), (400, [float("inf")] * 16)]
     got = {}
-    for r in nearest(spark.createDataFrame([(i, v, 1, 1) for i, v in rows], SCHEMA)).collect():
+    for r in nearest(spark.createDataFrame([(i, v, 1, 1) for i, v in rows], SCHEMA), goal=1.0).collect():
         got.setdefault(r.query_id, []).append((r.rank, round(-r.score, 12), r.vec_id))
     assert {q: [x[1:] for x in sorted(v)] for q, v in got.items()} == brute(rows)
 
@@ -55,6 +61,17 @@ def test_recall(spark):
     assert hits >= 0.9 * 5 * len(want) and all(len(v) == 5 for v in got.values())
 
 
+def test_repeated_ids_above_a_block(spark):
+    """A vec_id repeated beside a query takes one place, in a table of some blocks as well."""
+    rng = np.random.default_rng(8)
+    rows = [(i, rng.standard_normal(16).tolist()) for i in range(3000)]
+    rows += [(7, (np.array(rows[0][1]) + 0.001 * j).tolist()) for j in range(6)]
+    got = {}
+    for r in nearest(spark.createDataFrame([(i, v, 1, 1) for i, v in rows], SCHEMA), goal=1.0).collect():
+        got.setdefault(r.query_id, []).append((r.rank, round(-r.score, 12), r.vec_id))
+    assert {q: [x[1:] for x in sorted(v)] for q, v in got.items()} == brute(rows)
+
+
 def test_repeated_ids_count_once(spark):
     """Rows that repeat a vec_id, equal or not, take one place among the neighbours."""
     rng = np.random.default_rng(5)
@@ -62,6 +79,6 @@ def test_repeated_ids_count_once(spark):
     near = [(200 + i, (np.array(rows[50][1]) + 0.01 * (i + 1)).tolist()) for i in range(3)]
     rows = [r for r in rows for _ in range(2)] + [r for r in near for _ in range(7)] + [(201, (np.array(rows[50][1]) * 2 + 0.001).tolist())]
     got = {}
-    for r in nearest(spark.createDataFrame([(i, v, 1, 1) for i, v in rows], SCHEMA)).collect():
+    for r in nearest(spark.createDataFrame([(i, v, 1, 1) for i, v in rows], SCHEMA), goal=1.0).collect():
         got.setdefault(r.query_id, []).append((r.rank, round(-r.score, 12), r.vec_id))
     assert {q: [x[1:] for x in sorted(v)] for q, v in got.items()} == brute(rows)
