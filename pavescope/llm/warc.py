@@ -3,7 +3,9 @@
 Writers cut their captures into runs of bounded size, sort each by (URL key, timestamp) and write it as
 one archive of gzip members together with its index lines. The index lines are range-partitioned by
 (URL key, timestamp), and in each range a loser tree merges the sorted slices of all runs, which gives
-capture histories in one global order. Archives are read back record by record through that index.
+capture histories in one global order: each capture's place in the history of its URL key, and the capture
+before it. Histories that cross ranges are joined by one row a range. Archives are read back record by record
+through that index.
 """
 
 from __future__ import annotations
@@ -18,7 +20,8 @@ from datetime import datetime, timedelta
 
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import text as tx
@@ -28,14 +31,26 @@ LEAST_REVISIT = 1_000
 RUN_BYTES = 32 << 20
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 INDEX = "url_key string, captured_at string, record string, file string, offset long, length long"
+HISTORY = INDEX + ", part int, place long, before string"
+#: Index lines meant for one range of the merge, which are in its task's memory.
+RANGE_LINES = 200_000
 
 
 def open_folder(path: str) -> tuple[fs.FileSystem, str]:
-    if path.startswith("file:") or "://" not in path:
+    if path.startswith("file:"):
         return fs.LocalFileSystem(), "/" + path.removeprefix("file:").lstrip("/")
+    for ours, theirs in (("s3a://", "s3://"), ("s3n://", "s3://"), ("abfss://", "abfs://")):
+        path = theirs + path.removeprefix(ours) if path.startswith(ours) else path
     return fs.FileSystem.from_uri(path)
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """path with the scheme of the file system that Spark takes it to be on: the default one where it names none."""
+    jvm = spark._jvm
+    given = jvm.org.apache.hadoop.fs.Path(path)
+    return given.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(given).toString()
+
+
 def url_key(url: str | None) -> str:
     """Host labels in reverse, then the rest: ``http://a.Example.org/x?q`` is ``org,example,a)/x?q``."""
     scheme, found, rest = (url or "").partition("://")
@@ -147,18 +162,28 @@ class LoserTree:
 
 
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of one key range, sorted by (file, key, time): the slices of the runs one after another."""
+    """Rows of one key range, sorted by (file, key, time): the slices of the runs one after another. With each line's
+    place among those of its key in this range, and the record before it there.
+    """
     rows = [r for batch in batches for r in zip(*(c.to_pylist() for c in batch.columns))]
     edges = [i for i in range(len(rows)) if i == 0 or rows[i][3] != rows[i - 1][3]] + [len(rows)]
-    merged, names = LoserTree(rows[a:b] for a, b in zip(edges[:-1], edges[1:])), ["url_key", "captured_at", "record", "file", "offset", "length"]
-    out = []
-    for row in merged:
-        out.append(row)
+    names = [c.split()[0] for c in HISTORY.split(", ")]
+    part, out, last, place = TaskContext.get().partitionId(), [], None, 0
+    for row in LoserTree(rows[a:b] for a, b in zip(edges[:-1], edges[1:])):
+        follows = last is not None and last[0] == row[0]
+        place = place + 1 if follows else 1
+        out.append((*row, part, place, last[2] if follows else None))
+        last = row
         if len(out) == 10_000:
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out)], names)
+            yield _lines(out, names)
             out = []
     if out:
-        yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out)], names)
+        yield _lines(out, names)
+
+
+def _lines(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
+    kinds = {"offset": pa.int64(), "length": pa.int64(), "place": pa.int64(), "part": pa.int32()}
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds.get(k, pa.string())) for k, c in zip(names, zip(*rows))], names)
 
 
 def write_archives(pages: DataFrame, folder: str, run_bytes: int = RUN_BYTES) -> DataFrame:
@@ -172,14 +197,34 @@ def write_archives(pages: DataFrame, folder: str, run_bytes: int = RUN_BYTES) ->
 
 
 def capture_index(lines: DataFrame) -> DataFrame:
-    """The index lines of all runs in global order of (url_key, captured_at, record, file, offset): by partition, and inside each."""
-    n = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    """The index lines of all runs (HISTORY) in global order of (url_key, captured_at, record, file, offset): by part, and inside each.
+
+    place counts the captures of a URL key from 1 in this order, before is the record of the capture before.
+    """
+    n = max(1, -(-lines.count() // RANGE_LINES))
     order = ["url_key", "captured_at", "record", "file", "offset"]
-    return lines.repartitionByRange(n, *order).sortWithinPartitions("file", *order[:3], "offset").mapInArrow(_merge, INDEX)
+    # written once: the numbers of the parts are those of this one run
+    merged = tx.written(lines.repartitionByRange(n, *order).sortWithinPartitions("file", *order[:3], "offset").mapInArrow(_merge, HISTORY), "warc-merged")
+    # one row a range of RANGE_LINES lines; a key's ranges follow each other
+    last = F.max_by(F.struct("url_key", "place", "record"), F.struct("url_key", "place"))
+    ends = merged.groupBy("part").agg(last.alias("last"), F.min("url_key").alias("first_key")).select("part", "first_key", "last.*")
+    upto = F.sum("place").over(Window.partitionBy("url_key").orderBy("part"))
+    before = Window.orderBy("part")
+    carried = ends.withColumn("upto", upto).select("part", "first_key", *[F.lag(k).over(before).alias(f"last_{k}") for k in ("url_key", "upto", "record")])
+    carried = carried.where("first_key = last_url_key").select("part", F.col("first_key").alias("url_key"), "last_upto", "last_record")
+    whole = merged.join(carried, ["part", "url_key"], "left")
+    names = [c.split()[0] for c in HISTORY.split(", ")]
+    out = whole.withColumn("before", F.when(F.col("place") == 1, F.col("last_record")).otherwise(F.col("before"))).withColumn("place", F.col("place") + F.coalesce("last_upto", F.lit(0)))
+    return out.select(*names)
+
+
+_READ = pa.schema([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("url_key", pa.string()), ("captured_at", pa.string()), ("place", pa.int64()), ("before", pa.int64())])
 
 
 def read_records(index: DataFrame, folder: str) -> DataFrame:
-    """The indexed records: page_id, payload_bytes, payload_digest, record_type, refers_to, url_key, captured_at."""
+    """The indexed records: page_id, payload_bytes, payload_digest, record_type, refers_to, url_key, captured_at, and the
+    capture's place in the history of its url_key with the page_id of the capture before it.
+    """
     n = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,26 +232,25 @@ def read_records(index: DataFrame, folder: str) -> DataFrame:
         name, source = None, None
         for batch in batches:
             out = []
-            for key, when, _, file, offset, length in zip(*(c.to_pylist() for c in batch.columns)):
+            for key, when, file, offset, length, place, before in zip(*(c.to_pylist() for c in batch.columns)):
                 if file != name:
                     name, source = file, files.open_input_file(f"{base}/{file}")
                 source.seek(offset)
-                out.append((*parse(zlib.decompress(source.read(length), 31)), key, when))
+                out.append((*parse(zlib.decompress(source.read(length), 31)), key, when, place, None if before in (None, "None") else int(before)))
             if out:
-                cols = list(zip(*out))
-                kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "captured_at"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), _READ)], schema=_READ)
 
-    dealt = index.repartition(n, "file", F.expr(f"offset div {RUN_BYTES // 8}")).sortWithinPartitions("file", "offset")
-    return dealt.mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url_key string, captured_at string")
+    lines = index.select("url_key", "captured_at", "file", "offset", "length", "place", "before")
+    dealt = lines.repartition(n, "file", F.expr(f"offset div {RUN_BYTES // 8}")).sortWithinPartitions("file", "offset")
+    return dealt.mapInArrow(run, tx.ddl(_READ))
 
 
 def archived(pages: DataFrame, folder: str | None = None) -> DataFrame:
-    """Every row of pages written to archives, indexed and read back.
+    """Every row of pages written to archives, indexed and read back through the merged capture index (see read_records).
 
     Null html is an empty payload, a null url has the empty key. Of equal payloads of LEAST_REVISIT bytes or
     more the greatest page_id (nulls least) responds; rows repeating it respond as well, all others revisit it.
     An empty table writes nothing and gives an empty result. Other columns are not looked at.
     """
-    folder = folder or f"{tx.shared_dir(pages.sparkSession)}/warc-{uuid.uuid4().hex}"
+    folder = qualified(pages.sparkSession, folder or f"{tx.shared_dir(pages.sparkSession)}/warc-{uuid.uuid4().hex}")
     return read_records(capture_index(write_archives(pages, folder)), folder)

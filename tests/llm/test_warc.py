@@ -1,10 +1,11 @@
 import hashlib
 import random
 
+from pavescope.llm import warc
 from pavescope.llm.warc import LoserTree, archived, capture_index, parse, record, url_key, write_archives
 
 
-def test_round_trip(spark, tmp_path):
+def test_round_trip(spark, tmp_path, monkeypatch):
     rng = random.Random(8)
     bodies = ["x" * 999, "é" * 500, "y" * 1000, "", None, "\r\n\r\n<p>" * 300, "z" * 300_000]
     rows = [(i, rng.choice([None, "", "http://a.org/1", "http://b.a.org/é?q#f", "x://\n h/"]), rng.choice(bodies), 1, "k") for i in range(200)]
@@ -22,8 +23,20 @@ def test_round_trip(spark, tmp_path):
     got = [tuple(r)[:5] for r in archived(pages).collect()]
     assert sorted(got, key=str) == sorted(want, key=str)
     lines = write_archives(pages, f"file://{tmp_path}/w", run_bytes=100_000)
-    index = [tuple(r) for r in capture_index(lines).collect()]
-    assert len({r[3] for r in index}) > 3 and index == sorted(index) and len(index) == len(rows)
+    for size in (200_000, 7):  # in one range, and in many that cut histories
+        monkeypatch.setattr(warc, "RANGE_LINES", size)
+        index = [tuple(r) for r in capture_index(lines).orderBy("part", "url_key", "captured_at", "record", "file", "offset").collect()]
+        assert len({r[3] for r in index}) > 3 and len(index) == len(rows)
+        assert (len({r[6] for r in index}) > 5) == (size == 7)
+        assert [r[:6] for r in index] == sorted(r[:6] for r in index)
+        last = {}
+        for key, _, record, _, _, _, _, place, before in index:
+            assert (place - 1, before) == last.get(key, (0, None))
+            last[key] = place, record
+    history = {}
+    for r in sorted(archived(pages).collect(), key=lambda r: (r.url_key, r.captured_at, str(r.page_id))):
+        assert r.place == len(history.setdefault(r.url_key, [])) + 1
+        history[r.url_key].append(r.page_id)
     assert archived(pages.limit(0)).count() == 0
 
 
