@@ -16,3 +16,22 @@ NEIGHBOURS, PERSIST_IOU, SHIFT = 2, 0.30, 0.15
 EARTH_M = 6_371_000.0
 # Class weights of the first rule score.
 RULE_WEIGHTS = {"D00": 4.0, "D10": 4.0, "D20": 8.0, "D40": 12.0}
+#: Confidence from which a box counts as a detection for severity cutoffs and scores, from which it has a say at all, and of the rule score.
+DETECTION, SOFT, RULE_CONF = 0.5, 0.05, 0.98
+# Actions that a state allows, urgency of a priority level, days to act.
+ACTIONS = ("mantenimiento_rutinario", "sellado_de_fisuras", "parcheo", "bacheo", "rehabilitacion", "reconstruccion")
+ALLOWED = {
+    "bueno": ("mantenimiento_rutinario",), "satisfactorio": ("mantenimiento_rutinario", "sellado_de_fisuras"), "regular": ("sellado_de_fisuras", "parcheo", "bacheo"),
+    "malo": ("parcheo", "bacheo", "rehabilitacion"), "muy_malo": ("bacheo", "rehabilitacion", "reconstruccion"),
+}
+URGENCY = {"alta": "inmediata_30_dias", "media": "programada_6_meses", "baja": "rutinaria_12_meses"}
+# Codes of the city's road inventory (surface, state), and surface groups.
+CITY_SURFACE = {0: "sin dato", 1: "rigido", 2: "flexible", 3: "mixto", 4: "adoquin_concreto", 5: "adoquin_arcilla", 6: "afirmado", 8: "tierra", 12: "piedra_laja", 13: "placa_huella"}
+CITY_STATE = {1: "bueno", 2: "regular", 3: "malo"}
+CITY_GROUP = {"flexible": "asfalto", "adoquin_concreto": "adoquin", "adoquin_arcilla": "adoquin"}
+# Names of damages in texts, and of states.
+DAMAGE_TEXT = {"D00": "grieta longitudinal", "D10": "grieta transversal", "D20": "piel de cocodrilo", "D40": "bache"}
+# Weights of crashes by gravity, and the area that they are looked for in (latitudes, longitudes).
+CRASH_WEIGHT = {"SOLO DANOS": 1, "CON HERIDOS": 3, "CON MUERTOS": 10}
+CRASH_AREA = ((3.5, 5.0), (-75.0, -73.5))
+CENTRE = (4.598, -74.076)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column
@@ -78,9 +79,9 @@ def wide_band(cls: Column, w: Column, h: Column) -> Column:
     return (cls == "D10") & (w > 0.5) & (h < 0.15)
 
 
-def iou(a: str, b: str, shift: float = 0.0) -> Column:
+def iou(a: str | Column, b: str | Column, shift: float = 0.0) -> Column:
     """Of the boxes in structs a and b (cx, cy, w, h), b moved down by shift."""
-    of = lambda s, f: F.col(f"{s}.{f}")
+    of = lambda s, f: (F.col(s) if isinstance(s, str) else s)[f]
     span = lambda x, n: F.greatest(F.lit(0.0), F.least(of(a, x) + of(a, n) / 2, of(b, x) + (shift if x == "cy" else 0.0) + of(b, n) / 2) - F.greatest(of(a, x) - of(a, n) / 2, of(b, x) + (shift if x == "cy" else 0.0) - of(b, n) / 2))
     both = span("cx", "w") * span("cy", "h")
     return both / (of(a, "w") * of(a, "h") + of(b, "w") * of(b, "h") - both + 1e-9)
@@ -91,6 +92,17 @@ def haversine(lat: Column, lon: Column, lat2: Column, lon2: Column) -> Column:
     return 2 * c.EARTH_M * F.asin(F.sqrt(a))
 
 
+def local_distance(lat: Column, lon: Column, lat0: float, lon0: float) -> Column:
+    """Metres from a place in the plane that touches the earth there."""
+    return F.hypot((lat - lat0) * 111320, (lon - lon0) * 111320 * F.cos(F.radians(F.lit(lat0))))
+
+
+def mercator(x: Column, y: Column) -> tuple[Column, Column]:
+    """Latitude and longitude of web-mercator metres."""
+    half = math.pi * 6378137.0
+    return F.degrees(2 * F.atan(F.exp(y / 6378137.0)) - math.pi / 2), x / half * 180
+
+
 def geohash(lat: Column, lon: Column, length: int) -> Column:
     """Interleaved bits of the scaled coordinates, five to a character."""
     bits = length * 5

@@ -11,6 +11,8 @@ from pyspark.sql import Window
 from .. import config as c
 from ..functions import exprs as x
 
+#: Frames of a run that one task looks through for lasting boxes.
+STRETCH = 256
 KEY = ("image_id", "cls", "l_partkey", "l_suppkey", "l_linenumber", "conf", "cx", "cy", "w", "h")
 
 
@@ -29,15 +31,17 @@ def filtered(boxes: DataFrame, frames: DataFrame, surface: Column | None = None)
     )
     if surface is not None:
         reason = reason.when(_surface_bars(surface), "2_superficie")
-    early = boxes.select(*KEY).distinct().withColumn("early", reason).join(frames, "image_id")
-    alive = early.where(col("early").isNull()).select("segment_id", "cls", "chain_pos", F.struct("cx", "cy", "w", "h").alias("a"))
-    # a partner stands up to NEIGHBOURS frames away: dealt out to those positions, the join is on equality
-    steps = [s for s in range(-c.NEIGHBOURS, c.NEIGHBOURS + 1) if s]
-    near = alive.select("segment_id", "cls", F.explode(F.array(*[col("chain_pos") + s for s in steps])).alias("chain_pos"), col("a").alias("b")).distinct()
-    best = F.greatest(*[x.iou("a", "b", s) for s in (0.0, c.SHIFT, -c.SHIFT)])
-    lasting = alive.join(near, ["segment_id", "cls", "chain_pos"]).where(best >= c.PERSIST_IOU).select("segment_id", "cls", "chain_pos", "a").distinct().withColumn("lasts", F.lit(True))
-    out = early.withColumn("a", F.struct("cx", "cy", "w", "h")).join(lasting, ["segment_id", "cls", "chain_pos", "a"], "left")
-    return out.select(*KEY, F.coalesce("early", F.when(col("lasts").isNull(), "3_sin_persistencia"), F.lit("")).alias("reason"))
+    # boxes of images that are no frames have no neighbours to last in, and stay
+    early = boxes.select(*KEY).withColumn("early", reason).join(frames.select("image_id", "segment_id", "chain_pos"), "image_id", "left")
+    # a run is dealt to stretches, with the boxes of the frames just before and after each: no run is in one task
+    own = F.floor(col("chain_pos") / STRETCH)
+    reach = F.array_distinct(F.array(own, F.floor((col("chain_pos") - c.NEIGHBOURS) / STRETCH), F.floor((col("chain_pos") + c.NEIGHBOURS) / STRETCH)))
+    alive = early.where(col("early").isNull() & col("segment_id").isNotNull()).withColumn("own", own).withColumn("stretch", F.explode(reach))
+    near = Window.partitionBy("segment_id", "cls", "stretch").orderBy("chain_pos").rangeBetween(-c.NEIGHBOURS, c.NEIGHBOURS)
+    alive = alive.withColumn("a", F.struct("cx", "cy", "w", "h")).withColumn("near", F.collect_list(F.struct("chain_pos", "cx", "cy", "w", "h")).over(near)).where("own = stretch")
+    alike = lambda b: (b["chain_pos"] != col("chain_pos")) & (F.greatest(*[x.iou(col("a"), b, s) for s in (0.0, c.SHIFT, -c.SHIFT)]) >= c.PERSIST_IOU)
+    judged = alive.select(*KEY, F.when(F.exists("near", alike), "").otherwise("3_sin_persistencia").alias("reason"))
+    return early.where(col("early").isNotNull() | col("segment_id").isNull()).select(*KEY, F.coalesce("early", F.lit("")).alias("reason")).unionByName(judged)
 
 
 def matched(detections: DataFrame, truth: DataFrame, least: float = 0.5) -> DataFrame:

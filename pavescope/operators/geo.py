@@ -2,34 +2,77 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from ..functions import exprs as x
+from ..session import cut
+from . import sampling
+
+#: A little less than the metres of a degree of latitude.
+DEGREE_M = 110_000.0
+
+
+def _cell(row: Column, radius: float) -> Column:
+    """Columns that a row of cells has around the earth: none narrower than radius, nor in the rows beside it; one near the poles."""
+    shrink = F.cos(F.radians(F.least((F.abs(row) + 2) * radius / DEGREE_M, F.lit(90.0))))
+    return F.when(shrink < 20 * radius / 6_371_000.0, 1).otherwise(F.greatest(F.floor(360 * DEGREE_M * shrink / radius), F.lit(1))).cast("long")
+
+
+def _column(lon: Column, columns: Column) -> Column:
+    return F.least(F.floor(F.pmod(lon + 180, F.lit(360.0)) / 360 * columns).cast("long"), columns - 1)
+
+
+def pairs_within(points: DataFrame, refs: DataFrame, radius: float) -> DataFrame:
+    """Points with each reference (columns ref_*) within radius metres and their distance d: an equi-join over cells.
+
+    Cells are as wide as the radius at every latitude and go around the date line. Rows with a null or NaN coordinate take no part.
+    """
+    known = lambda df: df.where(F.col("lat").isNotNull() & F.col("lon").isNotNull() & ~F.isnan("lat") & ~F.isnan("lon"))
+    row = F.floor(F.col("lat") * DEGREE_M / radius).cast("long")
+    q = known(points).withColumn("_row", F.explode(F.array(*[row + d for d in (-1, 0, 1)]))).withColumn("_n", _cell(F.col("_row"), radius))
+    around = F.array_distinct(F.array(*[F.pmod(_column(F.col("lon"), F.col("_n")) + d, F.col("_n")) for d in (-1, 0, 1)]))
+    r = known(refs).select(*[F.col(k).alias(f"ref_{k}") for k in refs.columns], row.alias("_row"))
+    r = r.withColumn("_column", _column(F.col("ref_lon"), _cell(F.col("_row"), radius)))
+    d = x.haversine(F.col("lat"), F.col("lon"), F.col("ref_lat"), F.col("ref_lon"))
+    return q.withColumn("_column", F.explode(around)).join(r, ["_row", "_column"]).withColumn("d", d).where(F.col("d") <= radius).drop("_row", "_column", "_n")
+
+
+def within(points: DataFrame, refs: DataFrame, radius: float, weight: str | None = None) -> DataFrame:
+    """Per point: id, n references within radius metres, the distance of the nearest of them (null if none) and, with weight, their sum of it."""
+    more = [F.sum(f"ref_{weight}").alias("weight")] if weight else []
+    near = pairs_within(points, refs, radius).groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.min("d").alias("nearest_m"), *more)
+    zero = [F.coalesce("weight", F.lit(0)).alias("weight")] if weight else []
+    return points.join(near, "id", "left").select("id", F.coalesce("n", F.lit(0)).alias("n"), "nearest_m", *zero)
 
-#: Metres of a degree of latitude, and a lower bound of those of a degree of longitude between the tropics.
-LAT_M, LON_M = 111_000.0, 101_000.0
 
+def nearest(points: DataFrame, refs: DataFrame, radius: float = 500.0) -> DataFrame:
+    """id, ref_id and distance of the nearest reference of every point, however far (ties to the least ref_id); null without references.
 
-def within(points: DataFrame, refs: DataFrame, radius: float) -> DataFrame:
-    """Count of references within radius metres and the distance of the nearest of them (null if none)."""
-    row, column = F.floor(F.col("lat") * LAT_M / radius), F.floor(F.col("lon") * LON_M / radius)
-    around = lambda k: F.explode(F.array(*[F.col(k) + d for d in (-1, 0, 1)]))
-    q = points.withColumn("row", row).withColumn("column", column).withColumn("row", around("row")).withColumn("column", around("column"))
-    r = refs.select(F.col("id").alias("ref"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2"), row.alias("row"), column.alias("column"))
-    d = x.haversine(F.col("lat"), F.col("lon"), F.col("lat2"), F.col("lon2"))
-    near = q.join(r, ["row", "column"]).withColumn("d", d).where(F.col("d") <= radius).groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.min("d").alias("nearest_m"))
-    return points.join(near, "id", "left").select("id", F.coalesce("n", F.lit(0)).alias("n"), "nearest_m")
+    Rings of eight times the radius follow for the points that have found none.
+    """
+    found, left = [], points
+    while True:
+        best = F.min(F.struct("d", F.col("ref_id"))).alias("b")
+        here = cut(pairs_within(left, refs, radius).groupBy("id").agg(best).select("id", "b.ref_id", F.col("b.d").alias("nearest_m")))
+        found.append(here)
+        left = cut(left.join(here, "id", "left_anti"))
+        if radius > 2.1e7 or left.isEmpty():
+            break
+        radius *= 8
+    every = reduce(DataFrame.unionByName, found)
+    return every.unionByName(left.select("id", F.lit(None).cast(refs.schema["id"].dataType).alias("ref_id"), F.lit(None).cast("double").alias("nearest_m")))
 
 
 def percentile_of(values: DataFrame, refs: DataFrame, value: str, ref: str, name: str) -> DataFrame:
-    """100 * share of the reference population at or below each value, from counts of distinct reference values."""
-    counts = refs.groupBy(F.col(ref).alias("v")).agg(F.count(F.lit(1)).alias("k"))
-    steps = values.select(F.col(value).alias("v")).distinct().withColumn("k", F.lit(0).cast("long")).unionByName(counts).groupBy("v").agg(F.sum("k").alias("k"))
-    # one row a distinct value
-    upto = steps.select("v", (100 * F.sum("k").over(Window.orderBy("v")) / F.sum("k").over(Window.partitionBy())).alias(name))
-    return values.join(upto, values[value] == upto["v"], "left").drop("v")
+    """100 * share of the reference population at or below each value; null without references. From counts of distinct values, ranged over tasks."""
+    counts = refs.where(F.col(ref).isNotNull()).groupBy(F.col(ref).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("k"))
+    steps = values.select(F.col(value).cast("double").alias("v")).distinct().withColumn("k", F.lit(0).cast("long")).unionByName(counts).groupBy("v").agg(F.sum("k").alias("k"))
+    upto = sampling.running(steps.where("v IS NOT NULL"), ["v"], "k", "before").crossJoin(F.broadcast(counts.agg(F.sum("k").alias("all"))))  # one row
+    upto = upto.select("v", F.try_divide(100 * (F.col("before") + F.col("k")), F.col("all")).alias(name))
+    return values.join(upto, values[value].cast("double") == upto["v"], "left").drop("v")
 
 
 def priority(segments: DataFrame) -> DataFrame:

@@ -1,8 +1,10 @@
-"""Components of edge tables."""
+"""Gradient hashes of images, joins of hashes, components of edge tables, and orders and folds of groups."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut
@@ -24,3 +26,45 @@ def components(edges: DataFrame) -> DataFrame:
         label = after.select("node", "component")
         if after.where("before != component").isEmpty():
             return label
+
+
+HASH_BITS, WORD_BITS, ROW = 256, 32, 16
+
+
+def gradient_hash(images: DataFrame, pixels: str) -> DataFrame:
+    """images with ``bits``: for 16 rows of 17 pixels, whether a pixel is over the one before it. Fewer pixels go round again; null pixels give 0."""
+    at = F.array(*[F.lit(i // ROW * (ROW + 1) + i % ROW) for i in range(HASH_BITS)])
+    size = F.size(pixels)
+    over = lambda i: F.coalesce(F.get(pixels, F.pmod(i + 1, size)) > F.get(pixels, F.pmod(i, size)), F.lit(False))
+    return images.where(size > 0).withColumn("bits", F.transform(at, lambda i: over(i).cast("long")))
+
+
+def _number(first: int, n: int) -> Column:
+    return F.aggregate(F.slice("bits", first + 1, n), F.lit(0).cast("long"), lambda acc, b: acc * 2 + b)
+
+
+def words() -> list[Column]:
+    """bits as longs of 32 bits, w0 and on."""
+    return [_number(WORD_BITS * w, WORD_BITS).alias(f"w{w}") for w in range(HASH_BITS // WORD_BITS)]
+
+
+def near_hashes(hashed: DataFrame, key: str, most: int) -> DataFrame:
+    """Pairs a < b of keys whose bits differ in at most ``most`` places, with how many: exact.
+
+    Of most + 1 bands such a pair has one in common, so candidates come from an equi-join of 15-bit bands; keys of equal
+    bits meet once, through their least one.
+    """
+    same = hashed.groupBy("bits").agg(F.min(key).alias("first"))
+    one = same.select("first", "bits", *words())
+    edges = [HASH_BITS * b // (most + 1) for b in range(most + 2)]
+    bands = F.posexplode(F.array(*[_number(a, b - a) for a, b in zip(edges, edges[1:])])).alias("band", "value")
+    names = [f"w{w}" for w in range(HASH_BITS // WORD_BITS)]
+    dealt = one.select("first", *names, bands)
+    left, right = (dealt.select("band", "value", F.col("first").alias(k), *[F.col(w).alias(f"{k}_{w}") for w in names]) for k in "ab")
+    apart = reduce(lambda p, q: p + q, [F.bit_count(F.col(f"a_{w}").bitwiseXOR(F.col(f"b_{w}"))) for w in names])
+    pairs = left.join(right, ["band", "value"]).where((F.col("a") < F.col("b")) & (apart <= most)).select("a", "b", apart.alias("bits")).distinct()
+    of = hashed.select(F.col(key).alias("k"), "bits").join(same, "bits").select("k", "first")
+    firsts, seconds = of.toDF("ka", "a"), of.toDF("kb", "b")
+    other = pairs.join(firsts, "a").join(seconds, "b").select(F.least("ka", "kb").alias("a"), F.greatest("ka", "kb").alias("b"), "bits")
+    equal = of.toDF("ka", "first").join(of.toDF("kb", "first"), "first").where("ka < kb").select(F.col("ka").alias("a"), F.col("kb").alias("b"), F.lit(0).alias("bits"))
+    return other.unionByName(equal)

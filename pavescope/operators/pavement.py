@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import config as c
 from ..functions import exprs as x
+from . import sampling
 
 
 def sized(boxes: DataFrame) -> DataFrame:
@@ -18,7 +19,13 @@ def sized(boxes: DataFrame) -> DataFrame:
 
 def cutoffs(boxes: DataFrame) -> DataFrame:
     """Median and 85th percentile of apparent size of each class: at most one row a class."""
-    return sized(boxes).groupBy("cls").agg(F.percentile("size", F.lit(0.5)).alias("low"), F.percentile("size", F.lit(0.85)).alias("high"))
+    return sampling.quantiles(sized(boxes), "size", {"low": 0.5, "high": 0.85}, ["cls"])
+
+
+def with_defaults(cuts: DataFrame) -> DataFrame:
+    """cuts with a row for every class: 1 and 2 where the class has no boxes."""
+    every = cuts.sparkSession.createDataFrame([(k,) for k in c.CLASSES], "cls string")
+    return every.join(F.broadcast(cuts), "cls", "left").select("cls", F.coalesce("low", F.lit(1.0)).alias("low"), F.coalesce("high", F.lit(2.0)).alias("high"))
 
 
 def weighted(boxes: DataFrame, cuts: DataFrame) -> DataFrame:

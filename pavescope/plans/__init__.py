@@ -1,3 +1,4 @@
 """Registered queries: importing any module here registers all."""
 
-from . import queries, field  # noqa: F401, I001
+from .queries import ORACLES, QUERIES  # noqa: F401, I001
+from . import field, capture, study  # noqa: F401

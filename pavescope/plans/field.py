@@ -43,7 +43,7 @@ def fld_calibrate(spark, d):
     """Thresholds times m for each m of a grid, all from one filter pass: a box is kept up to its own limit of m."""
     boxes, frames = t.all_boxes(spark, d), t.frames(spark, d)
     truth = frames.select("segment_id").distinct().select("segment_id", F.when(F.col("segment_id") % 3 == 0, "bueno").when(F.col("segment_id") % 3 == 1, "regular").otherwise("malo").alias("truth"))
-    curve = calibration.curve(boxes, frames, truth, pavement.cutoffs(boxes.where("conf >= 0.5")), range(4, 25), 0.05)
+    curve = calibration.curve(boxes, frames, truth, pavement.cutoffs(boxes.where(F.col("conf") >= c.DETECTION)), range(4, 25), 0.05)
     return curve.select("m", r6("loss"), r6("accuracy"), "chosen")
 
 
@@ -88,7 +88,7 @@ def rep_segments(spark, d):
 
 @query("SELECT l_shipmode, score, CASE WHEN score >= 75 THEN 'bueno' WHEN score >= 50 THEN 'regular' ELSE 'malo' END AS category FROM (SELECT segment_id AS l_shipmode, round(least(greatest(100 - (4.0 * coalesce(sum(sev) FILTER (cls = 'D00'), 0) + 4.0 * coalesce(sum(sev) FILTER (cls = 'D10'), 0) + 8.0 * coalesce(sum(sev) FILTER (cls = 'D20'), 0) + 12.0 * coalesce(sum(sev) FILTER (cls = 'D40'), 0)), 0), 100), 1) AS score FROM (SELECT segment_id, cls, count(*) * (1 + 10 * avg(w * h)) AS sev FROM boxes JOIN frames USING (image_id) WHERE conf >= 0.98 GROUP BY ALL) GROUP BY segment_id)".replace("l_shipmode", "segment_id"), "boxes", "frames")
 def sco_v0(spark, d):
-    rows = t.all_boxes(spark, d).where("conf >= 0.98").join(t.frames(spark, d), "image_id")
+    rows = t.all_boxes(spark, d).where(F.col("conf") >= c.RULE_CONF).join(t.frames(spark, d), "image_id")
     return pavement.rule_scores(rows).select("segment_id", "score", "category")
 
 
@@ -97,7 +97,7 @@ def sco_b1(spark, d):
     """Physical baseline: roughness proportional to vibration over the root of speed, the factor from medians of logs."""
     o = F.col("o_orderkey")
     s = t.read(spark, d, "orders").select(o.alias("id"), (F.col("o_totalprice") / 50000).alias("y"), ((0.1 + o % 97 / 50.0) / F.sqrt(5.0 + o % 13)).alias("base"))
-    k = s.where("y > 0").agg(F.exp(F.median(F.ln("y") - F.ln("base"))).alias("k"))
+    k = sampling.quantiles(s.where("y > 0").select((F.ln("y") - F.ln("base")).alias("l")), "l", {"m": 0.5}).select(F.exp("m").alias("k"))
     return s.crossJoin(F.broadcast(k)).select("id", r6(F.col("k") * F.col("base"), "iri"), r6(x.ride(F.col("k") * F.col("base")), "ride"))  # one row
 
 
@@ -129,12 +129,12 @@ def sns_iri(spark, d):
     return sensors.roughness_by_run(_samples(spark, d).select("run", place.alias("pos"), (F.col("value") / 100).alias("height")), 0.25)
 
 
-@query(f"WITH {_AZ}, f AS (SELECT user_id AS run, event_id AS frame, epoch_us(ts) AS us FROM events) SELECT f.run, frame, count(*) AS n, round(avg(v), 6) AS mean FROM f JOIN s ON f.run = s.run AND s.us >= f.us - 18000000000 AND s.us < f.us + 90000000000 GROUP BY ALL")
+@query(f"WITH {_AZ}, f AS (SELECT user_id AS run, event_id AS frame, epoch_us(ts) AS us FROM events) SELECT f.run, frame, count(*) AS n, round(avg(v) + 1e-9, 6) AS mean FROM f JOIN s ON f.run = s.run AND s.us >= f.us - 18000000000 AND s.us < f.us + 90000000000 GROUP BY ALL")
 def jn_range_time(spark, d):
     """Samples from 5 hours before to 25 hours after each frame of a run."""
     s = _samples(spark, d)
     found = sensors.samples_in(s.select("run", F.col("event_id").alias("frame"), "us"), s.select("run", "us", "value"), 5 * 3600 * tracks.SECOND, 25 * 3600 * tracks.SECOND)
-    return found.groupBy("run", "frame").agg(F.count(F.lit(1)).alias("n"), r6(F.avg("value"), "mean"))
+    return found.groupBy("run", "frame").agg(F.count(F.lit(1)).alias("n"), q.n6(F.avg("value"), "mean"))
 
 
 @query("SELECT event_id, us - lag(us) OVER w AS dt, round(value - lag(value) OVER w, 6) AS dv FROM track WINDOW w AS (PARTITION BY user_id ORDER BY us, event_id)", "track")
@@ -146,7 +146,7 @@ def win_diff(spark, d):
 @query("WITH e AS (SELECT list_sort(list_distinct(quantile_cont(o_totalprice, [0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1]))) AS edges FROM orders) SELECT o_orderkey, least(greatest(len(list_filter(edges, lambda e: e <= o_totalprice)) - 1, 0), len(edges) - 2)::INT AS decile FROM orders, e")
 def win_decile(spark, d):
     orders = t.read(spark, d, "orders")
-    edges = orders.agg(F.array_distinct(F.percentile("o_totalprice", F.array(*[F.lit(i / 10) for i in range(11)]))).alias("edges"))
+    edges = sampling.quantiles(orders, "o_totalprice", {f"q{i}": i / 10 for i in range(11)}).select(F.array_distinct(F.array(*[f"q{i}" for i in range(11)])).alias("edges"))
     at = F.size(F.filter("edges", lambda e: e <= F.col("o_totalprice"))) - 1
     return orders.crossJoin(F.broadcast(edges)).select("o_orderkey", F.least(F.greatest(at, F.lit(0)), F.size("edges") - 2).alias("decile"))  # one row
 
@@ -175,7 +175,7 @@ def smp_cap_negatives(spark, d):
     return sampling.least_by_digest(orders.where("o_orderstatus != 'F'").select("o_orderkey"), "o_orderkey", 7, n)
 
 
-_EDGES = f"h AS (SELECT vec_id, {q._BITS} AS h FROM embeddings), ed AS (SELECT a.vec_id AS a, b.vec_id AS b FROM h a JOIN h b ON a.vec_id <> b.vec_id AND bit_count(xor(a.h, b.h)) <= 14)"
+_EDGES = f"h AS (SELECT vec_id, {q._WORDS} FROM ({q._IMAGES})), ed AS (SELECT a.vec_id AS a, b.vec_id AS b FROM h a JOIN h b ON a.vec_id <> b.vec_id AND {q._FAR} <= 16)"
 
 
 @query(f"WITH RECURSIVE {_EDGES}, reach(node, peer) AS (SELECT a, b FROM ed UNION SELECT reach.node, ed.b FROM reach JOIN ed ON reach.peer = ed.a) SELECT node, least(node, min(peer)) AS component FROM reach GROUP BY node")
@@ -187,9 +187,9 @@ def gr_dup_clusters(spark, d):
 def ev_conformal(spark, d):
     """Half width of the 90 % interval: a quantile of absolute errors whose level depends on their number; and their root mean square."""
     e = q._yp(spark, d).select(F.abs(F.col("y") - F.col("p")).alias("e")).where("e IS NOT NULL")
-    n = e.count()
-    level = min(1.0, -(-(n + 1) * 9 // 10) / max(n, 1))
-    return e.agg(F.count("e").alias("n"), F.round(F.percentile("e", F.lit(level)), 4).alias("q"), F.round(F.sqrt(F.avg(F.col("e") * F.col("e"))), 4).alias("sigma"))
+    level = F.least(F.lit(1.0), F.ceil((F.col("n") + 1) * 9 / 10) / F.col("n"))
+    width = sampling.quantiles(e, "e", {"q": level}).select(F.round("q", 4).alias("q"))
+    return e.agg(F.count("e").alias("n"), F.round(F.sqrt(F.avg(F.col("e") * F.col("e"))), 4).alias("sigma")).crossJoin(width)  # one row each
 
 
 @query("SELECT event_id, epoch_us(ts) // 1000 AS ms, (event_id % 10)::INT AS number FROM events")

@@ -12,7 +12,7 @@ from .. import config as c
 from ..functions import exprs as x
 from ..operators import boxes as bx
 from ..operators import evaluation as ev
-from ..operators import geo, pavement, tracks
+from ..operators import geo, graph, pavement, sampling, tracks, vision
 from ..sources import tables as t
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -36,7 +36,7 @@ r6 = lambda k, name=None: F.round(F.col(k) if isinstance(k, str) else k, 6).alia
 
 _SIZE = "(CASE WHEN cy - 0.4 > 0 THEN least(greatest(0.6 / greatest(cy - 0.4, 1e-6), 1), 3) ELSE 3 END) * (CASE cls WHEN 'D00' THEN h WHEN 'D10' THEN w ELSE sqrt(w * h) END)"
 _DENSITY = "CASE cls WHEN 'D00' THEN 10.5 * h WHEN 'D10' THEN 4.2 * w WHEN 'D20' THEN 41.0 * w * h ELSE 0.7 END"
-_CUTS = f"det AS (SELECT *, {_SIZE} AS size, {_DENSITY} AS density FROM boxes WHERE conf >= 0.5), cuts AS (SELECT cls, quantile_cont(size, 0.5) AS low, quantile_cont(size, 0.85) AS high FROM det GROUP BY cls)"
+_CUTS = f"det AS (SELECT *, {_SIZE} AS size, {_DENSITY} AS density FROM boxes WHERE conf >= {c.DETECTION}), cuts AS (SELECT cls, quantile_cont(size, 0.5) AS low, quantile_cont(size, 0.85) AS high FROM det GROUP BY cls)"
 _RHO = f"{_CUTS}, rho AS (SELECT image_id, cls, sum(density * CASE WHEN size < low THEN 0.33 WHEN size >= high THEN 3.0 ELSE 1.0 END) AS rho FROM det JOIN cuts USING (cls) GROUP BY image_id, cls), wide AS (SELECT image_id, " + ", ".join(f"coalesce(sum(rho) FILTER (cls = '{k}'), 0) AS rho_{k}" for k in c.CLASSES) + " FROM rho GROUP BY image_id), fr AS (SELECT f.*, " + ", ".join(f"coalesce(rho_{k}, 0) AS rho_{k}" for k in c.CLASSES) + " FROM frames f LEFT JOIN wide USING (image_id))"
 _DV = ", ".join(f"CASE WHEN rho_{k} > 0 THEN least(greatest({a} + {b} * log10(greatest(rho_{k}, 1e-9)), 0), {m}) ELSE 0 END AS dv_{k}" for k, (a, b, m) in c.DEDUCT.items())
 _TOP, _SUM = "greatest(dv_D00, dv_D10, dv_D20, dv_D40)", "(dv_D00 + dv_D10 + dv_D20 + dv_D40)"
@@ -46,7 +46,7 @@ _DOMINANT = f"CASE WHEN {_TOP} <= 0 THEN NULL " + " ".join(f"WHEN dv_{k} = {_TOP
 
 
 def _detections(spark: SparkSession, d: str) -> DataFrame:
-    return t.all_boxes(spark, d).where("conf >= 0.5")
+    return t.all_boxes(spark, d).where(F.col("conf") >= c.DETECTION)
 
 
 def _densities(spark: SparkSession, d: str) -> DataFrame:
@@ -85,7 +85,7 @@ def _iou(a: str, b: str, shift: float = 0.0) -> str:
     return f"({both} / ({a}.w * {a}.h + {b}.w * {b}.h - {both} + 1e-9))"
 
 
-_EARLY = f"e AS (SELECT DISTINCT {_KEY}, segment_id, chain_pos, CASE WHEN conf < {_TAU} THEN '1_confianza' WHEN cls = 'D10' AND w > 0.5 AND h < 0.15 THEN '2_banda' WHEN NOT (cy > 0.35 AND abs(cx - 0.5) < 0.38 + 0.12 * cy) THEN '2_fuera_de_via' END AS early FROM boxes JOIN frames USING (image_id))"
+_EARLY = f"e AS (SELECT {_KEY}, segment_id, chain_pos, CASE WHEN conf < {_TAU} THEN '1_confianza' WHEN cls = 'D10' AND w > 0.5 AND h < 0.15 THEN '2_banda' WHEN NOT (cy > 0.35 AND abs(cx - 0.5) < 0.38 + 0.12 * cy) THEN '2_fuera_de_via' END AS early FROM boxes JOIN frames USING (image_id))"
 
 
 @query(f"+{_EARLY}, k AS (SELECT * FROM e WHERE early IS NULL), ok AS (SELECT DISTINCT a.segment_id, a.cls, a.chain_pos, a.cx, a.cy, a.w, a.h FROM k a JOIN k b ON a.segment_id = b.segment_id AND a.cls = b.cls AND abs(a.chain_pos - b.chain_pos) BETWEEN 1 AND 2 AND greatest({_iou('a', 'b')}, {_iou('a', 'b', 0.15)}, {_iou('a', 'b', -0.15)}) >= 0.3) SELECT {_KEY}, coalesce(early, CASE WHEN ok.cls IS NULL THEN '3_sin_persistencia' END, '') AS reason FROM e LEFT JOIN ok USING (segment_id, cls, chain_pos, cx, cy, w, h)", "boxes", "frames")
@@ -109,18 +109,58 @@ def vis_thresholds(spark, d):
     return bx.presence_thresholds(top, [2, 80]).select("cls", "tau_hundredths", r6("f1"))
 
 
-_VIS = ", ".join(f"count(*) FILTER (cls = '{k}' AND conf >= {c.TAU_FIELD[k]}) AS n_{k}, coalesce(round(sum(conf) FILTER (cls = '{k}'), 6), 0) AS soft_{k}, coalesce(max(conf) FILTER (cls = '{k}'), 0) AS max_{k}, count(*) FILTER (cls = '{k}' AND conf >= 0.05 AND conf < {c.TAU_FIELD[k]}) AS sub_{k}" for k in c.CLASSES)
+n6 = lambda e, name=None: F.round((F.col(e) if isinstance(e, str) else e) + 1e-9, 6).alias(name or e)  # off the ties of six decimals
 
+_RASTER = (
+    "SELECT DISTINCT image_id, cls, x, y FROM {0}, "
+    "LATERAL (SELECT unnest(range(greatest(0, trunc((cx - w / 2) * 64))::INT, least(64, ceil((cx + w / 2) * 64))::INT)) AS x), "
+    "LATERAL (SELECT unnest(range(greatest(0, trunc((cy - h / 2) * 64))::INT, least(64, ceil((cy + h / 2) * 64))::INT)) AS y)"
+)
+_KAPPA = "CASE WHEN size < low THEN 0.33 WHEN size >= high THEN 3.0 ELSE 1.0 END"
 
-@query(f"SELECT image_id, {_VIS}, coalesce(round(avg(w * h), 6), 0) AS area_mean, coalesce(max(conf), 0) AS max_conf FROM frames LEFT JOIN boxes USING (image_id) GROUP BY image_id", "boxes", "frames")
+
+def _vis_sql(k: str) -> str:
+    own, hard = f"cls = '{k}'", f"cls = '{k}' AND conf >= tau"
+    return (
+        f"count(*) FILTER ({hard}) AS n_{k}, coalesce(sum(conf) FILTER ({own}), 0) AS soft_{k}, coalesce(max(conf) FILTER ({own}), 0) AS maxconf_{k}, "
+        f"count(*) FILTER ({own} AND conf >= 0.05 AND conf < tau) AS nsub_{k}, coalesce(avg(w * h) FILTER ({hard}), 0) AS area_mean_{k}, "
+        f"coalesce(max(w * h) FILTER ({hard}), 0) AS area_max_{k}, coalesce(avg(cy) FILTER ({hard}), 0) AS cy_mean_{k}, "
+        f"coalesce(sum(rho) FILTER ({hard}), 0) AS hard_{k}, coalesce(sum(rho * conf) FILTER ({own} AND conf >= 0.05), 0) AS weak_{k}"
+    )
+
+
+_N = "(" + " + ".join(f"n_{k}" for k in c.CLASSES) + ")"
+_DV_OF = {k: f"CASE WHEN {{0}}_{k} > 0 THEN least(greatest({a} + {b} * log10(greatest({{0}}_{k}, 1e-9)), 0), {m}) ELSE 0 END" for k, (a, b, m) in c.DEDUCT.items()}
+
+
+def _pci_of(p: str) -> str:
+    dv = [_DV_OF[k].format(p) for k in c.CLASSES]
+    top = f"greatest({', '.join(dv)})"
+    return f"100 - least(100, {top} + 0.35 * ({' + '.join(f'({e})' for e in dv)} - {top}))"
+
+
+_VIS = (
+    f"{_CUTS}, sb AS (SELECT b.*, {_TAU} AS tau, {_SIZE} AS size, {_DENSITY} AS density FROM boxes b), "
+    f"wb AS (SELECT sb.*, density * {_KAPPA} AS rho FROM sb LEFT JOIN cuts USING (cls)), hb AS (SELECT * FROM wb WHERE conf >= tau), "
+    f"ag AS (SELECT image_id, {', '.join(map(_vis_sql, c.CLASSES))}, "
+    "coalesce(sum(w * h) FILTER (conf >= tau AND abs(cx - 0.5) <= 0.3) / sum(w * h) FILTER (conf >= tau), 0) AS rodada_share, coalesce(max(conf), 0) AS max_conf FROM wb GROUP BY image_id), "
+    f"ce AS ({_RASTER.format('hb')}), un AS (SELECT image_id, {', '.join(f'count(*) FILTER (cls = {chr(39)}{k}{chr(39)}) / 4096.0 AS union_{k}' for k in c.CLASSES)}, "
+    "count(DISTINCT x * 64 + y) / 4096.0 AS union_total FROM ce GROUP BY image_id), "
+    "wide AS (SELECT f.image_id, coalesce(COLUMNS(ag.* EXCLUDE (image_id)), 0), coalesce(COLUMNS(un.* EXCLUDE (image_id)), 0) "
+    "FROM frames f LEFT JOIN ag ON f.image_id = ag.image_id LEFT JOIN un ON f.image_id = un.image_id), "
+    f"vis AS (SELECT *, -({' + '.join(f'CASE WHEN n_{k} > 0 THEN n_{k} / {_N} * ln(n_{k} / {_N}) ELSE 0 END' for k in c.CLASSES)}) AS entropia_clases, "
+    + ", ".join(f"hard_{k} AS rho_det_{k}, {_DV_OF[k].format('hard')} AS dv_det_{k}, weak_{k} AS rho_soft_{k}" for k in c.CLASSES)
+    + f", {_pci_of('hard')} AS pci_det, {_pci_of('weak')} AS pci_soft FROM wide)"
+)
+_COUNTS = [f"{p}_{k}" for p in ("n", "nsub") for k in c.CLASSES]
+
+
+@query(f"+{_VIS} SELECT image_id, " + ", ".join(k if k in _COUNTS else f"round({k} + 1e-9, 6) AS {k}" for k in vision.FEATURES) + " FROM vis", "boxes", "frames")
 def vis_frame(spark, d):
-    joined = t.frames(spark, d).select("image_id").join(t.all_boxes(spark, d), "image_id", "left")
-    zero = lambda e: F.coalesce(e, F.lit(0.0))
-    aggs = []
-    for k in c.CLASSES:
-        own, tau = F.col("cls") == k, c.TAU_FIELD[k]
-        aggs += [F.count_if(own & (F.col("conf") >= tau)).alias(f"n_{k}"), zero(F.round(F.sum(F.when(own, F.col("conf"))), 6)).alias(f"soft_{k}"), zero(F.max(F.when(own, F.col("conf")))).alias(f"max_{k}"), F.count_if(own & (F.col("conf") >= 0.05) & (F.col("conf") < tau)).alias(f"sub_{k}")]
-    return joined.groupBy("image_id").agg(*aggs, zero(F.round(F.avg(F.col("w") * F.col("h")), 6)).alias("area_mean"), zero(F.max("conf")).alias("max_conf"))
+    """Fifty features of each frame."""
+    boxes = t.all_boxes(spark, d)
+    out = vision.frame_features(boxes, t.frames(spark, d), pavement.cutoffs(_detections(spark, d)), c.TAU_FIELD)
+    return out.select("image_id", *[F.col(k) if k in _COUNTS else n6(k) for k in vision.FEATURES])
 
 
 @query("+has AS (SELECT segment_id, chain_pos, f.image_id, max(CASE WHEN conf >= 0.9 THEN 1 ELSE 0 END) AS has FROM frames f LEFT JOIN boxes USING (image_id) GROUP BY ALL), l AS (SELECT *, lag(has) OVER (PARTITION BY segment_id ORDER BY chain_pos) AS prev FROM has) SELECT segment_id, count(*) AS n, round(avg(has), 6) AS share, coalesce(round(avg(has * prev), 6), 0) AS persistence FROM l GROUP BY segment_id", "boxes", "frames")
@@ -245,7 +285,9 @@ def ev_confusion(spark, d):
     return _cells(spark, d)
 
 
-@query(f"WITH {_CELLS}, m AS (SELECT *, sum(n) OVER (PARTITION BY i) AS ni, sum(n) OVER (PARTITION BY j) AS nj, sum(n) OVER () AS t FROM cell) SELECT round(sum(n) FILTER (i = j) / max(t), 6) AS accuracy, round(sum(n) FILTER (abs(i - j) <= 1) / max(t), 6) AS within_one, round(avg(coalesce(2.0 * n / nullif(ni + nj, 0), 0)) FILTER (i = j), 6) AS macro_f1, round(1 - sum((i - j) * (i - j) * n) / sum((i - j) * (i - j) * ni * nj / t), 6) AS kappa FROM m")
+@query(f"WITH {_CELLS}, m AS (SELECT *, sum(n) OVER (PARTITION BY i) AS ni, sum(n) OVER (PARTITION BY j) AS nj, sum(n) OVER () AS t FROM cell) SELECT round(sum(n) FILTER (i = j) / max(t), 6) AS accuracy, round(sum(n) FILTER (abs(i - j) <= 1) / max(t), 6) AS within_one, round(avg(coalesce(2.0 * n / nullif(ni + nj, 0), 0)) FILTER (i = j), 6) AS macro_f1, round(1 - sum((i - j) * (i - j) * n) / sum((i - j) * (i - j) * ni * nj / t), 6) AS kappa, "
+    "round(avg(n / nullif(ni, 0)) FILTER (i = j), 6) AS balanced, round(sum(n) FILTER (i >= 3 AND j >= 3) / nullif(sum(n) FILTER (i >= 3), 0), 6) AS recall_bad, "
+    "round(sum(n) FILTER (i >= 3 AND j >= 3) / nullif(sum(n) FILTER (j >= 3), 0), 6) AS precision_bad FROM m")
 def ev_ordinal(spark, d):
     m = ev.ordinal(_cells(spark, d))
     return m.select(*[F.round(F.col(k).cast("double"), 6).alias(k) for k in m.columns])
@@ -318,7 +360,7 @@ def rep_client(spark, d):
 @query("WITH e AS (SELECT quantile_cont(p_retailprice, 1 / 3.0) AS a, quantile_cont(p_retailprice, 2 / 3.0) AS b FROM part) SELECT p_partkey, CASE WHEN p_retailprice <= a THEN 0 WHEN p_retailprice <= b THEN 1 ELSE 2 END AS tercile FROM part, e")
 def win_qcut(spark, d):
     part = t.read(spark, d, "part")
-    edges = part.agg(F.percentile("p_retailprice", F.lit(1 / 3)).alias("a"), F.percentile("p_retailprice", F.lit(2 / 3)).alias("b"))
+    edges = sampling.quantiles(part, "p_retailprice", {"a": 1 / 3, "b": 2 / 3})
     return part.crossJoin(F.broadcast(edges)).select("p_partkey", F.when(F.col("p_retailprice") <= F.col("a"), 0).when(F.col("p_retailprice") <= F.col("b"), 1).otherwise(2).alias("tercile"))  # edges: one row
 
 
@@ -329,28 +371,34 @@ def ext_tumbling(spark, d):
     return tumbling(t.read(spark, d, "events")).select("user_id", F.col("start"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
-_BITS = "list_sum([CASE WHEN embedding[i + 2] > embedding[i + 1] THEN 1::BIGINT << i ELSE 0 END FOR i IN range(63)])::BIGINT"
+_WORDS = ", ".join(
+    f"list_sum([CASE WHEN embedding[1 + (((32 * {w} + k) // 16) * 17 + (32 * {w} + k) % 16 + 1) % 64] > embedding[1 + (((32 * {w} + k) // 16) * 17 + (32 * {w} + k) % 16) % 64] THEN 1::BIGINT << (31 - k) ELSE 0::BIGINT END FOR k IN range(32)])::BIGINT AS w{w}"
+    for w in range(8)
+)
+_IMAGES = "SELECT vec_id, embedding, label FROM embeddings UNION ALL SELECT vec_id + 1000000, list_concat([-embedding[1]], embedding[2:]), label FROM embeddings WHERE vec_id % 20 = 0"
+_FAR = " + ".join(f"bit_count(xor(a.w{w}, b.w{w}))::INT" for w in range(8))
+
+
+def _images(spark: SparkSession, d: str) -> DataFrame:
+    """Vectors that stand for 17 x 16 grey images, and near copies of some."""
+    e = t.read(spark, d, "embeddings").select("vec_id", "embedding", "label")
+    copy = F.concat(F.array(-F.get("embedding", F.lit(0))), F.slice("embedding", 2, 10_000))
+    return e.unionByName(e.where("vec_id % 20 = 0").select((F.col("vec_id") + 1_000_000).alias("vec_id"), copy.alias("embedding"), "label"))
 
 
 def _gradient_hash(spark: SparkSession, d: str) -> DataFrame:
-    e = F.col("embedding")
-    bit = lambda acc, i: acc + F.when(F.get(e, i + 1) > F.get(e, i), F.expr("shiftleft(1L, 0)") * F.pow(F.lit(2.0), i).cast("long")).otherwise(F.lit(0).cast("long"))
-    return t.read(spark, d, "embeddings").select("vec_id", F.aggregate(F.sequence(F.lit(0), F.lit(62)), F.lit(0).cast("long"), bit).alias("h"))
+    return graph.gradient_hash(_images(spark, d), "embedding")
 
 
-@query(f"SELECT vec_id, {_BITS} AS h FROM embeddings")
+@query(f"SELECT vec_id, {_WORDS} FROM ({_IMAGES})")
 def gr_dhash(spark, d):
-    return _gradient_hash(spark, d)
+    """256 bits: whether a pixel is brighter than the one before it in its row."""
+    return _gradient_hash(spark, d).select("vec_id", *graph.words())
 
 
-@query(f"WITH h AS (SELECT vec_id, {_BITS} AS h FROM embeddings) SELECT a.vec_id AS a, b.vec_id AS b, bit_count(xor(a.h, b.h))::INT AS bits FROM h a JOIN h b ON a.vec_id < b.vec_id AND bit_count(xor(a.h, b.h)) <= 14")
+@query(f"WITH h AS (SELECT vec_id, {_WORDS} FROM ({_IMAGES})) SELECT a.vec_id AS a, b.vec_id AS b, ({_FAR})::INT AS bits FROM h a JOIN h b ON a.vec_id < b.vec_id AND {_FAR} <= 16")
 def jn_hamming(spark, d):
-    """Of 63 bits in 15 bands, hashes at most 14 bits apart agree in one band at least."""
-    bands = F.posexplode(F.array(*[F.shiftright("h", i * 63 // 15).bitwiseAND(F.lit((1 << ((i + 1) * 63 // 15 - i * 63 // 15)) - 1)) for i in range(15)]))
-    h = _gradient_hash(spark, d).select("vec_id", "h", bands.alias("band", "bits"))
-    a, b = h.withColumnsRenamed({"vec_id": "a", "h": "ha"}), h.withColumnsRenamed({"vec_id": "b", "h": "hb"})
-    far = F.bit_count(F.col("ha").bitwiseXOR(F.col("hb")))
-    return a.join(b, ["band", "bits"]).where((F.col("a") < F.col("b")) & (far <= 14)).select("a", "b", far.alias("bits")).distinct()
+    return graph.near_hashes(_gradient_hash(spark, d), "vec_id", 16)
 
 
 _NUMBER = "[0-9]+(?:[.,][0-9]+)?"
@@ -396,7 +444,7 @@ def dq_validate(spark, d):
 def ml_preproc(spark, d):
     """log1p, median for missing, z-scores (ddof 1) clipped at 8: one row of statistics, then a projection."""
     s = t.read(spark, d, "part").select("p_partkey", F.when(F.col("p_size") % 5 > 0, F.log1p("p_retailprice")).alias("v"))
-    filled = s.crossJoin(F.broadcast(s.agg(F.median("v").alias("m")))).select("p_partkey", F.coalesce("v", "m").alias("v"))  # one row
+    filled = s.crossJoin(F.broadcast(sampling.quantiles(s, "v", {"m": 0.5}))).select("p_partkey", F.coalesce("v", "m").alias("v"))  # one row
     stats = filled.agg(F.avg("v").alias("mu"), F.stddev_samp("v").alias("sd"))
     z = (F.col("v") - F.col("mu")) / F.when(F.col("sd") == 0, 1.0).otherwise(F.col("sd"))
     return filled.crossJoin(F.broadcast(stats)).select("p_partkey", F.round(F.least(F.greatest(z, F.lit(-8.0)), F.lit(8.0)), 6).alias("z"))  # one row
@@ -405,7 +453,9 @@ def ml_preproc(spark, d):
 @query(f"WITH {_YP} SELECT round(avg((y BETWEEN p - 30 AND p + 25)::INT), 6) AS coverage, round(avg(55.0), 6) AS width, round(quantile_cont(abs(y - p), 0.9), 5) AS q90 FROM yp")
 def ev_coverage(spark, d):
     hit = F.col("y").between(F.col("p") - 30, F.col("p") + 25).cast("double")
-    return _yp(spark, d).agg(r6(F.avg(hit), "coverage"), r6(F.avg(F.lit(55.0)), "width"), F.round(F.percentile(F.abs(F.col("y") - F.col("p")), F.lit(0.9)), 5).alias("q90"))
+    yp = _yp(spark, d)
+    q90 = sampling.quantiles(yp.select(F.abs(F.col("y") - F.col("p")).alias("e")), "e", {"q90": 0.9})
+    return yp.agg(r6(F.avg(hit), "coverage"), r6(F.avg(F.lit(55.0)), "width")).crossJoin(q90.select(F.round("q90", 5).alias("q90")))  # one row each
 
 
 @query("SELECT o_orderkey AS run_id, o_orderstatus AS status FROM orders WHERE o_orderkey % 3 <> 0 UNION ALL SELECT o_orderkey, 'new' FROM orders WHERE o_orderkey % 6 = 0")
@@ -416,17 +466,7 @@ def snk_upsert(spark, d):
     return old.join(gone, "run_id", "left_anti").unionByName(new)
 
 
-_CELL = "SELECT DISTINCT image_id, cls, x, y FROM b, LATERAL (SELECT unnest(range(greatest(0, trunc((cx - w / 2) * 64))::INT, least(64, ceil((cx + w / 2) * 64))::INT)) AS x), LATERAL (SELECT unnest(range(greatest(0, trunc((cy - h / 2) * 64))::INT, least(64, ceil((cy + h / 2) * 64))::INT)) AS y)"
-
-
-@query(f"+b AS (SELECT * FROM boxes WHERE conf >= 0.9), cells AS ({_CELL}) SELECT image_id, cls, round(count(*) / 4096.0, 6) AS area FROM cells GROUP BY image_id, cls", "boxes")
+@query(f"+cells AS ({_RASTER.format('boxes')}) SELECT image_id, cls, round(count(*) / 4096.0, 6) AS area FROM cells GROUP BY image_id, cls", "boxes")
 def vis_union_area(spark, d):
     """Share of a 64 x 64 raster that the boxes of a class cover."""
-    def span(m: str, n: str):
-        low = F.greatest(F.lit(0), ((F.col(m) - F.col(n) / 2) * 64).cast("int"))
-        high = F.least(F.lit(64), F.ceil((F.col(m) + F.col(n) / 2) * 64).cast("int"))
-        return F.when(high > low, F.sequence(low, high - 1)).otherwise(F.array().cast("array<int>"))
-
-    boxes = t.all_boxes(spark, d).where("conf >= 0.9").select("image_id", "cls", F.explode(span("cx", "w")).alias("x"), "cy", "h")
-    cells = boxes.select("image_id", "cls", "x", F.explode(span("cy", "h")).alias("y")).distinct()
-    return cells.groupBy("image_id", "cls").agg(F.round(F.count(F.lit(1)) / 4096.0, 6).alias("area"))
+    return vision.covered(t.all_boxes(spark, d)).select("image_id", "cls", r6("area"))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -16,8 +14,9 @@ def session(name: str = "pavescope", master: str | None = None, **conf: str) ->
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df with its lineage cut by a checkpoint in spark.checkpoint.dir; where that is unset (tests), in a folder of this machine."""
+    """df with its lineage cut by a checkpoint in spark.checkpoint.dir; where that is unset, in a folder of the warehouse, which executors share."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or f"file://{tempfile.mkdtemp()}")
+        warehouse = df.sparkSession.conf.get("spark.sql.warehouse.dir").rstrip("/")
+        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or f"{warehouse}/_checkpoints")
     return df.checkpoint()

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import config as c
+
 GPX = "_lat double, _lon double, time timestamp, ele double, speed double, sat int"
 VOC = "filename string, size struct<width:int,height:int>, object array<struct<name:string,bndbox:struct<xmin:double,ymin:double,xmax:double,ymax:double>>>"
 
@@ -23,8 +25,16 @@ def read_voc(spark: SparkSession, path: str) -> DataFrame:
     return out.dropna(subset=["xmin", "ymin", "xmax", "ymax"])
 
 
-def normalised(objects: DataFrame) -> DataFrame:
-    """Boxes clipped to the image, in shares of its size to six decimals; boxes without extent and images without size go."""
+def normalised(objects: DataFrame, sizes: DataFrame | None = None) -> DataFrame:
+    """Boxes of the known classes clipped to the image, in shares of its size to six decimals; boxes without extent go.
+
+    sizes: filename, width and height of images, which stand in for sizes of zero; images without any size go.
+    """
+    if sizes is not None:
+        objects = objects.join(sizes.select("filename", F.col("width").alias("_w"), F.col("height").alias("_h")), "filename", "left")
+        real = lambda k, other: F.when(F.coalesce(k, F.lit(0)) > 0, F.col(k)).otherwise(F.col(other)).alias(k)
+        objects = objects.select(*[real(k, f"_{k[0]}") if k in ("width", "height") else F.col(k) for k in objects.columns if k not in ("_w", "_h")])
+    objects = objects.where(F.col("cls").isin(*c.CLASSES))
     inside = lambda k, n: F.least(F.greatest(F.col(k), F.lit(0.0)), F.col(n).cast("double"))
     clipped = objects.where("width > 0 AND height > 0").select("filename", "cls", "width", "height", *[inside(k, n).alias(k) for k, n in (("xmin", "width"), ("ymin", "height"), ("xmax", "width"), ("ymax", "height"))]).where("xmax > xmin AND ymax > ymin")
     share = lambda e, n: F.round(e / F.col(n), 6)
