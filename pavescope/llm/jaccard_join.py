@@ -36,7 +36,7 @@ LEAST = 90
 SMALL, FAN, SPREAD, DEPTH = 48, 6, 2.5, 12
 GROUP_BYTES = 8 << 20
 #: Classes in a tile of a component at most, and shingles in a block of its product.
-TILE_ROWS, TILE_ITEMS = 2_048, 2_048
+TILE_ROWS, TILE_ITEMS = 2_048, 512
 #: Counters of rarity: 16 MB broadcast, whatever the corpus.
 RARITY_BITS = 23
 
@@ -168,7 +168,8 @@ class Join:
         rarity, _ = sketch.corpus_counts(docs, lambda words: shingles(words, k)[1], bits=RARITY_BITS, as_kept=lambda sums: np.rint(256 * np.log2(sums + 1)).astype(np.uint16))
         sent = self.spark.sparkContext.broadcast(rarity)
         prints = docs.mapInArrow(lambda batches: _prints(sent.value, k, least)(batches), "doc_id long, text_hash long, n long, a long, b long, pivots array<long>")
-        prints = tx.written(prints, "jaccard-prints")
+        with tx.text_batches(self.spark):
+            prints = tx.written(prints, "jaccard-prints")
         self.rows = tx.written(prints.drop("pivots"), "jaccard-rows")
         first = F.min(F.struct(F.col("doc_id").isNull().alias("bare"), "doc_id", "text_hash"))
         classes = prints.where("n > 0").groupBy("a", "b", "n").agg(first.alias("first"), F.any_value("pivots").alias("pivots"), F.count(F.lit(1)).alias("copies"))
@@ -208,7 +209,8 @@ class Join:
         bits = self.spark.sparkContext.broadcast(sketch.marks(wanted, "mark"))
         k = self.k
         sets = self.docs.mapInArrow(lambda batches: _sets(bits.value, k)(batches), "doc_id long, text_hash long, items binary")
-        sets = tx.written(sets.dropDuplicates(["doc_id", "text_hash"]) if self._repeated() else sets, "jaccard-sets")
+        with tx.text_batches(self.spark):
+            sets = tx.written(sets.dropDuplicates(["doc_id", "text_hash"]) if self._repeated() else sets, "jaccard-sets")
         self.sets = sets if self.sets is None else self.sets.unionByName(sets)
         self.read = wanted.select("node") if self.read is None else self.read.unionByName(wanted.select("node"))
 

@@ -48,7 +48,8 @@ def corpus_counts(docs: DataFrame, keys: Callable[[tx.Words], np.ndarray], lower
         return pa.table({"block": pa.array([block], pa.int32()), "sums": pa.array([total], pa.binary())})
 
     parts = docs.select("text").mapInArrow(count, "block int, sums binary")
-    found = {r.block: bytes(r.sums) for r in tx.in_levels(parts, "block", add).collect()}
+    with tx.text_batches(docs.sparkSession):
+        found = {r.block: bytes(r.sums) for r in tx.in_levels(parts, "block", add).collect()}
     if not found:
         return as_kept(np.zeros(1 << bits, np.int64)), 0
     rows = int(found.pop(-1))

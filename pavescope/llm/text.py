@@ -6,6 +6,7 @@ the matches of ``[^\\x20\\x09-\\x0D]+``. All hashing is vectorised over the byte
 
 from __future__ import annotations
 
+import contextlib
 import functools
 import uuid
 from collections.abc import Iterator
@@ -166,6 +167,29 @@ def shared_dir(spark: SparkSession) -> str:
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+_BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Rows of an Arrow batch where whole texts go to Python: the JVM and the worker each hold a batch or two of every task.
+TEXT_ROWS = 512
+
+
+@contextlib.contextmanager
+def setting(spark: SparkSession, name: str, value: str) -> Iterator[None]:
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
+def text_batches(spark: SparkSession) -> contextlib.AbstractContextManager[None]:
+    """What runs inside moves rows to Python TEXT_ROWS at a time."""
+    return setting(spark, _BATCH_ROWS, str(TEXT_ROWS))
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df written once as Parquet to the shared folder and read back: a cut in the lineage that outlives executors.
 
@@ -173,12 +197,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    before = spark.conf.get(_CLEANUP, "false")
-    spark.conf.set(_CLEANUP, "true")
-    try:
+    with setting(spark, _CLEANUP, "true"):
         df.write.parquet(path)
-    finally:
-        spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
