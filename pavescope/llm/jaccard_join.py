@@ -37,7 +37,7 @@ SMALL, FAN, SPREAD, DEPTH = 48, 6, 2.5, 12
 GROUP_BYTES = 8 << 20
 #: Classes in a tile of a component at most, and shingles in a block of its product.
 TILE_ROWS, TILE_ITEMS = 2_048, 512
-#: Counters of rarity: 16 MB broadcast, whatever the corpus.
+#: Counters of rarity: 8 MB broadcast, whatever the corpus.
 RARITY_BITS = 23
 
 
@@ -66,6 +66,11 @@ def _window(n: np.ndarray, least: int) -> np.ndarray:
     return n - -(-n * least // 100) + 1
 
 
+def _rarity(sums: np.ndarray) -> np.ndarray:
+    """One byte for each count, in steps of a fifth of a doubling; any one order of the shingles is exact."""
+    return np.minimum(np.rint(5 * np.log2(sums + 1)), 255).astype(np.uint8)
+
+
 def _prints(rarity: np.ndarray, k: int, least: int):
     """doc_id, text_hash, n, digest (two longs) and the window of shingle pivots, rarest first."""
 
@@ -165,11 +170,12 @@ class Join:
         self.spark, self.least = docs.sparkSession, least
         self.n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         docs = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
-        rarity, _ = sketch.corpus_counts(docs, lambda words: shingles(words, k)[1], bits=RARITY_BITS, as_kept=lambda sums: np.rint(256 * np.log2(sums + 1)).astype(np.uint16))
+        rarity, _ = sketch.corpus_counts(docs, lambda words: shingles(words, k)[1], bits=RARITY_BITS, as_kept=_rarity)
         sent = self.spark.sparkContext.broadcast(rarity)
         prints = docs.mapInArrow(lambda batches: _prints(sent.value, k, least)(batches), "doc_id long, text_hash long, n long, a long, b long, pivots array<long>")
         with tx.text_batches(self.spark):
             prints = tx.written(prints, "jaccard-prints")
+        sent.destroy()  # what was made with it is written
         self.rows = tx.written(prints.drop("pivots"), "jaccard-rows")
         first = F.min(F.struct(F.col("doc_id").isNull().alias("bare"), "doc_id", "text_hash"))
         classes = prints.where("n > 0").groupBy("a", "b", "n").agg(first.alias("first"), F.any_value("pivots").alias("pivots"), F.count(F.lit(1)).alias("copies"))
@@ -211,6 +217,7 @@ class Join:
         sets = self.docs.mapInArrow(lambda batches: _sets(bits.value, k)(batches), "doc_id long, text_hash long, items binary")
         with tx.text_batches(self.spark):
             sets = tx.written(sets.dropDuplicates(["doc_id", "text_hash"]) if self._repeated() else sets, "jaccard-sets")
+        bits.destroy()
         self.sets = sets if self.sets is None else self.sets.unionByName(sets)
         self.read = wanted.select("node") if self.read is None else self.read.unionByName(wanted.select("node"))
 

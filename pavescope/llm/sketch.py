@@ -24,7 +24,11 @@ def counter_of(hashes: np.ndarray, bits: int = BITS) -> np.ndarray:
 
 
 def corpus_counts(docs: DataFrame, keys: Callable[[tx.Words], np.ndarray], lower: bool = True, bits: int = BITS, as_kept: Callable[[np.ndarray], np.ndarray] = lambda sums: sums.astype(float)) -> tuple[np.ndarray, int]:
-    """The summed counters of keys(words) over all texts, block by block as_kept, and the number of rows of docs."""
+    """The summed counters of keys(words) over all texts, block by block as_kept, and the number of rows of docs.
+
+    as_kept runs before blocks are sent, so the driver gets and holds no more than what is kept.
+    """
+    none = as_kept(np.zeros(1, np.int64))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, rows = np.zeros(1 << bits, np.uint32), 0
@@ -47,13 +51,21 @@ def corpus_counts(docs: DataFrame, keys: Callable[[tx.Words], np.ndarray], lower
             total = zlib.compress(summed.tobytes(), 1)
         return pa.table({"block": pa.array([block], pa.int32()), "sums": pa.array([total], pa.binary())})
 
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            blocks = batch.column("block").to_pylist()
+            sums = [x.as_py() if b < 0 else zlib.compress(as_kept(np.frombuffer(zlib.decompress(x.as_py()), np.int64)).tobytes(), 6) for b, x in zip(blocks, batch.column("sums"))]
+            yield pa.RecordBatch.from_arrays([batch.column("block"), pa.array(sums, pa.binary())], ["block", "sums"])
+
     parts = docs.select("text").mapInArrow(count, "block int, sums binary")
+    out, rows = np.full(1 << bits, none[0]), 0
     with tx.text_batches(docs.sparkSession):
-        found = {r.block: bytes(r.sums) for r in tx.in_levels(parts, "block", add).collect()}
-    if not found:
-        return as_kept(np.zeros(1 << bits, np.int64)), 0
-    rows = int(found.pop(-1))
-    return np.concatenate([as_kept(np.frombuffer(zlib.decompress(found.pop(b)), np.int64)) for b in sorted(found)]), rows
+        for r in tx.in_levels(parts, "block", add).mapInArrow(kept, "block int, sums binary").collect():
+            if r.block < 0:
+                rows = int(r.sums)
+            else:
+                out[r.block << BLOCK_BITS : (r.block + 1) << BLOCK_BITS] = np.frombuffer(zlib.decompress(r.sums), none.dtype)
+    return out, rows
 
 
 MARK_BITS = 24
