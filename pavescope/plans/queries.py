@@ -263,8 +263,9 @@ _YP = "yp AS (SELECT o_orderkey AS id, o_totalprice / 1000 AS y, round(o_totalpr
 
 
 def _yp(spark: SparkSession, d: str) -> DataFrame:
-    noise = F.col("o_orderkey") * 7919 % 97 - 48
-    return t.read(spark, d, "orders").select(F.col("o_orderkey").alias("id"), (F.col("o_totalprice") / 1000).alias("y"), F.round(F.col("o_totalprice") / 1000 + noise, 2).alias("p"))
+    # sums from left to right and halves of a hundredth judged on the double, as the SQL has them
+    shifted = F.col("o_totalprice") / 1000 + F.col("o_orderkey") * 7919 % 97 - 48
+    return t.read(spark, d, "orders").select(F.col("o_orderkey").alias("id"), (F.col("o_totalprice") / 1000).alias("y"), (F.round(shifted * 100, 0) / 100).alias("p"))
 
 
 @query(f"WITH {_YP}, rk AS (SELECT *, rank() OVER (ORDER BY y) + (count(*) OVER (PARTITION BY y) - 1) / 2.0 AS ry, rank() OVER (ORDER BY p) + (count(*) OVER (PARTITION BY p) - 1) / 2.0 AS rp FROM yp) SELECT count(*) AS n, round(avg(abs(p - y)), 5) AS mae, round(sqrt(avg((p - y) * (p - y))), 5) AS rmse, round(1 - sum((p - y) * (p - y)) / (var_pop(y) * count(y)), 5) AS r2, round(corr(y, p), 5) AS pearson, round(corr(ry, rp), 5) AS spearman, round(avg(p - y), 5) AS bias FROM rk")
