@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 from pavescope.llm import jaccard_join
@@ -93,3 +94,10 @@ def test_all_links_are_counted(spark, tile, monkeypatch):
     want = [sum(i != j and bool(x and y) and 100 * len(x & y) >= 90 * len(x | y) for j, y in enumerate(sets)) for i, x in enumerate(sets)]
     got = sorted((str(r.doc_id), r.n_shingles, r.n_links) for r in jaccard_links(spark.createDataFrame([(i, t, 1, "x") for i, t in rows], SCHEMA)).collect())
     assert got == sorted((str(d), len(sets[i]), want[i]) for i, (d, _) in enumerate(rows)) and max(want) > 10
+
+
+def test_rarity_fits_a_byte():
+    counts = np.array([0, 1, 2, 3, 10, 1_000, 1 << 40, 1 << 62], np.int64)
+    kept = jaccard_join._rarity(counts)
+    assert kept.dtype == np.uint8 and kept[0] == 0
+    assert (np.diff(kept.astype(int)) >= 0).all() and len(set(kept.tolist())) >= 7
