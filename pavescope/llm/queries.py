@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import url_filters
+from . import decontamination, importance, url_filters
 from .fingerprints import document_fingerprints
 from .hilbert_ann import nearest
 from .hmm import language_scores
@@ -64,6 +64,14 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).drop("row")
 
 
+def op11_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.importance(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.decontamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_url_filters": op2_url_filters,
@@ -75,6 +83,8 @@ QUERIES: dict[str, Query] = {
     "op8_language_scores": op8_language_scores,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_mixing": op10_mixing,
+    "op11_importance": op11_importance,
+    "op13_decontamination": op13_decontamination,
 }
 
-ORACLES: dict[str, str] = {"op2_url_filters": url_filters.oracle()}
+ORACLES: dict[str, str] = {"op2_url_filters": url_filters.oracle(), "op11_importance": importance.ORACLE, "op13_decontamination": decontamination.ORACLE}
