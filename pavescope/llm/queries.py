@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, importance, url_filters
+from . import conversations, decontamination, importance, url_filters
 from .fingerprints import document_fingerprints
 from .hilbert_ann import nearest
 from .hmm import language_scores
@@ -68,6 +68,10 @@ def op11_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.importance(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.conversation_repair(table(spark, sf_dir, "conversations"))
+
+
 def op13_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.decontamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -84,7 +88,8 @@ QUERIES: dict[str, Query] = {
     "op9_jaccard_join": op9_jaccard_join,
     "op10_mixing": op10_mixing,
     "op11_importance": op11_importance,
+    "op12_conversation_repair": op12_conversation_repair,
     "op13_decontamination": op13_decontamination,
 }
 
-ORACLES: dict[str, str] = {"op2_url_filters": url_filters.oracle(), "op11_importance": importance.ORACLE, "op13_decontamination": decontamination.ORACLE}
+ORACLES: dict[str, str] = {"op2_url_filters": url_filters.oracle(), "op11_importance": importance.ORACLE, "op12_conversation_repair": conversations.ORACLE, "op13_decontamination": decontamination.ORACLE}
