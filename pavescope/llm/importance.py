@@ -1,6 +1,6 @@
 """Importance resampling towards a target distribution: hashed n-gram buckets, integer word dictionary, Gumbel top-k.
 
-Documents are cut into blocks of a few megabytes. A block lists its distinct words once, and its documents hold numbers
+Documents are cut into blocks of some megabytes. A block lists its distinct words once, and its documents hold numbers
 of that list. Distinct words of all blocks get ids; an n-gram is a tuple of ids. Each distinct tuple is written out in
 bytes and hashed once, its counts over both tables add to its bucket, and the bucket's gain goes back to the blocks
 by tuple, so that words never travel with documents. A document's n-grams are then looked up inside its block.
@@ -20,8 +20,8 @@ from . import alnum
 from . import text as tx
 
 LENGTHS, BUCKETS, SEED, SHARE, LEAST_WORDS = 1, 10_000, 2024, 10, 20
-#: Text bytes of a block.
-BLOCK_BYTES = 4 << 20
+#: Text bytes of a block: the more, the fewer rows of its words for each of its documents.
+BLOCK_BYTES = 8 << 20
 
 _ENCODED = "kind string, target boolean, block long, seq long, doc_id {id}, n_words long, n_features long, features array<int>, counts array<int>, feature int, codes array<int>, word string, times long"
 
@@ -123,6 +123,8 @@ def tuples(encoded: DataFrame, lengths: int) -> tuple[DataFrame, DataFrame]:
         longer = numbered.groupBy("block", "feature", "target", "times").agg(F.array_sort(F.collect_list(F.struct("nth", "id"))).alias("of"))  # at most ``lengths`` of each
         grams = grams.unionByName(longer.select("block", "feature", F.col("of.id").alias("gram"), "target", "times"))
     grams = tx.written(grams, "importance-grams")
+    if lengths > 1:
+        tx.discard(ids)
     distinct = grams.groupBy("gram").agg(F.sum(F.when(F.col("target"), F.col("times")).otherwise(0)).alias("t"), F.sum(F.when(F.col("target"), 0).otherwise(F.col("times"))).alias("s"))
     spelt = distinct.withColumn("text", F.lit(""))
     for n in range(lengths):
@@ -144,12 +146,15 @@ def weights(docs: DataFrame, items: DataFrame, lengths: int = LENGTHS, buckets:
     # a row a bucket
     gains = filled.crossJoin(F.broadcast(total)).select("bucket", _gains(F.col("t"), F.col("s"), F.col("target"), F.col("source"), buckets).alias("gain"))
     of = hashed.join(F.broadcast(gains), "bucket").select("gram", "gain")
-    back = grams.where("NOT target").select("block", "feature", "gram").join(of, "gram").select("block", "feature", "gain")
+    back = grams.where("NOT target").select("block", "feature", "gram").join(of, "gram").select("block", F.struct("feature", F.col("gain").cast("int").alias("gain")).alias("of"))
+    # a row a block, as large as its vocabulary
+    back = tx.written(back.groupBy("block").agg(F.array_sort(F.collect_list("of")).alias("of")).select("block", F.col("of.gain").alias("gains")), "importance-gains")
+    for done in (grams, hashed, aimed):
+        tx.discard(done)
     rows = encoded.where("kind = 'doc'").select("block", "doc_id", "n_words", "n_features", "features", "counts")
 
     def weigh(docs: pa.Table, gains: pa.Table) -> pa.Table:
-        gain = np.zeros(gains.num_rows, np.int64)
-        gain[gains.column("feature").to_numpy()] = gains.column("gain").to_numpy()
+        gain = gains.column("gains").combine_chunks().flatten().to_numpy().astype(np.int64)
         features = docs.column("features").combine_chunks()
         amounts = np.zeros(len(features.flatten()) + 1, np.int64)
         np.cumsum(gain[features.flatten().to_numpy()] * docs.column("counts").combine_chunks().flatten().to_numpy(), out=amounts[1:])
