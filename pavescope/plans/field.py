@@ -112,23 +112,11 @@ def _samples(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"WITH v AS (SELECT user_id AS run, value / 100 - 0.5 AS v FROM events), m AS (SELECT run, avg(v) AS mu FROM v GROUP BY run) SELECT run, count(*) AS n, round(sqrt(avg(v * v)), 6) AS rms, round(stddev_pop(v), 6) AS std, round(max(v) - min(v), 6) AS p2p, round(max(abs(v)), 6) AS top, round(quantile_cont(abs(v), 0.95), 6) AS p95, round(quantile_cont(abs(v), 0.99), 6) AS p99, round(avg(pow(v - mu, 4)) / pow(var_pop(v), 2) - 3, 6) AS kurt, round(max(abs(v)) / nullif(sqrt(avg(v * v)), 0), 6) AS crest FROM v JOIN m USING (run) GROUP BY run")
-def sns_window_features(spark, d):
+def sns_statistics(spark, d):
     stats = sensors.statistics(F.col("value"))
     return _samples(spark, d).groupBy("run").agg(F.count(F.lit(1)).alias("n"), *[F.round(e, 6).alias(k) for k, e in stats.items()])
 
 
-@query()
-def sns_spectrum(spark, d):
-    return sensors.bands_by_run(_samples(spark, d), 50.0)
-
-
-@query()
-def sns_iri(spark, d):
-    """Roughness of each run's height profile, a sample every 0.25 m."""
-    place = F.row_number().over(Window.partitionBy("run").orderBy("us", "event_id"))
-    return sensors.roughness_by_run(_samples(spark, d).select("run", place.alias("pos"), (F.col("value") / 100).alias("height")), 0.25)
-
-
 @query(f"WITH {_AZ}, f AS (SELECT user_id AS run, event_id AS frame, epoch_us(ts) AS us FROM events) SELECT f.run, frame, count(*) AS n, round(avg(v) + 1e-9, 6) AS mean FROM f JOIN s ON f.run = s.run AND s.us >= f.us - 18000000000 AND s.us < f.us + 90000000000 GROUP BY ALL")
 def jn_range_time(spark, d):
     """Samples from 5 hours before to 25 hours after each frame of a run."""

@@ -6,24 +6,55 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from pavescope.functions import signals as sg
 from pavescope.operators import graph, sampling, sensors
 from pavescope.sources import files
 
 
-def test_roughness():
-    assert sensors.roughness(np.zeros(400), 0.25) == 0
-    rng = np.random.default_rng(3)
-    road = np.cumsum(rng.normal(0, 0.002, 800))
-    once = sensors.roughness(road, 0.25)
-    assert once > 0 and np.isclose(sensors.roughness(3 * road, 0.25), 3 * once)
-    assert np.isnan(sensors.roughness(np.zeros(20), 0.25))
+def profile_index(spark, heights, dx=0.25, piece=sensors.PIECE):
+    rows = [(1, i, float(h)) for i, h in enumerate(heights)]
+    return sensors.roughness(spark.createDataFrame(rows, "run long, pos long, height double"), dx, piece).first()["iri"]
 
 
-def test_roughness_gain_of_a_sine():
+def test_roughness(spark):
+    assert profile_index(spark, np.zeros(400)) == 0
+    rng = np.random.default_rng(3)
+    road = np.cumsum(rng.normal(0, 0.002, 800))
+    once = profile_index(spark, road)
+    assert once > 0 and np.isclose(profile_index(spark, 3 * road), 3 * once)
+    assert profile_index(spark, np.zeros(20)) is None
+    assert sensors.roughness(spark.createDataFrame([], "run long, pos long, height double"), 0.25).count() == 0
+
+
+@pytest.mark.parametrize("dx", [0.05, 0.25, 0.4])
+def test_roughness_in_pieces(spark, dx):
+    """Pieces compose to the whole profile, as a loop over its steps has it; null runs, and null heights as 0."""
+    rng = np.random.default_rng(4)
+    roads = {None: np.cumsum(rng.normal(0, 0.002, 700)), 2: np.cumsum(rng.normal(0, 0.001, 311)), 3: np.zeros(3)}
+    rows = [(run, i, None if i == 7 else float(h)) for run, road in roads.items() for i, h in enumerate(road)]
+    frame = spark.createDataFrame(rows, "run long, pos long, height double").repartition(5)
+    step, push = sensors.golden_car()
+    for piece in (16, 50, sensors.PIECE):
+        got = {r["run"]: r["iri"] for r in sensors.roughness(frame, dx, piece).collect()}
+        for run, road in roads.items():
+            road = road.copy()
+            road[7:8] = 0
+            reach = round(sensors.STEP / dx) // 2
+            smooth = np.array([road[max(0, i - reach) : i + reach + 1].mean() for i in range(len(road))])
+            at = np.arange(int(np.ceil((len(road) - 1) * dx / sensors.STEP - 1e-9))) * sensors.STEP
+            state, slopes = np.zeros(4), []
+            for h in np.interp(at, np.arange(len(road)) * dx, smooth) - road[0]:
+                slopes.append(abs(state[1] - state[3]) / sensors.SPEED)
+                state = step @ state + push * h
+            kept = np.array(slopes)[at >= sensors.LEAD_IN]
+            assert (got[run] is None and not len(kept)) or np.isclose(got[run], 1000 * kept.mean(), rtol=1e-9)
+
+
+def test_roughness_gain_of_a_sine(spark):
     """The gain on a long sine is that of the quarter car's transfer function."""
     wave, high = 20.0, 0.01
     x = np.arange(0, 2000, 0.25)
-    got = sensors.roughness(high * np.sin(2 * np.pi * x / wave), 0.25)
+    got = profile_index(spark, high * np.sin(2 * np.pi * x / wave))
     w = 2j * np.pi * sensors.SPEED / wave
     k1, k2, c, m = sensors.TYRE, sensors.SPRING, sensors.DAMPER, sensors.MASS
     body, wheel = np.linalg.solve(np.array([[w * w + c * w + k2, -(c * w + k2)], [-(c * w + k2), m * w * w + c * w + k1 + k2]]), np.array([0, k1]))
@@ -31,10 +62,49 @@ def test_roughness_gain_of_a_sine():
     assert abs(got / want - 1) < 0.03
 
 
+def test_band_filter_gains():
+    """Half power at the edges, one in the middle, none far out; a constant rests; twice over, forth and back, no shift."""
+    for low, high in ((0.5, 20.0), (0.2, 15.0)):
+        b, a = sg.band_filter(low, high, 50.0)
+        gain = lambda f: abs(np.polyval(b, np.exp(2j * np.pi * f / 50)) / np.polyval(a, np.exp(2j * np.pi * f / 50)))  # noqa: B023, E731
+        assert np.isclose(gain(low), 2**-0.5) and np.isclose(gain(high), 2**-0.5) and gain(1e-3) < 1e-4 and abs(gain(np.sqrt(low * high)) - 1) < 0.05
+        assert np.all(np.abs(np.roots(a)) < 1) and np.allclose(sg.recurred(b, a, np.ones((1, 50))), 0, atol=1e-12)
+    at = np.arange(3000) / 50
+    tone = np.sin(2 * np.pi * 4 * at)
+    assert np.abs(sg.zero_phase(tone, np.array([0, 3000]), *sg.band_filter(0.5, 20.0, 50.0)) - tone)[300:-300].max() < 0.01
+
+
+def test_windows_of_any_length_are_filtered_alike():
+    rng = np.random.default_rng(6)
+    sizes = [20, 400, 21, 15, 16, 150, 150, 3]
+    edges = np.r_[0, np.cumsum(sizes)]
+    values = rng.normal(size=edges[-1])
+    b, a = sg.band_filter(0.5, 20.0, 50.0)
+    whole = sg.zero_phase(values, edges, b, a)
+    for x, y in zip(edges[:-1], edges[1:]):
+        assert np.allclose(whole[x:y], sg.zero_phase(values[x:y], np.array([0, y - x]), b, a))
+    assert np.array_equal(whole[edges[3] : edges[4]], values[edges[3] : edges[4]])  # too short to filter
+    for share in (0, 0.3, 0.95, 1):
+        assert np.allclose(sg.quantile(values, edges, share), [np.quantile(values[x:y], share) for x, y in zip(edges[:-1], edges[1:])])
+
+
 def test_spectrum_finds_tone_and_power():
     at = np.arange(2048) / 50
-    f, p = sensors.spectrum(2 * np.sin(2 * np.pi * 6.25 * at), 50)
-    assert f[p.argmax()] == 6.25 and np.isclose(p.sum() * (f[1] - f[0]), 2, rtol=0.02)
+    (_, f, p), = sg.spectra(2 * np.sin(2 * np.pi * 6.25 * at), np.array([0, 2048]), 50.0, 64)
+    assert f[p[0].argmax()] == 6.25 and np.isclose(p.sum() * (f[1] - f[0]), 2, rtol=0.02)
+
+
+def test_features_of_odd_windows(spark):
+    """Windows under 20 samples and samples with nulls are left out; rows at rest give zeros; an empty table none."""
+    kinds = "run long, us long, ax double, ay double, az double, gx double, gy double, gz double, lat double, lon double, speed_kmh double"
+    rows = [(1, i * 20_000, 0.0, 0.0, 9.81, 0.0, 0.0, 0.0, 4.6, -74.1, 36.0) for i in range(30)] + [(2, i, 0.0, 0.0, 9.81, 0.0, 0.0, 0.0, 4.6, -74.1, 0.0) for i in range(19)]
+    rows += [(3, i, 0.0, 0.0, None if i else 9.8, 0.0, 0.0, 0.0, 4.6, -74.1, 0.0) for i in range(40)] + [(None, 5, 0.0, 0.0, 9.81, 1.0, 0.0, 0.5, 4.6, -74.1, 0.0)] * 25
+    samples = spark.createDataFrame(rows, kinds)
+    got = {r["run"]: r.asDict() for r in sensors.window_features(samples, ["run"]).collect()}
+    assert set(got) == {1, None} and set(sensors.FEATURES) < set(got[1])
+    assert got[1]["dq_muestras"] == 30 and abs(got[1]["imu_rms"]) < 1e-9 and np.isclose(got[1]["vel_media_kmh"], 36) and abs(got[1]["dq_jitter_ms"]) < 1e-9 and got[1]["gps_distancia_m"] == 0
+    assert np.isclose(got[None]["gyro_yaw_rms"], 0.5) and got[None]["frac_detenido"] == 1
+    assert sensors.window_features(samples.limit(0), ["run"]).count() == 0
 
 
 def test_components(spark):
