@@ -216,6 +216,8 @@ class Join:
         k = self.k
         sets = self.docs.mapInArrow(lambda batches: _sets(bits.value, k)(batches), "doc_id long, text_hash long, items binary")
         with tx.text_batches(self.spark):
+            if self.read is not None:  # a document of an earlier read whose bit is set again is not read twice
+                sets = sets.join(wanted, F.xxhash64("doc_id", "text_hash") == wanted["mark"], "left_semi")
             sets = tx.written(sets.dropDuplicates(["doc_id", "text_hash"]) if self._repeated() else sets, "jaccard-sets")
         bits.destroy()
         self.sets = sets if self.sets is None else self.sets.unionByName(sets)

@@ -94,5 +94,5 @@ def marks(df: DataFrame, column: str) -> np.ndarray:
 
 
 def marked(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    at = counter_of(hashes.view(tx.U64), MARK_BITS)
+    at = counter_of(hashes.view(tx.U64), (8 * len(bits)).bit_length() - 1)
     return (bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1

@@ -101,3 +101,25 @@ def test_rarity_fits_a_byte():
     kept = jaccard_join._rarity(counts)
     assert kept.dtype == np.uint8 and kept[0] == 0
     assert (np.diff(kept.astype(int)) >= 0).all() and len(set(kept.tolist())) >= 7
+
+
+def test_documents_read_twice_count_once(spark, monkeypatch):
+    """With few mark bits documents of an earlier read are met again; links stay those of brute force."""
+    monkeypatch.setattr(jaccard_join.sketch, "MARK_BITS", 12)
+    monkeypatch.setattr(jaccard_join, "SMALL", 4)
+    rng = random.Random(12)
+    texts = []
+    for g in range(60):
+        base = [f"g{g}w{i}" for i in range(60)]
+        for _ in range(rng.choice([1, 2, 6, 14])):
+            words = list(base)
+            words[rng.randrange(60)] = f"x{rng.randrange(10**6)}"
+            texts.append(" ".join(words))
+    texts += [f"lone{i} " + " ".join(f"u{i}v{j}" for j in range(12)) for i in range(2500)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sets = [shingle_set(t) for t in texts]
+    got = {r["doc_id"]: r["n_links"] for r in jaccard_links(docs).collect()}
+    many = [i for i, t in enumerate(texts) if not t.startswith("lone")]
+    for i in many:
+        assert got[i] == sum(100 * len(sets[i] & sets[j]) >= 90 * len(sets[i] | sets[j]) for j in many if j != i), i
+    assert all(n == 0 for i, n in got.items() if i >= len(many))
