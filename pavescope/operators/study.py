@@ -90,28 +90,6 @@ def drift(reference: DataFrame, batches: DataFrame, batch: str, values: list[str
     return reduce(DataFrame.unionByName, parts)
 
 
-def inside(points: DataFrame, polygons: DataFrame, cell: float) -> DataFrame:
-    """Points (id, lon, lat) with the least polygon (polygon, ring: array of lon, lat; open or closed) that holds them: boxes dealt
-    to cells of ``cell`` degrees, then a ray to the east. Points on an edge may fall on either side; points in none get null.
-    """
-    xs, ys = F.transform("ring", lambda v: v[0]), F.transform("ring", lambda v: v[1])
-    boxed = polygons.select("polygon", "ring", F.array_min(xs).alias("x0"), F.array_max(xs).alias("x1"), F.array_min(ys).alias("y0"), F.array_max(ys).alias("y1"))
-    span = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / cell), F.floor(F.col(b) / cell)))
-    dealt = boxed.withColumn("gx", span("x0", "x1")).withColumn("gy", span("y0", "y1"))
-    here = points.withColumn("gx", F.floor(F.col("lon") / cell)).withColumn("gy", F.floor(F.col("lat") / cell))
-    turned = F.concat(F.slice("ring", 2, 1_000_000), F.slice("ring", 1, 1))
-
-    def crosses(a: Column, b: Column) -> Column:
-        spans = (a[1] > F.col("lat")) != (b[1] > F.col("lat"))
-        east = F.col("lon") < F.try_divide((b[0] - a[0]) * (F.col("lat") - a[1]), b[1] - a[1]) + a[0]
-        return F.when(spans & east, 1).otherwise(0)
-
-    met = here.join(dealt, ["gx", "gy"]).where("lon BETWEEN x0 AND x1 AND lat BETWEEN y0 AND y1")
-    odd = F.aggregate(F.zip_with("ring", turned, crosses), F.lit(0), lambda acc, v: acc + v) % 2 == 1
-    best = met.where(odd).groupBy("id").agg(F.min("polygon").alias("polygon"))
-    return points.join(best, "id", "left").select("id", "polygon")
-
-
 def rolled(daily: DataFrame, key: str, day: str) -> DataFrame:
     """Daily rain and temperatures of each cell with sums and means over the last 7, 30 and 365 rows, and wet days of the last 30."""
     last = lambda n: Window.partitionBy(key).orderBy(day).rowsBetween(1 - n, 0)

@@ -228,18 +228,6 @@ def geo_elevation(spark, d):
     return out.select("id", F.round("elev", 4).alias("elev"), F.col("elev").isNull().alias("missing"), F.round(100 * F.abs(F.col("elev") - 2600) / F.greatest("axis_m", F.lit(1.0)), 4).alias("slope_pct"))
 
 
-_RING = "po AS (SELECT s_suppkey AS polygon, [[x, y + 0.01], [x + 0.013, y + 0.001], [x + 0.002, y - 0.012], [x - 0.009, y - 0.002]] AS ring FROM (SELECT id AS s_suppkey, lon AS x, lat AS y FROM r))"
-
-
-@query(f"+{_RING}, ed AS (SELECT polygon, unnest(ring) AS a, unnest(list_concat(ring[2:], ring[1:1])) AS b FROM po), hi AS (SELECT q.id, polygon, sum(CASE WHEN (a[2] > lat) <> (b[2] > lat) AND lon < (b[1] - a[1]) * (lat - a[2]) / (b[2] - a[2]) + a[1] THEN 1 ELSE 0 END) AS n FROM q, ed GROUP BY q.id, polygon) SELECT q.id, min(polygon) FILTER (n % 2 = 1) AS polygon FROM q LEFT JOIN hi USING (id) GROUP BY q.id", "customers", "suppliers")
-def jn_point_in_polygon(spark, d):
-    """The least polygon that holds each point."""
-    r = t.points(spark, d, "supplier", "s_suppkey")
-    corner = lambda dx, dy: F.array(F.col("lon") + dx, F.col("lat") + dy)
-    polygons = r.select(F.col("id").alias("polygon"), F.array(corner(0.0, 0.01), corner(0.013, 0.001), corner(0.002, -0.012), corner(-0.009, -0.002)).alias("ring"))
-    return study.inside(t.points(spark, d, "customer", "c_custkey"), polygons, 0.02)
-
-
 # ---- texts
 
 _LIST = "['bueno','satisfactorio','regular','malo','muy_malo']"
