@@ -195,6 +195,7 @@ class Join:
         tx.discard(met)
         self.docs, self.k, self.repeated = docs.withColumn("mark", F.xxhash64("doc_id", "text_hash")), k, None
         self.sets = self.read = None
+        self.reads = 0
         self.compared = None
         self.components = self.classes.select("node", F.col("node").alias("component"))
 
@@ -216,18 +217,19 @@ class Join:
         k = self.k
         sets = self.docs.mapInArrow(lambda batches: _sets(bits.value, k)(batches), "doc_id long, text_hash long, items binary")
         with tx.text_batches(self.spark):
-            if self.read is not None:  # a document of an earlier read whose bit is set again is not read twice
-                sets = sets.join(wanted, F.xxhash64("doc_id", "text_hash") == wanted["mark"], "left_semi")
             sets = tx.written(sets.dropDuplicates(["doc_id", "text_hash"]) if self._repeated() else sets, "jaccard-sets")
         bits.destroy()
+        # a document of an earlier read whose bit is set again is read again: the number of the read that wanted it tells which set counts
+        self.reads += 1
+        sets, own = sets.withColumn("read", F.lit(self.reads)), wanted.select("node", F.lit(self.reads).alias("its_read"))
         self.sets = sets if self.sets is None else self.sets.unionByName(sets)
-        self.read = wanted.select("node") if self.read is None else self.read.unionByName(wanted.select("node"))
+        self.read = own if self.read is None else self.read.unionByName(own)
 
     def _with_sets(self, df: DataFrame, node: str) -> DataFrame:
         """df with the items of the nodes in a column."""
-        named = self.classes.select(F.col("node").alias("its_node"), "label", F.col("text_hash").alias("its_hash"))
+        named = self.classes.join(self.read, "node").select(F.col("node").alias("its_node"), "label", F.col("text_hash").alias("its_hash"), "its_read")
         df = df.join(named, F.col(node) == F.col("its_node"))
-        return df.join(self.sets, (F.col("text_hash") == F.col("its_hash")) & F.col("doc_id").eqNullSafe(F.col("label")))
+        return df.join(self.sets, (F.col("text_hash") == F.col("its_hash")) & F.col("doc_id").eqNullSafe(F.col("label")) & (F.col("read") == F.col("its_read")))
 
     def compare(self, pairs: DataFrame) -> DataFrame:
         """x, y, both, union of pairs (x < y) that have not been compared; added to ``compared``."""
@@ -320,10 +322,10 @@ class Join:
                 yield batch.filter(pa.array(sketch.marked(bits.value, batch.column("mark").to_numpy())))
 
         # only the sets of such components are moved; each was read for some comparison
-        sets = self.sets.withColumn("mark", F.xxhash64("doc_id", "text_hash")).mapInArrow(met, "doc_id long, text_hash long, items binary, mark long").drop("mark")
+        sets = self.sets.withColumn("mark", F.xxhash64("doc_id", "text_hash")).mapInArrow(met, "doc_id long, text_hash long, items binary, read int, mark long").drop("mark")
         cuts = F.ceil(F.greatest(F.col("items") * 8 / F.lit(GROUP_BYTES), F.col("m") / F.lit(TILE_ROWS))).cast("int")
         tiles = several.select("node", "component", "copies", cuts.alias("cuts")).withColumn("tile", F.pmod(F.xxhash64("node"), F.col("cuts")).cast("int"))
-        tiles = tiles.join(self.classes.select("node", "label", "text_hash"), "node").join(sets.withColumnRenamed("text_hash", "its_hash"), (F.col("text_hash") == F.col("its_hash")) & F.col("doc_id").eqNullSafe(F.col("label")))
+        tiles = tiles.join(self.classes.select("node", "label", "text_hash"), "node").join(self.read, "node").join(sets.withColumnRenamed("text_hash", "its_hash"), (F.col("text_hash") == F.col("its_hash")) & F.col("doc_id").eqNullSafe(F.col("label")) & (F.col("read") == F.col("its_read")))
         cells = tiles.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
         cells = cells.select("component", F.least("tile", "with").alias("low"), F.greatest("tile", "with").alias("high"), "tile", "node", "copies", "items")
         found = cells.groupBy("component", "low", "high").applyInArrow(_count(self.least), "node long, links long")
