@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 import numpy as np
@@ -13,30 +14,40 @@ from pyspark.sql import Window
 from . import evaluation, graph, sampling
 
 LOW, HIGH = 0.025, 0.975
+PRIME = 2_147_483_647
+#: Where a count of a Poisson variable of mean one grows, in numbers below PRIME.
+POISSON_STEPS = [int(PRIME * sum(math.exp(-1) / math.factorial(i) for i in range(k + 1))) for k in range(9)]
 
 
 def drawn(a: Column, b: Column, n: Column) -> Column:
     """A number from 0 to n - 1 that two numbers (up to some 10^9 and 10^6) fix, evenly spread: multiplications modulo 2^31 - 1."""
-    p = 2_147_483_647
+    p = PRIME
     h = (a * 48_271 + b * 69_621 + 12_345) % p
     h = (h * 16_807) % p
     h = (h.bitwiseXOR(F.shiftright(h, 13)) * 39_373) % p
     return (h * 48_271) % p % n
 
 
-def bootstrap_draws(groups: DataFrame, key: str, reps: int) -> DataFrame:
-    """key, rep and times: how often each of reps resamples, with replacement, takes each group. Groups are numbered in order of key."""
-    numbered = sampling.numbered(groups.select(key).distinct(), [key], "_n").select(key, (F.col("_n") - 1).alias("_n"))
-    n = groups.select(key).distinct().agg(F.count(key).alias("_all"))
-    draws = numbered.crossJoin(F.broadcast(n)).select("_n", "_all", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("rep"))  # one row
-    times = draws.select("rep", drawn(F.col("_n"), F.col("rep"), F.col("_all")).alias("_n")).groupBy("rep", "_n").agg(F.count(F.lit(1)).alias("times"))
-    return times.join(numbered, "_n").select(key, "rep", "times")
+def resampled(key: Column, rep: Column) -> Column:
+    """How often replicate rep takes the group of a whole-number key: a Poisson count of mean one, fixed by both, made where the group lies."""
+    u = drawn(key, rep, F.lit(PRIME))
+    return reduce(lambda a, b: a + b, [F.when(u >= step, 1).otherwise(0) for step in POISSON_STEPS])
+
+
+def bootstrap_sums(groups: DataFrame, key: str, values: list[str], reps: int) -> DataFrame:
+    """rep, groups (distinct ones taken), times and the sums of each of values over each of reps resamples. groups: one row a group, a whole-number key.
+
+    The bootstrap with Poisson counts: groups are taken independently, so a row's replicates are added up in its own task and
+    a task sends reps rows, whatever its groups.
+    """
+    each = groups.select(key, *values).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1)))).withColumn("_t", resampled(F.col(key), F.col("rep"))).where("_t > 0")
+    return each.groupBy("rep").agg(F.count(F.lit(1)).alias("groups"), F.sum("_t").alias("times"), *[F.sum(F.col("_t") * F.col(v)).alias(v) for v in values])
 
 
 def bootstrap_ratio(sums: DataFrame, key: str, over: str, under: str, reps: int) -> DataFrame:
     """low and high of the 95 % interval of sum(over) / sum(under), resampled by group. sums: one row a group. Replicates without weight are left out."""
-    weighted = bootstrap_draws(sums, key, reps).join(sums, key).groupBy("rep").agg(F.try_divide(F.sum(F.col("times") * F.col(over)), F.sum(F.col("times") * F.col(under))).alias("v"))
-    return weighted.agg(F.percentile("v", F.lit(LOW)).alias("low"), F.percentile("v", F.lit(HIGH)).alias("high"))  # reps values
+    ratio = bootstrap_sums(sums, key, [over, under], reps).select(F.try_divide(over, under).alias("v"))
+    return ratio.agg(F.percentile("v", F.lit(LOW)).alias("low"), F.percentile("v", F.lit(HIGH)).alias("high"))  # reps values
 
 
 def folds(groups: DataFrame, k: int, stratum: str | None = None) -> DataFrame:
@@ -84,10 +95,26 @@ def chained(hashed: DataFrame, group: str, key: str) -> DataFrame:
     return hashed.select(group, key, *graph.words()).groupBy(group).applyInArrow(one, f"{group} {kinds[group]}, {key} {kinds[key]}, chain_pos long")
 
 
-def drift(reference: DataFrame, batches: DataFrame, batch: str, values: list[str], names: list[str]) -> DataFrame:
-    """The stability index of every value in every named batch against the reference."""
-    parts = [evaluation.stability_index(reference, batches.where(F.col(batch) == b), v).select(F.lit(b).alias("batch"), F.lit(v).alias("variable"), "psi") for b in names for v in values]
-    return reduce(DataFrame.unionByName, parts)
+def drift(reference: DataFrame, batches: DataFrame, batch: str, values: list[str], bins: int = 10) -> DataFrame:
+    """batch, variable and psi of every value in every batch against the reference: one plan, whatever their number. Rules as in stability_index()."""
+    melted = lambda df, more: df.select(*more, F.explode(F.array(*[F.struct(F.lit(v).alias("variable"), F.col(v).cast("double").alias("v")) for v in values])).alias("m")).select(*more, "m.*").where(evaluation.finite("v"))
+    ref, cur = melted(reference, []), melted(batches, [batch])
+    shares = {f"_q{i}": i / bins for i in range(bins + 1)}
+    found = sampling.quantiles(ref, "v", shares, ["variable"]).select("variable", F.array_distinct(F.array(*shares)).alias("_all"))
+    edges = found.select("variable", F.size("_all").alias("_many"), F.filter("_all", lambda e: (e != F.col("_all")[0]) & (e != F.array_max("_all"))).alias("_edges"))
+    # a row a variable
+    binned = lambda df, keys, n: df.join(F.broadcast(edges), "variable").groupBy(*keys, "variable", F.size(F.filter("_edges", lambda e: e <= F.col("v"))).alias("bin")).agg(F.count(F.lit(1)).alias(n))
+    old, new = binned(ref, [], "r"), binned(cur, [batch], "c")
+    # a row a batch, variable and bin
+    bins_of = edges.select("variable", "_many", F.explode(F.sequence(F.lit(0), F.size("_edges"))).alias("bin"))
+    spine = batches.select(batch).distinct().crossJoin(F.broadcast(bins_of))
+    both = spine.join(old, ["variable", "bin"], "left").join(new, [batch, "variable", "bin"], "left").fillna(0, ["r", "c"]).where("r + c > 0")
+    every = Window.partitionBy(batch, "variable")
+    share = lambda k: F.greatest(F.try_divide(F.col(k), F.sum(k).over(every)), F.lit(1e-4))
+    terms = both.select(batch, "variable", share("r").alias("rs"), share("c").alias("cs"), "r", "c", "_many")
+    few = (F.sum("r") < evaluation.LEAST_ROWS) | (F.sum("c") < evaluation.LEAST_ROWS)
+    psi = F.sum((F.col("cs") - F.col("rs")) * F.ln(F.col("cs") / F.col("rs")))
+    return terms.groupBy(batch, "variable").agg(F.when(few, None).when(F.max("_many") < 3, 0.0).otherwise(psi).alias("psi"))
 
 
 def rolled(daily: DataFrame, key: str, day: str) -> DataFrame:

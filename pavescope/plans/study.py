@@ -25,7 +25,8 @@ def _drawn(a: str, b: str, n: str) -> str:
 # ---- evaluation
 
 _ERRORS = f"{_YP}, er AS (SELECT o.o_custkey AS g, abs(y - p) AS e, abs(y - p) * 0.5 + o.o_orderkey % 40 AS e2 FROM yp JOIN orders o ON o.o_orderkey = yp.id)"
-_BOOT = f"{_ERRORS}, gs AS (SELECT g, sum(e) AS s, sum(e2) AS s2, count(*) AS n, row_number() OVER (ORDER BY g) - 1 AS i, count(*) OVER () AS m FROM er GROUP BY g), dr AS (SELECT r.range AS rep, {_drawn('gs.i', 'r.range', 'gs.m')} AS i FROM gs, range({REPS}) r)"
+_times = lambda key, reps: "(" + " + ".join(f"({_drawn(key, reps, str(study.PRIME))} >= {step})::INT" for step in study.POISSON_STEPS) + ")"
+_BOOT = f"{_ERRORS}, gs AS (SELECT g, sum(e) AS s, sum(e2) AS s2, count(*) AS n FROM er GROUP BY g), dr AS (SELECT r.range AS rep, s, s2, n, {_times('gs.g', 'r.range')} AS k FROM gs, range({REPS}) r)"
 
 
 def _errors(spark: SparkSession, d: str) -> DataFrame:
@@ -35,13 +36,13 @@ def _errors(spark: SparkSession, d: str) -> DataFrame:
     return sums.withColumn("ds", F.col("s2") - F.col("s"))
 
 
-@query(f"WITH {_BOOT}, v AS (SELECT rep, sum(s) / sum(n) AS v FROM dr JOIN gs USING (i) GROUP BY rep) SELECT round(quantile_cont(v, 0.025), 6) AS low, round(quantile_cont(v, 0.975), 6) AS high FROM v")
+@query(f"WITH {_BOOT}, v AS (SELECT rep, sum(k * s) / nullif(sum(k * n), 0) AS v FROM dr GROUP BY rep) SELECT round(quantile_cont(v, 0.025), 6) AS low, round(quantile_cont(v, 0.975), 6) AS high FROM v")
 def ev_bootstrap(spark, d):
     """95 % interval of the mean absolute error, groups resampled with replacement."""
     return study.bootstrap_ratio(_errors(spark, d), "g", "s", "n", REPS).select(r6("low"), r6("high"))
 
 
-@query(f"WITH {_BOOT}, v AS (SELECT rep, sum(s2 - s) / sum(n) AS v FROM dr JOIN gs USING (i) GROUP BY rep) SELECT round((SELECT sum(s2 - s) / sum(n) FROM gs), 6) AS delta, round(quantile_cont(v, 0.025), 6) AS low, round(quantile_cont(v, 0.975), 6) AS high FROM v")
+@query(f"WITH {_BOOT}, v AS (SELECT rep, sum(k * (s2 - s)) / nullif(sum(k * n), 0) AS v FROM dr GROUP BY rep) SELECT round((SELECT sum(s2 - s) / sum(n) FROM gs), 6) AS delta, round(quantile_cont(v, 0.025), 6) AS low, round(quantile_cont(v, 0.975), 6) AS high FROM v")
 def ev_paired_delta(spark, d):
     """The second model's error less the first one's, with its interval over the same resamples."""
     sums = _errors(spark, d)
@@ -49,12 +50,12 @@ def ev_paired_delta(spark, d):
     return whole.crossJoin(study.bootstrap_ratio(sums, "g", "ds", "n", REPS)).select(r6("delta"), r6("low"), r6("high"))  # one row each
 
 
-@query(f"WITH s AS (SELECT s_suppkey, s_acctbal AS v, row_number() OVER (ORDER BY s_suppkey) - 1 AS i, count(*) OVER () AS m FROM supplier), dr AS (SELECT r.range AS rep, {_drawn('s.i', 'r.range', 's.m')} AS i FROM s, range(2000) r), v AS (SELECT rep, avg(v) AS v, count(DISTINCT i) AS u FROM dr JOIN s USING (i) GROUP BY rep) SELECT round(quantile_cont(v, 0.025), 4) AS low, round(quantile_cont(v, 0.975), 4) AS high FROM v WHERE u > 2")
+@query(f"WITH dr AS (SELECT r.range AS rep, s_acctbal AS v, {_times('s_suppkey', 'r.range')} AS k FROM supplier, range(2000) r), v AS (SELECT rep, sum(k * v) / sum(k) AS v, count(*) FILTER (k > 0) AS u FROM dr GROUP BY rep) SELECT round(quantile_cont(v, 0.025), 4) AS low, round(quantile_cont(v, 0.975), 4) AS high FROM v WHERE u > 2")
 def ev_boot_rows(spark, d):
     """The same with rows for groups; resamples of two distinct rows or fewer are left out."""
     rows = t.read(spark, d, "supplier").select(F.col("s_suppkey").alias("g"), F.col("s_acctbal").cast("double").alias("v"))
-    reps = study.bootstrap_draws(rows, "g", 2000).join(rows, "g").groupBy("rep").agg((F.sum(F.col("times") * F.col("v")) / F.sum("times")).alias("m"), F.count(F.lit(1)).alias("u"))
-    return reps.where("u > 2").agg(F.round(F.percentile("m", F.lit(0.025)), 4).alias("low"), F.round(F.percentile("m", F.lit(0.975)), 4).alias("high"))
+    reps = study.bootstrap_sums(rows, "g", ["v"], 2000).where("groups > 2").select((F.col("v") / F.col("times")).alias("m"))
+    return reps.agg(F.round(F.percentile("m", F.lit(0.025)), 4).alias("low"), F.round(F.percentile("m", F.lit(0.975)), 4).alias("high"))
 
 
 @query(f"WITH {_YP}, m AS (SELECT avg(abs(p - y)) AS mae, sqrt(avg((p - y) * (p - y))) AS rmse, avg(p - y) AS sesgo, count(*) AS n FROM yp) " + " UNION ALL ".join(f"SELECT 'fusion' AS area, '{k}' AS metric, round({k} + 1e-9, 4) AS value, n, CASE WHEN {k} <= 30 THEN 'OK' WHEN {k} <= 60 THEN 'ALERTA' ELSE 'FALLA' END AS status FROM m" for k in ("mae", "rmse", "sesgo")))
@@ -74,7 +75,7 @@ def ev_drift(spark, d):
     """Stability of two variables in a control batch and in a shifted one."""
     third = F.col("l_orderkey") % 3
     rows = t.read(spark, d, "lineitem").select(third.alias("third"), (F.col("l_extendedprice") * F.when(third == 2, 1.3).otherwise(1.0)).alias("price"), F.col("l_quantity").cast("double").alias("quantity"), F.when(third == 1, "control").otherwise("shifted").alias("batch"))
-    return study.drift(rows.where("third = 0"), rows.where("third > 0"), "batch", ["price", "quantity"], ["control", "shifted"]).withColumn("psi", F.round("psi", 6))
+    return study.drift(rows.where("third = 0"), rows.where("third > 0"), "batch", ["price", "quantity"]).withColumn("psi", F.round("psi", 6))
 
 
 @query(f"WITH {q._CELLS}, m AS (SELECT *, sum(n) OVER (PARTITION BY i) AS ni, sum(n) OVER (PARTITION BY j) AS nj FROM cell) SELECT truth AS level, round(coalesce(n / nullif(nj, 0), 0), 6) AS precision, round(coalesce(n / nullif(ni, 0), 0), 6) AS recall, round(coalesce(2.0 * n / nullif(ni + nj, 0), 0), 6) AS f1, ni::BIGINT AS support FROM m WHERE i = j")
