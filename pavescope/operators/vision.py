@@ -14,29 +14,36 @@ from . import pavement
 GRID = 64
 
 
-def _mask_rows(boxes: DataFrame) -> DataFrame:
-    """For each raster row that a box meets, its columns as the bits of a long."""
+def _spans(boxes: DataFrame) -> DataFrame:
+    """The raster rows _y0 to _y1 - 1 that a box meets, and its columns as the bits of a long; boxes that meet none have no mask."""
     low = lambda m, n: F.greatest(F.lit(0), ((F.col(m) - F.col(n) / 2) * GRID).cast("int"))
     high = lambda m, n: F.least(F.lit(GRID), F.ceil((F.col(m) + F.col(n) / 2) * GRID).cast("int"))
     spans = boxes.withColumn("_x0", low("cx", "w")).withColumn("_x1", high("cx", "w")).withColumn("_y0", low("cy", "h")).withColumn("_y1", high("cy", "h"))
     # (-1 >>> (64 - width)) << x0
-    mask = F.expr(f"shiftleft(shiftrightunsigned(-1L, {GRID} - (_x1 - _x0)), _x0)")
-    return spans.where("_x1 > _x0 AND _y1 > _y0").withColumn("mask", mask).withColumn("y", F.explode(F.expr("sequence(_y0, _y1 - 1)"))).drop("_x0", "_x1", "_y0", "_y1")
+    mask = F.expr(f"CASE WHEN _x1 > _x0 AND _y1 > _y0 THEN shiftleft(shiftrightunsigned(-1L, {GRID} - (_x1 - _x0)), _x0) END")
+    return spans.withColumn("mask", mask).drop("_x0", "_x1")
 
 
 def covered(boxes: DataFrame) -> DataFrame:
     """image_id, cls and the share of the raster that the boxes of a class cover."""
-    rows = _mask_rows(boxes.select("image_id", "cls", "cx", "cy", "w", "h")).groupBy("image_id", "cls", "y").agg(F.bit_or("mask").alias("mask"))
+    rows = _spans(boxes.select("image_id", "cls", "cx", "cy", "w", "h")).where("mask IS NOT NULL").withColumn("y", F.explode(F.expr("sequence(_y0, _y1 - 1)")))
+    rows = rows.groupBy("image_id", "cls", "y").agg(F.bit_or("mask").alias("mask"))
     return rows.groupBy("image_id", "cls").agg((F.sum(F.bit_count("mask")) / (GRID * GRID)).alias("area"))
 
 
-def covered_wide(boxes: DataFrame) -> DataFrame:
-    """image_id, union_<class> and union_total: the same by column, and of all classes together."""
-    rows = _mask_rows(boxes.select("image_id", "cls", "cx", "cy", "w", "h")).groupBy("image_id", "y").agg(*[F.bit_or(F.when(F.col("cls") == k, F.col("mask"))).alias(k) for k in c.CLASSES])
+def _union(spans: Column) -> Column:
+    """Share of the raster that spans (an array of mask, _y0, _y1) cover; 0 without any.
+
+    Between two neighbouring edges the covered columns do not change, so each strip is looked at once.
+    """
+    edges = F.array_sort(F.array_distinct(F.concat(F.transform(spans, lambda s: s["_y0"]), F.transform(spans, lambda s: s["_y1"]))))
     zero = F.lit(0).cast("long")
-    either = reduce(lambda a, b: a.bitwiseOR(b), [F.coalesce(k, zero) for k in c.CLASSES])
-    share = lambda m: F.sum(F.bit_count(m)) / (GRID * GRID)
-    return rows.groupBy("image_id").agg(*[share(F.coalesce(k, zero)).alias(f"union_{k}") for k in c.CLASSES], share(either).alias("union_total"))
+
+    def strip(y: Column, i: Column) -> Column:
+        held = F.aggregate(spans, zero, lambda acc, s: F.when((s["_y0"] <= y) & (y < s["_y1"]), acc.bitwiseOR(s["mask"])).otherwise(acc))
+        return F.bit_count(held) * (F.coalesce(F.get(edges, i + 1), y) - y)
+
+    return F.aggregate(F.transform(edges, strip), F.lit(0), lambda acc, v: acc + v) / (GRID * GRID)
 
 
 def frame_features(boxes: DataFrame, frames: DataFrame, cuts: DataFrame, tau: dict[str, float]) -> DataFrame:
@@ -44,34 +51,35 @@ def frame_features(boxes: DataFrame, frames: DataFrame, cuts: DataFrame, tau: di
 
     Boxes of other classes, and null confidences, count for max_conf alone. Repeated boxes count each.
     """
-    b = pavement.weighted(boxes, cuts).withColumn("tau", x.by_class({k: F.lit(v) for k, v in tau.items()}, F.col("cls")))
+    b = _spans(pavement.weighted(boxes, cuts)).withColumn("tau", x.by_class({k: F.lit(v) for k, v in tau.items()}, F.col("cls")))
     col, area = F.col, F.col("w") * F.col("h")
     hard, soft = col("conf") >= col("tau"), col("conf") >= c.SOFT
-    zero = lambda e: F.coalesce(e, F.lit(0.0))
-    total = lambda cond, e: zero(F.sum(F.when(cond, e)))
-    aggs: list[Column] = []
+    some = lambda cond, e: F.sum(F.when(cond, e))
+    # dealt once by image: then by class, and the classes side by side
+    by = b.where(F.col("image_id").isNotNull()).repartition("image_id").groupBy("image_id", "cls").agg(
+        F.count_if(hard).alias("n"), F.sum("conf").alias("soft"), F.max("conf").alias("maxconf"), F.count_if(soft & (col("conf") < col("tau"))).alias("nsub"), some(hard, area).alias("area"),
+        F.max(F.when(hard, area)).alias("area_max"), some(hard, col("cy")).alias("cy"), some(hard, col("rho")).alias("hard"), some(soft, col("rho") * col("conf")).alias("softrho"),
+        some(hard & (F.abs(col("cx") - 0.5) <= 0.3), area).alias("wheel"),
+        # the boxes of an image, of which a detector gives some hundreds at most
+        F.collect_list(F.when(hard & F.col("mask").isNotNull(), F.struct("mask", "_y0", "_y1"))).alias("spans"),
+    )
+    wide: list[Column] = [F.sum("wheel").alias("_wheel"), F.sum("area").alias("_area"), F.max("maxconf").alias("max_conf"), F.flatten(F.collect_list(F.when(F.col("cls").isin(*c.CLASSES), F.col("spans")))).alias("_spans")]
+    parts = ("n", "soft", "maxconf", "nsub", "area", "area_max", "cy", "hard", "softrho", "union")
+    wide += [F.max(F.when(col("cls") == k, F.struct(*parts))).alias(k) for k in c.CLASSES]
+    out = by.withColumn("union", _union(col("spans"))).groupBy("image_id").agg(*wide)
+    of = lambda k, p: F.coalesce(col(f"{k}.{p}"), F.lit(0.0))
+    shown = [col("image_id"), F.coalesce(F.try_divide("_wheel", "_area"), F.lit(0.0)).alias("rodada_share"), F.coalesce("max_conf", F.lit(0.0)).alias("max_conf"), _union(col("_spans")).alias("union_total")]
     for k in c.CLASSES:
-        own = col("cls") == k
-        aggs += [
-            F.count_if(own & hard).alias(f"n_{k}"), total(own, col("conf")).alias(f"soft_{k}"), zero(F.max(F.when(own, col("conf")))).alias(f"maxconf_{k}"),
-            F.count_if(own & soft & (col("conf") < col("tau"))).alias(f"nsub_{k}"), zero(F.avg(F.when(own & hard, area))).alias(f"area_mean_{k}"),
-            zero(F.max(F.when(own & hard, area))).alias(f"area_max_{k}"), zero(F.avg(F.when(own & hard, col("cy")))).alias(f"cy_mean_{k}"),
-            total(own & hard, col("rho")).alias(f"hard_{k}"), total(own & soft, col("rho") * col("conf")).alias(f"softrho_{k}"),
-        ]
-    wheel = total(hard & (F.abs(col("cx") - 0.5) <= 0.3), area)
-    aggs += [zero(F.try_divide(wheel, F.sum(F.when(hard, area)))).alias("rodada_share"), zero(F.max("conf")).alias("max_conf")]
-    known = F.col("image_id").isNotNull()
-    spine = frames.select("image_id").where(known).distinct()
-    out = spine.join(b.groupBy("image_id").agg(*aggs), "image_id", "left").join(covered_wide(b.where(hard)), "image_id", "left").fillna(0)
+        mean = lambda p: F.coalesce(F.try_divide(col(f"{k}.{p}"), col(f"{k}.n")), F.lit(0.0))  # noqa: B023, E731
+        shown += [F.coalesce(col(f"{k}.{p}"), F.lit(0)).alias(f"{p}_{k}") for p in ("n", "nsub")] + [of(k, p).alias(f"{p}_{k}") for p in ("soft", "maxconf", "area_max", "union")]
+        shown += [mean("area").alias(f"area_mean_{k}"), mean("cy").alias(f"cy_mean_{k}"), of(k, "hard").alias(f"rho_det_{k}"), of(k, "softrho").alias(f"rho_soft_{k}")]
+        shown += [x.deduct(k, of(k, "hard")).alias(f"dv_det_{k}"), x.deduct(k, of(k, "softrho")).alias(f"_dv_soft_{k}")]
+    out = frames.select("image_id").where(F.col("image_id").isNotNull()).distinct().join(out.select(*shown), "image_id", "left").fillna(0)
     all_n = reduce(lambda p, q: p + q, [col(f"n_{k}") for k in c.CLASSES])
     share = lambda k: col(f"n_{k}") / F.greatest(all_n, F.lit(1))
     entropy = -reduce(lambda p, q: p + q, [F.when(col(f"n_{k}") > 0, share(k) * F.ln(share(k))).otherwise(0.0) for k in c.CLASSES])
-    out = out.withColumn("entropia_clases", entropy)
-    for k in c.CLASSES:
-        out = out.withColumn(f"rho_det_{k}", col(f"hard_{k}")).withColumn(f"dv_det_{k}", x.deduct(k, col(f"hard_{k}"))).withColumn(f"rho_soft_{k}", col(f"softrho_{k}"))
-    index = lambda p: 100 - x.combined_deduct([x.deduct(k, col(f"{p}_{k}")) for k in c.CLASSES])
-    out = out.withColumn("pci_det", index("hard")).withColumn("pci_soft", index("softrho"))
-    return out.drop(*[f"{p}_{k}" for p in ("hard", "softrho") for k in c.CLASSES])
+    index = lambda p: 100 - x.combined_deduct([col(f"{p}_{k}") for k in c.CLASSES])
+    return out.withColumns({"entropia_clases": entropy, "pci_det": index("dv_det"), "pci_soft": index("_dv_soft")}).select("image_id", *FEATURES)
 
 
 FEATURES = [f"{p}_{k}" for k in c.CLASSES for p in ("n", "soft", "maxconf", "nsub", "area_mean", "area_max", "cy_mean", "union")] + ["union_total", "rodada_share", "entropia_clases", "max_conf"] + [f"{p}_{k}" for k in c.CLASSES for p in ("rho_det", "dv_det")] + ["pci_det"] + [f"rho_soft_{k}" for k in c.CLASSES] + ["pci_soft"]
