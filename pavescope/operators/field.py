@@ -81,7 +81,7 @@ def frame_table(boxes: DataFrame, frames: DataFrame, cuts: DataFrame, depth: Dat
         *[F.count_if(own(k)).alias(f"n_{k}") for k in c.CLASSES], *[F.max(F.when(own(k), F.col("conf"))).alias(f"conf_{k}") for k in c.CLASSES],
         *[F.sum(F.when(own(k), F.col("rho"))).alias(f"rho_{k}") for k in c.CLASSES], F.max("conf").alias("max_conf"),
     )
-    area = vision.covered_wide(kept).select("image_id", F.col("union_total").alias("area"))
+    area = vision.covered_together(kept)
     zero = [f"{p}_{k}" for p in ("n25", "n", "conf", "rho") for k in c.CLASSES] + ["n_tau", "max_conf", "area"]
     out = frames.join(before, "image_id", "left").join(sums, "image_id", "left").join(area, "image_id", "left").fillna(0, zero).join(depth, "image_id", "left")
     return pavement.scored(out).withColumn("severity", severity(F.col("depth")))

@@ -46,6 +46,12 @@ def _union(spans: Column) -> Column:
     return F.aggregate(F.transform(edges, strip), F.lit(0), lambda acc, v: acc + v) / (GRID * GRID)
 
 
+def covered_together(boxes: DataFrame) -> DataFrame:
+    """image_id and the share of the raster that its boxes cover, all classes together."""
+    spans = _spans(boxes.select("image_id", "cx", "cy", "w", "h")).where("mask IS NOT NULL")
+    return spans.groupBy("image_id").agg(F.collect_list(F.struct("mask", "_y0", "_y1")).alias("_s")).select("image_id", _union(F.col("_s")).alias("area"))
+
+
 def frame_features(boxes: DataFrame, frames: DataFrame, cuts: DataFrame, tau: dict[str, float]) -> DataFrame:
     """Fifty features of every frame; zeros where it has no boxes. Hard boxes reach their class's tau, soft ones 0.05.
 

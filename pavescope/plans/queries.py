@@ -408,7 +408,7 @@ _FAR = " + ".join(f"bit_count(xor(a.w{w}, b.w{w}))::INT" for w in range(8))
 def _images(spark: SparkSession, d: str) -> DataFrame:
     """Vectors that stand for 17 x 16 grey images, and near copies of some."""
     e = t.read(spark, d, "embeddings").select("vec_id", "embedding", "label")
-    copy = F.concat(F.array(-F.get("embedding", F.lit(0))), F.slice("embedding", 2, 10_000))
+    copy = F.concat(F.array(-F.get("embedding", F.lit(0))), F.slice("embedding", F.lit(2), F.size("embedding")))
     return e.unionByName(e.where("vec_id % 20 = 0").select((F.col("vec_id") + 1_000_000).alias("vec_id"), copy.alias("embedding"), "label"))
 
 
