@@ -170,12 +170,13 @@ def vis_segment(spark, d):
     return has.withColumn("prev", prev).groupBy("segment_id").agg(F.count(F.lit(1)).alias("n"), r6(F.avg("has"), "share"), F.coalesce(F.round(F.avg(F.col("has") * F.col("prev")), 6), F.lit(0.0)).alias("persistence"))
 
 
-_DAY_US = 24 * 3600 * tracks.SECOND
+#: A piece of these tracks, of a fix or so an hour.
+_PIECE_US = 30 * 24 * 3600 * tracks.SECOND
 
 
 @query("SELECT event_id, round(quantile_cont(value, 0.5) OVER (PARTITION BY user_id ORDER BY us RANGE BETWEEN 3599999999 PRECEDING AND 3600000000 FOLLOWING), 6) AS smooth FROM track", "track")
 def win_time_median(spark, d):
-    return tracks.smoothed(t.track(spark, d), 3600 * tracks.SECOND, piece_us=_DAY_US).select("event_id", r6("smooth"))
+    return tracks.smoothed(t.track(spark, d), 3600 * tracks.SECOND, piece_us=_PIECE_US).select("event_id", r6("smooth"))
 
 
 _HAV = "2 * 6371000.0 * asin(sqrt(pow(sin(radians({2} - {0}) / 2), 2) + cos(radians({0})) * cos(radians({2})) * pow(sin(radians({3} - {1}) / 2), 2)))"
@@ -184,12 +185,12 @@ _DIST = "s AS (SELECT *, coalesce(" + _HAV.format("lag(lat) OVER w", "lag(lon) O
 
 @query(f"+{_DIST} SELECT event_id, user_id, round(step_m, 4) AS step_m, round(dist_m, 3) AS dist_m FROM c", "track")
 def win_cumdist(spark, d):
-    return tracks.cumulative(t.track(spark, d), piece_us=_DAY_US).select("event_id", "user_id", F.round("step_m", 4).alias("step_m"), F.round("dist_m", 3).alias("dist_m"))
+    return tracks.cumulative(t.track(spark, d), piece_us=_PIECE_US).select("event_id", "user_id", F.round("step_m", 4).alias("step_m"), F.round("dist_m", 3).alias("dist_m"))
 
 
 @query(f"+{_DIST}, b AS (SELECT *, dense_rank() OVER (PARTITION BY user_id ORDER BY floor(dist_m / 2000)) - 1 AS dense FROM c), k AS (SELECT *, max(dense) OVER (PARTITION BY user_id) AS last, count(*) OVER (PARTITION BY user_id, dense) AS m FROM b) SELECT event_id, user_id, CASE WHEN dense = last AND m < 5 AND last > 0 THEN dense - 1 ELSE dense END::INT AS stretch FROM k", "track")
 def win_cut_dense(spark, d):
-    return tracks.stretches(tracks.cumulative(t.track(spark, d), piece_us=_DAY_US), 2000.0, 5).select("event_id", "user_id", F.col("stretch").cast("int").alias("stretch"))
+    return tracks.stretches(tracks.cumulative(t.track(spark, d), piece_us=_PIECE_US), 2000.0, 5).select("event_id", "user_id", F.col("stretch").cast("int").alias("stretch"))
 
 
 def _times(spark: SparkSession, d: str) -> DataFrame:
@@ -201,7 +202,7 @@ _INTERP = "q AS (SELECT o_custkey % 150 AS user_id, o_orderkey AS query, 1704067
 
 @query(f"+{_INTERP} SELECT user_id, query, us, round(CASE WHEN au IS NULL THEN bv WHEN bu IS NULL OR au = bu THEN av ELSE av + (us - au)::DOUBLE / (bu - au) * (bv - av) END, 6) AS value, CASE WHEN au IS NULL THEN bu WHEN bu IS NULL OR us - au <= bu - us THEN au ELSE bu END AS nearest_us, au IS NOT NULL AND bu IS NOT NULL AS inside FROM b", "track")
 def jn_interp(spark, d):
-    return tracks.interpolated(t.track(spark, d), _times(spark, d), _DAY_US).select("user_id", "query", "us", r6("value"), "nearest_us", "inside")
+    return tracks.interpolated(t.track(spark, d), _times(spark, d), _PIECE_US).select("user_id", "query", "us", r6("value"), "nearest_us", "inside")
 
 
 _SPAN_OF = "OVER (PARTITION BY user_id ORDER BY us RANGE BETWEEN 3599999999 PRECEDING AND 3600000000 FOLLOWING)"
@@ -221,7 +222,7 @@ _CLOSE = "CASE WHEN a IS NULL THEN b.{0} WHEN b IS NULL OR us - a.us <= b.us - u
 def fld_gpx(spark, d):
     """Tracks smoothed, measured and read at photo times."""
     track = t.track(spark, d).withColumn("speed", F.col("value") / 100).withColumn("sat", F.col("event_id") % 20)
-    out = tracks.located(track, _times(spark, d), 3600 * tracks.SECOND, piece_us=_DAY_US)
+    out = tracks.located(track, _times(spark, d), 3600 * tracks.SECOND, piece_us=_PIECE_US)
     read = lambda k, n: F.round(F.col(k) + 1e-10, n).alias(k)  # off the ties of a few decimals
     return out.select("user_id", "query", read("lat", 7), read("lon", 7), read("dist_m", 2), read("speed", 4), "sat", F.round(F.col("gps_dt_s") * 1_000_000).cast("long").alias("gps_dt_us"), "inside")
 
