@@ -35,3 +35,14 @@ DAMAGE_TEXT = {"D00": "grieta longitudinal", "D10": "grieta transversal", "D20":
 CRASH_WEIGHT = {"SOLO DANOS": 1, "CON HERIDOS": 3, "CON MUERTOS": 10}
 CRASH_AREA = ((3.5, 5.0), (-75.0, -73.5))
 CENTRE = (4.598, -74.076)
+# Columns of the city's table of road priorities, as its file names them and as they are named here.
+ROAD_SCORES = {
+    "PUNTAJE_DP": "p_poblacion", "PUNTAJE__1": "p_densidad", "PUNTAJE_PE": "p_peticiones", "PUNTAJE_SI": "p_sitios_sociales", "PUNTAJE_US": "p_uso_social",
+    "PUNTAJE_DI": "dim_social", "PUNTAJE__2": "p_uso_economico", "PUNTAJE__3": "p_sitios_economicos", "PUNTAJE__4": "dim_economica", "PUNTAJE_MA": "p_malla",
+    "PUNTAJE_RU": "p_rutas_transporte", "PUNTAJE__5": "p_siniestros", "PUNTAJE__6": "dim_tecnica", "PUNTAJE_IP": "ip_umv", "IP_RELATIV": "ip_relativo_umv", "PUNTAJE__7": "ip_max_umv",
+}
+ROAD_SIZES = {"ANCHOCALZA": "ancho_m", "AREACALZAD": "area_m2", "LONGITUDHO": "longitud_umv_m", "TIPOSUPERF": "tipo_superficie"}
+ROAD_IDS, ROAD_RANGE, ROAD_SHAPE = {"CIV": "civ", "PK_ID_CALZ": "pk_calzada"}, {"RANGOS_IP": "rango_ip_umv"}, "the_geom"
+SOCIAL_PARTS, INDEX_PARTS, SUM_SLACK = ("p_poblacion", "p_densidad", "p_peticiones", "p_sitios_sociales", "p_uso_social"), ("dim_social", "dim_economica", "dim_tecnica"), 0.05
+CRASH_COLUMNS = {"LATITUD": "lat", "LONGITUD": "lon", "GRAVEDAD": "gravedad", "ANO_OCURRENCIA_ACC": "anio", "CIV": "civ"}
+HOSPITAL_WORDS = ("HOSPITAL", "CLINICA", "CLÍNICA")

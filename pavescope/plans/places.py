@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import config as c
 from ..operators import components, matching, polygons, sampling
+from ..sources import city
 from ..sources import tables as t
 from .queries import query
 
@@ -42,6 +44,45 @@ def fld_carriageways(spark, d):
     return polygons.majority(_placed(spark, d).withColumn("stretch", F.col("id") % 60), "stretch").select("stretch", "polygon", F.round("share", 6).alias("share"))
 
 
+# ---- shapes of the city's table
+
+#: Corners of a road's area about its place, of a hole in it, and of a second area; by size of the road.
+_AREA, _GAP, _OTHER = ((0.0, 0.0), (5.0, 0.5), (5.5, 2.0), (2.0, 1.0), (0.5, 2.5)), ((1.0, 0.6), (2.0, 0.7), (1.5, 0.9)), ((7.0, 1.0), (9.0, 1.5), (8.0, 3.0))
+_at = lambda ring: "[" + ", ".join(f"[x + {a} * s, y + {b} * s]" for a, b in ring) + "]"
+_about = lambda k: f"sum((a[1] * b[2] - b[1] * a[2]) * (a[{k}] + b[{k}]) * sg) / 3 / sum((a[1] * b[2] - b[1] * a[2]) * sg)"
+_UMV = (
+    f"sh AS (SELECT id, lon AS x, lat AS y, (1 + id % 7) * 0.00025 AS s FROM r), rg AS (" + " UNION ALL ".join(f"SELECT id, x, y, {_at(ring)} AS p, {sign} AS role FROM sh" for ring, sign in ((_AREA, 1), (_GAP, -1), (_OTHER, 1))) + "), "
+    "eg AS (SELECT id, x, y, role, unnest(list_transform(p, lambda q: [q[1] - x, q[2] - y])) AS a, unnest(list_transform(list_concat(p[2:], p[1:1]), lambda q: [q[1] - x, q[2] - y])) AS b, list_sum(list_transform(range(1, len(p) + 1), lambda i: p[i][1] * p[i % len(p) + 1][2] - p[i % len(p) + 1][1] * p[i][2])) AS way FROM rg), "
+    f"ce AS (SELECT id, y + {_about(2)} AS lat, x + {_about(1)} AS lon FROM (SELECT *, role * sign(way) AS sg FROM eg) GROUP BY id, x, y), "
+    "pt AS (SELECT id, a[1] AS px, a[2] AS py FROM eg), "
+    "di AS (SELECT p.id, (q.px - p.px) / sqrt(pow(q.px - p.px, 2) + pow(q.py - p.py, 2)) AS ux, (q.py - p.py) / sqrt(pow(q.px - p.px, 2) + pow(q.py - p.py, 2)) AS uy FROM pt p JOIN pt q ON p.id = q.id AND (p.px, p.py) < (q.px, q.py)), "
+    "sp AS (SELECT id, ux, uy, min(px * ux + py * uy) AS a0, max(px * ux + py * uy) AS a1, min(py * ux - px * uy) AS b0, max(py * ux - px * uy) AS b1 FROM di JOIN pt USING (id) GROUP BY id, ux, uy), "
+    "re AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY (a1 - a0) * (b1 - b0), ux) AS n FROM sp), "
+    "en AS (SELECT id, CASE WHEN a1 - a0 >= b1 - b0 THEN [a0 * ux - (b0 + b1) / 2 * uy, a0 * uy + (b0 + b1) / 2 * ux] ELSE [(a0 + a1) / 2 * ux - b0 * uy, (a0 + a1) / 2 * uy + b0 * ux] END AS e, "
+    "CASE WHEN a1 - a0 >= b1 - b0 THEN [a1 * ux - (b0 + b1) / 2 * uy, a1 * uy + (b0 + b1) / 2 * ux] ELSE [(a0 + a1) / 2 * ux - b1 * uy, (a0 + a1) / 2 * uy + b1 * ux] END AS f FROM re WHERE n = 1)"
+)
+
+
+def _shapes(spark: SparkSession, d: str) -> DataFrame:
+    """The table of priorities as its file has it: text in every column, shapes of two areas and a hole; every tenth row has none."""
+    r = t.points(spark, d, "supplier", "s_suppkey").withColumn("s", (1 + F.col("id") % 7) * F.lit(0.00025))
+    ring = lambda at: F.concat(F.lit("("), F.concat_ws(", ", *[F.concat((F.col("lon") + F.lit(a) * F.col("s")).cast("string"), F.lit(" "), (F.col("lat") + F.lit(b) * F.col("s")).cast("string")) for a, b in (*at, at[0])]), F.lit(")"))
+    shape = F.concat(F.lit("MULTIPOLYGON (("), ring(_AREA), F.lit(", "), ring(_GAP), F.lit("), ("), ring(_OTHER), F.lit("))"))
+    known = {c.ROAD_SHAPE: F.when(F.col("id") % 10 > 0, shape), "CIV": F.format_string("%,d", F.col("id") * 1001), "PK_ID_CALZ": F.col("id").cast("string"), "AREACALZAD": F.when(F.col("id") % 3 > 0, F.lit("1,234.5")).otherwise("s/d")}
+    return r.select(*[known.get(k, F.col("id").cast("string")).alias(k) for k in (c.ROAD_SHAPE, *c.ROAD_IDS, *c.ROAD_SIZES, *c.ROAD_SCORES, *c.ROAD_RANGE)])
+
+
+@query(
+    f"+{_UMV} SELECT id * 1001 AS civ, id AS pk_calzada, CASE WHEN id % 3 > 0 THEN 1234.5 END::DOUBLE AS area_m2, id::DOUBLE AS ip_umv, round(lat, 8) AS lat, round(lon, 8) AS lon, "
+    "round(y + least(e, f)[2], 7) AS lat_a, round(x + least(e, f)[1], 7) AS lon_a, round(y + greatest(e, f)[2], 7) AS lat_b, round(x + greatest(e, f)[1], 7) AS lon_b FROM ce JOIN en USING (id) JOIN sh USING (id) WHERE id % 10 > 0",
+    "suppliers",
+)
+def src_umv(spark, d):
+    """Ids, numbers, centroids and long axes of roads whose areas come as text."""
+    rows = city.roads(_shapes(spark, d))
+    return rows.select("civ", "pk_calzada", "area_m2", "ip_umv", F.round("lat", 8).alias("lat"), F.round("lon", 8).alias("lon"), *[F.round(k, 7).alias(k) for k in ("lat_a", "lon_a", "lat_b", "lon_b")])
+
+
 # ---- roads
 
 _VERTICES = 12
