@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .. import config as c
 from ..functions import exprs as x
 from ..operators import baselines, dealing, geo, pavement, trees
+from ..sources import images
 from ..sources import tables as t
 from .queries import _densities, query
 
@@ -138,3 +139,25 @@ def sco_c1(spark, d):
     """The score of each segment by trees over its surroundings only, which say nothing about it."""
     around = _roads(spark, d).select(F.col("id").alias("segment_id"), *_PLACE)
     return baselines.boosted(_learning(spark, d).select("image_id", "segment_id", "split", "icv").join(around, "segment_id", "left"), _PLACE, settings=_QUICK).withColumn("icv", F.round("icv", 6))
+
+# ---- lists
+
+_NEGATIVES, _VAL, _SEED = 0.2, 50, 42
+_LISTS = (
+    f"im AS (SELECT image_id, 'img/' || image_id || '.jpg' AS path, image_id % 3 = 0 AS has_damage, {_SPLIT} AS split FROM frames), h AS (SELECT *, md5(image_id || '-{_SEED}') AS h FROM im), "
+    f"n AS (SELECT path FROM (SELECT *, row_number() OVER (ORDER BY h, image_id) AS r FROM h WHERE split = 'train' AND NOT has_damage) WHERE r <= (SELECT floor({_NEGATIVES} * count(*) / {1 - _NEGATIVES} + 1e-9) FROM im WHERE split = 'train' AND has_damage)), "
+    f"v AS (SELECT path FROM (SELECT *, row_number() OVER (ORDER BY h, image_id) AS r FROM h WHERE split = 'fusion') WHERE r <= {_VAL})"
+)
+
+
+@query(
+    f"+{_LISTS} SELECT 'train' AS list, path FROM im WHERE split = 'train' AND has_damage UNION ALL SELECT 'train', path FROM n UNION ALL SELECT 'val', path FROM v "
+    "UNION ALL SELECT split, path FROM im WHERE split <> 'train' UNION ALL SELECT 'all', path FROM im",
+    "frames",
+)
+def prep_lists(spark, d):
+    """Paths of the photos of each list; of those for training at most a fifth show no damage."""
+    f = t.frames(spark, d)
+    i = F.col("image_id")
+    photos = f.select("image_id", F.concat(F.lit("img/"), i.cast("string"), F.lit(".jpg")).alias("path"), (i % 3 == 0).alias("has_damage"))
+    return images.lists(photos, f.select("image_id", _split(F.col("segment_id")).alias("split")), _NEGATIVES, _VAL, _SEED)
