@@ -18,7 +18,7 @@ ROUNDS = 12
 def auroc(reference: DataFrame, batches: DataFrame, batch: str, key: str, values: list[str], k: int = 5, penalty: float = 1.0) -> DataFrame:
     """batch, n, auroc: the area under the curve of probabilities that models without a row's fold give, ties counting a half.
 
-    A row's fold is that of the CRC32 of its key, so repeated keys lie together. Values are standardised by the reference; nulls and values that are not finite become
+    A row's fold is that of the CRC32 of its key, so repeated keys lie together. Both classes weigh the same. Values are standardised by the reference; nulls and values that are not finite become
     its mean. A batch without rows in two classes has null. Names of batches and, each round, a gradient and Hessian of each batch and
     fold come to the driver; the reference is ranked once a batch, which is batches x reference rows.
     """
@@ -33,9 +33,9 @@ def auroc(reference: DataFrame, batches: DataFrame, batch: str, key: str, values
     rows = cut(reference.select(F.lit(-1).alias("b"), fold, *own).unionByName(mine.select("b", "fold", *cols)))
     stats = rows.where("b < 0").agg(*[f(v) for v in cols for f in (F.avg, F.stddev_pop)]).first()
     mean, spread = np.array([s or 0.0 for s in stats[::2]]), np.array([s or 1.0 for s in stats[1::2]])
-    weights = np.zeros((len(names), k, len(values) + 1))
+    weights, balance = np.zeros((len(names), k, len(values) + 1)), _balance(rows, len(names), k)
     for _ in range(ROUNDS):
-        step = _step(rows, weights, mean, spread, penalty)
+        step = _step(rows, weights, balance, mean, spread, penalty)
         weights = weights + step
         if np.abs(step).max() < 1e-8:
             break
@@ -52,7 +52,17 @@ def _design(batch: pa.RecordBatch, mean: np.ndarray, spread: np.ndarray) -> tupl
     return batch.column(0).to_numpy(), batch.column(1).to_numpy(), np.column_stack([x, np.ones(len(x))])
 
 
-def _step(rows: DataFrame, weights: np.ndarray, mean: np.ndarray, spread: np.ndarray, penalty: float) -> np.ndarray:
+def _balance(rows: DataFrame, batches: int, k: int) -> np.ndarray:
+    """Weights of reference and batch rows in each model, so that both have half of its sum."""
+    counts = np.zeros((batches + 1, k))  # the reference last
+    for r in rows.groupBy("b", "fold").count().collect():
+        counts[r["b"], r["fold"]] = r["count"]
+    other = counts.sum(axis=1, keepdims=True) - counts
+    both = np.stack([np.broadcast_to(other[-1], (batches, k)), other[:-1]], -1)
+    return both.sum(axis=-1, keepdims=True) / 2 / np.maximum(both, 1)
+
+
+def _step(rows: DataFrame, weights: np.ndarray, balance: np.ndarray, mean: np.ndarray, spread: np.ndarray, penalty: float) -> np.ndarray:
     """Newton's step of every model: tasks send sums, by model and place in (Hessian, gradient)."""
     batches, k, p = weights.shape
 
@@ -65,8 +75,9 @@ def _step(rows: DataFrame, weights: np.ndarray, mean: np.ndarray, spread: np.nda
                     use = ((b == m) | (b < 0)) & (fold != f)
                     own, y = x[use], (b[use] == m).astype(float)
                     said = 1 / (1 + np.exp(-np.clip(own @ weights[m, f], -35, 35)))
-                    total[m, f, :p] += (own * (said * (1 - said))[:, None]).T @ own
-                    total[m, f, p] += own.T @ (y - said)
+                    share = balance[m, f][y.astype(int)]
+                    total[m, f, :p] += (own * (share * said * (1 - said))[:, None]).T @ own
+                    total[m, f, p] += own.T @ (share * (y - said))
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(total.size)), pa.array(total.ravel())], names=["cell", "v"])
 
     total = np.zeros(batches * k * (p + 1) * p)

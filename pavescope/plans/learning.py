@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import config as c
 from ..functions import exprs as x
-from ..operators import baselines, dealing, geo, pavement, trees
+from ..operators import baselines, dealing, domain, geo, pavement, trees
 from ..sources import images
 from ..sources import tables as t
 from .queries import _densities, query
@@ -161,3 +161,15 @@ def prep_lists(spark, d):
     i = F.col("image_id")
     photos = f.select("image_id", F.concat(F.lit("img/"), i.cast("string"), F.lit(".jpg")).alias("path"), (i % 3 == 0).alias("has_damage"))
     return images.lists(photos, f.select("image_id", _split(F.col("segment_id")).alias("split")), _NEGATIVES, _VAL, _SEED)
+
+
+# ---- domain
+
+
+@query()
+def ev_domain(spark, d):
+    """How well eight components of vectors tell each of two batches from the rest; of one, a component is moved."""
+    e = t.read(spark, d, "embeddings").select("vec_id", *[F.get("embedding", F.lit(i)).alias(f"c{i}") for i in range(8)])
+    batch = F.when(F.col("vec_id") % 10 == 1, "same").when(F.col("vec_id") % 10 == 2, "moved")
+    batches = e.withColumn("batch", batch).where("batch IS NOT NULL").withColumn("c0", F.when(F.col("batch") == "moved", F.col("c0") + 0.2).otherwise(F.col("c0")))
+    return domain.auroc(e.where("vec_id % 10 NOT IN (1, 2)"), batches, "batch", "vec_id", [f"c{i}" for i in range(8)]).withColumn("auroc", F.round("auroc", 6))

@@ -16,7 +16,8 @@ def brute(x, y, fold, k):
         w = np.zeros(own.shape[1])
         for _ in range(60_000):
             use = fold != f
-            w = w + 0.002 * (own[use].T @ (y[use] - 1 / (1 + np.exp(-own[use] @ w))) - np.r_[w[:-1], 0])
+            share = len(y[use]) / 2 / np.where(y[use] == 1, y[use].sum(), (1 - y[use]).sum())
+            w = w + 0.002 * (own[use].T @ (share * (y[use] - 1 / (1 + np.exp(-own[use] @ w)))) - np.r_[w[:-1], 0])
         score[fold == f] = (own @ w)[fold == f]
     a, b = score[y == 1], score[y == 0]
     return float(np.mean((a[:, None] > b) + (a[:, None] == b) / 2))
