@@ -48,11 +48,10 @@ def words() -> list[Column]:
     return [_number(WORD_BITS * w, WORD_BITS).alias(f"w{w}") for w in range(HASH_BITS // WORD_BITS)]
 
 
-def near_hashes(hashed: DataFrame, key: str, most: int) -> DataFrame:
-    """Pairs a < b of keys whose bits differ in at most ``most`` places, with how many: exact.
+def _met(hashed: DataFrame, key: str, most: int) -> tuple[DataFrame, DataFrame]:
+    """k and first (the least key of equal bits) of every key, and pairs a < b of such firsts whose bits differ in at most ``most`` places, with how many.
 
-    Of most + 1 bands such a pair has one in common, so candidates come from an equi-join of 15-bit bands; keys of equal
-    bits meet once, through their least one.
+    Of most + 1 bands such a pair has one in common, so candidates come from an equi-join of bands.
     """
     same = hashed.groupBy("bits").agg(F.min(key).alias("first"))
     one = same.select("first", "bits", *words())
@@ -63,7 +62,21 @@ def near_hashes(hashed: DataFrame, key: str, most: int) -> DataFrame:
     left, right = (dealt.select("band", "value", F.col("first").alias(k), *[F.col(w).alias(f"{k}_{w}") for w in names]) for k in "ab")
     apart = reduce(lambda p, q: p + q, [F.bit_count(F.col(f"a_{w}").bitwiseXOR(F.col(f"b_{w}"))) for w in names])
     pairs = left.join(right, ["band", "value"]).where((F.col("a") < F.col("b")) & (apart <= most)).select("a", "b", apart.alias("bits")).distinct()
-    of = hashed.select(F.col(key).alias("k"), "bits").join(same, "bits").select("k", "first")
+    return hashed.select(F.col(key).alias("k"), "bits").join(same, "bits").select("k", "first"), pairs
+
+
+def hash_edges(hashed: DataFrame, key: str, most: int) -> DataFrame:
+    """Edges a, b that connect what near_hashes() connects: every key with the least one of its bits, and those with each other.
+
+    A group of m equal hashes gives m - 1 edges, not m * m.
+    """
+    of, pairs = _met(hashed, key, most)
+    return of.where("k != first").select(F.col("first").alias("a"), F.col("k").alias("b")).unionByName(pairs.select("a", "b"))
+
+
+def near_hashes(hashed: DataFrame, key: str, most: int) -> DataFrame:
+    """Pairs a < b of keys whose bits differ in at most ``most`` places, with how many: exact. All pairs of equal bits are in it; for components use hash_edges()."""
+    of, pairs = _met(hashed, key, most)
     firsts, seconds = of.toDF("ka", "a"), of.toDF("kb", "b")
     other = pairs.join(firsts, "a").join(seconds, "b").select(F.least("ka", "kb").alias("a"), F.greatest("ka", "kb").alias("b"), "bits")
     equal = of.toDF("ka", "first").join(of.toDF("kb", "first"), "first").where("ka < kb").select(F.col("ka").alias("a"), F.col("kb").alias("b"), F.lit(0).alias("bits"))
