@@ -149,10 +149,11 @@ def win_cumprod(spark, d):
 
 @query("SELECT o_orderstatus, count(*) AS n, round(avg(o_totalprice), 4) AS mean, round(stddev_samp(o_totalprice), 4) AS std, min(o_totalprice) AS low, round(quantile_cont(o_totalprice, 0.25), 4) AS q1, round(median(o_totalprice), 4) AS q2, round(quantile_cont(o_totalprice, 0.75), 4) AS q3, max(o_totalprice) AS high, round(count(*) / sum(count(*)) OVER (), 6) AS share FROM orders GROUP BY o_orderstatus")
 def agg_describe(spark, d):
-    v = "o_totalprice"
-    out = t.read(spark, d, "orders").groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.min(v).alias("low"), F.percentile(v, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("p"), F.max(v).alias("high"))
-    r4 = lambda e, k: F.round(e, 4).alias(k)
-    return out.select("o_orderstatus", "n", r4(F.col("mean"), "mean"), r4(F.col("std"), "std"), "low", *[r4(F.get("p", F.lit(i)), f"q{i + 1}") for i in range(3)], "high", r6(F.col("n") / F.sum("n").over(Window.partitionBy()), "share"))
+    v, rows = "o_totalprice", t.read(spark, d, "orders")
+    plain = rows.groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.min(v).alias("low"), F.max(v).alias("high"))
+    out = plain.join(F.broadcast(sampling.quantiles(rows, v, {"q1": 0.25, "q2": 0.5, "q3": 0.75}, ["o_orderstatus"]).drop("n")), "o_orderstatus", "left")  # a row a status
+    r4 = lambda k: F.round(k, 4).alias(k)
+    return out.select("o_orderstatus", "n", r4("mean"), r4("std"), "low", r4("q1"), r4("q2"), r4("q3"), "high", r6(F.col("n") / F.sum("n").over(Window.partitionBy()), "share"))
 
 
 @query("WITH n AS (SELECT floor(0.15 * count(*) FILTER (o_orderstatus = 'F') / 0.85)::BIGINT AS n FROM orders) SELECT o_orderkey FROM (SELECT o_orderkey, row_number() OVER (ORDER BY md5(o_orderkey::VARCHAR || '-7'), o_orderkey) AS r FROM orders WHERE o_orderstatus <> 'F'), n WHERE r <= n.n")
@@ -168,7 +169,7 @@ _EDGES = f"h AS (SELECT vec_id, {q._WORDS} FROM ({q._IMAGES})), ed AS (SELECT a.
 
 @query(f"WITH RECURSIVE {_EDGES}, reach(node, peer) AS (SELECT a, b FROM ed UNION SELECT reach.node, ed.b FROM reach JOIN ed ON reach.peer = ed.a) SELECT node, least(node, min(peer)) AS component FROM reach GROUP BY node")
 def gr_dup_clusters(spark, d):
-    return graph.components(q.QUERIES["jn_hamming"](spark, d))
+    return graph.components(graph.hash_edges(q._gradient_hash(spark, d), "vec_id", 16))
 
 
 @query("WITH r AS (SELECT abs(o_totalprice / 1000 - round(o_totalprice / 1000 + (o_orderkey * 7919) % 97 - 48, 2)) AS e FROM orders), k AS (SELECT e, row_number() OVER (ORDER BY e) - 1 AS i, count(*) OVER () AS n FROM r), h AS (SELECT max((n - 1) * least(1, ceil((n + 1) * 0.9) / n)) AS h FROM k) SELECT count(*) AS n, round(max(e) FILTER (i = floor(h)) + (h.h - floor(h.h)) * (max(e) FILTER (i = ceil(h)) - max(e) FILTER (i = floor(h))), 4) AS q, round(sqrt(avg(e * e)), 4) AS sigma FROM k, h GROUP BY h.h")

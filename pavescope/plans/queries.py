@@ -365,7 +365,11 @@ def agg_latest(spark, d):
 
 @query("SELECT l_returnflag, count(*) FILTER (l_linestatus = 'F') AS \"F\", count(*) FILTER (l_linestatus = 'O') AS \"O\", round(stddev_samp(l_tax), 6) AS sd1, round(stddev_pop(l_tax), 6) AS sd0, round(median(l_quantity), 6) AS med, round(quantile_cont(l_extendedprice, 0.85), 4) AS p85, count(DISTINCT l_suppkey) AS suppliers FROM lineitem GROUP BY l_returnflag")
 def agg_pivot(spark, d):
-    return t.read(spark, d, "lineitem").groupBy("l_returnflag").agg(F.count_if(F.col("l_linestatus") == "F").alias("F"), F.count_if(F.col("l_linestatus") == "O").alias("O"), r6(F.stddev_samp("l_tax"), "sd1"), r6(F.stddev_pop("l_tax"), "sd0"), r6(F.median("l_quantity"), "med"), F.round(F.percentile("l_extendedprice", F.lit(0.85)), 4).alias("p85"), F.count_distinct("l_suppkey").alias("suppliers"))
+    rows, key = t.read(spark, d, "lineitem"), "l_returnflag"
+    plain = rows.groupBy(key).agg(F.count_if(F.col("l_linestatus") == "F").alias("F"), F.count_if(F.col("l_linestatus") == "O").alias("O"), r6(F.stddev_samp("l_tax"), "sd1"), r6(F.stddev_pop("l_tax"), "sd0"), F.count_distinct("l_suppkey").alias("suppliers"))
+    med = sampling.quantiles(rows, "l_quantity", {"med": 0.5}, [key]).select(key, r6("med"))
+    p85 = sampling.quantiles(rows, "l_extendedprice", {"p85": 0.85}, [key]).select(key, F.round("p85", 4).alias("p85"))
+    return plain.join(F.broadcast(med), key, "left").join(F.broadcast(p85), key, "left")  # a row a flag
 
 
 @query("SELECT o_orderstatus, o_orderpriority, count(*) AS n, grouping(o_orderstatus, o_orderpriority) AS margin FROM orders GROUP BY CUBE (o_orderstatus, o_orderpriority)")

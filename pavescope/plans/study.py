@@ -181,7 +181,16 @@ def gr_sequentiality(spark, d):
     return both.withColumn("sequential", F.col("near") < 0.5 * F.col("random"))
 
 
-@query()
+_TOUR = (
+    f"WITH RECURSIVE h AS (SELECT vec_id, label, {q._WORDS} FROM ({q._IMAGES})), "
+    "go(label, vec_id, pos, seen) AS (SELECT label, min(vec_id), 0::BIGINT, [min(vec_id)] FROM h GROUP BY label UNION ALL "
+    f"SELECT g.label, arg_min(b.vec_id, (({q._FAR}), b.vec_id)), any_value(g.pos) + 1, list_append(any_value(g.seen), arg_min(b.vec_id, (({q._FAR}), b.vec_id))) "
+    "FROM go g JOIN h a ON a.vec_id = g.vec_id JOIN h b ON b.label = g.label AND NOT list_contains(g.seen, b.vec_id) GROUP BY g.label) "
+    "SELECT label, vec_id, pos AS chain_pos FROM go"
+)
+
+
+@query(_TOUR)
 def gr_chain(spark, d):
     """The greedy tour through each label's images."""
     return study.chained(q._gradient_hash(spark, d), "label", "vec_id")
@@ -350,8 +359,10 @@ def agg_multi(spark, d):
 @query("SELECT o_orderstatus AS source, o_orderpriority AS country, count(*) AS n, CASE WHEN o_orderstatus = 'F' THEN count(*) FILTER (o_totalprice > 200000) END AS damaged, trunc(median(o_custkey))::BIGINT AS middle FROM orders GROUP BY 1, 2")
 def agg_profile(spark, d):
     """A profile by source and country; sources without labels have nulls."""
-    g = t.read(spark, d, "orders").groupBy(F.col("o_orderstatus").alias("source"), F.col("o_orderpriority").alias("country"))
-    return g.agg(F.count(F.lit(1)).alias("n"), F.when(F.first("o_orderstatus") == "F", F.count_if(F.col("o_totalprice") > 200000)).alias("damaged"), F.median("o_custkey").cast("long").alias("middle"))
+    keys, rows = ["source", "country"], t.read(spark, d, "orders").withColumnsRenamed({"o_orderstatus": "source", "o_orderpriority": "country"})
+    plain = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("o_totalprice") > 200000).alias("_over"))
+    middle = sampling.quantiles(rows, "o_custkey", {"middle": 0.5}, keys).select(*keys, F.col("middle").cast("long").alias("middle"))
+    return plain.join(middle, keys, "left").select(*keys, "n", F.when(F.col("source") == "F", F.col("_over")).alias("damaged"), "middle")
 
 
 @query("SELECT c_nationkey, c_custkey % 7 AS part, sum(CASE WHEN c_acctbal < -900 THEN c_acctbal END) AS debt FROM customer GROUP BY 1, 2")
