@@ -35,6 +35,8 @@ DAMAGE_TEXT = {"D00": "grieta longitudinal", "D10": "grieta transversal", "D20":
 CRASH_WEIGHT = {"SOLO DANOS": 1, "CON HERIDOS": 3, "CON MUERTOS": 10}
 CRASH_AREA = ((3.5, 5.0), (-75.0, -73.5))
 CENTRE = (4.598, -74.076)
+# Radii in metres around a point by what is counted, and years of crashes that count.
+RADII, CRASH_YEARS = {"colegio": (300, 500), "ips": (500, 1000), "hospital": (1000,), "siniestros": (100, 250)}, 3
 # Columns of the city's table of road priorities, as its file names them and as they are named here.
 ROAD_SCORES = {
     "PUNTAJE_DP": "p_poblacion", "PUNTAJE__1": "p_densidad", "PUNTAJE_PE": "p_peticiones", "PUNTAJE_SI": "p_sitios_sociales", "PUNTAJE_US": "p_uso_social",

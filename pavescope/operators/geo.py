@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .. import config as c
 from ..functions import exprs as x
 from ..session import cut
 from . import sampling
@@ -75,6 +76,51 @@ def percentile_of(values: DataFrame, refs: DataFrame, value: str, ref: str, name
     return values.join(upto, values[value].cast("double") == upto["v"], "left").drop("v")
 
 
+def around(points: DataFrame, refs: DataFrame, prefix: str, radii: tuple[float, ...], weight: str | None = None) -> DataFrame:
+    """id, dist_<prefix>_m (of the nearest reference, however far), <prefix>_<r>m (how many within r metres) and, with weight, <prefix>_pond_<r>m (their sum of it).
+
+    All radii come from one join at the widest of them. Points without a coordinate, and all where there are no references,
+    have a null distance and zeros.
+    """
+    more = [F.sum(F.when(F.col("d") <= r, F.col(f"ref_{weight}"))).cast("double").alias(f"{prefix}_pond_{r}m") for r in radii] if weight else []
+    near = pairs_within(points, refs, float(max(radii))).groupBy("id").agg(*[F.count_if(F.col("d") <= r).alias(f"{prefix}_{r}m") for r in radii], *more)
+    out = points.select("id").join(near, "id", "left").fillna(0, [k for k in near.columns if k != "id"])
+    return out.join(nearest(points, refs, float(max(radii))).select("id", F.col("nearest_m").alias(f"dist_{prefix}_m")), "id", "left")
+
+
+def context(points: DataFrame, schools: DataFrame, health: DataFrame, crashes: DataFrame) -> DataFrame:
+    """Surroundings of points (id, lat, lon): schools, health centres, hospitals (health.hospital) and crashes of the last years (crashes.anio, peso), and the centre's distance.
+
+    The last years are CRASH_YEARS up to the latest year that any crash has; crashes without a year are left out. Points' ids must be unique.
+    """
+    latest = crashes.agg(F.max("anio").alias("_latest"))
+    recent = crashes.crossJoin(F.broadcast(latest)).where(F.col("anio") >= F.col("_latest") - c.CRASH_YEARS + 1).drop("_latest")  # one row
+    groups = (("colegio", schools, None), ("ips", health, None), ("hospital", health.where("hospital"), None), ("siniestros", recent, "peso"))
+    out = points
+    for prefix, refs, weight in groups:
+        out = out.join(around(points.select("id", "lat", "lon"), refs, prefix, c.RADII[prefix], weight), "id", "left")
+    return out.withColumn("dist_centro_m", x.haversine(F.col("lat"), F.col("lon"), F.lit(c.CENTRE[0]), F.lit(c.CENTRE[1])))
+
+
+def whole_priority(segments: DataFrame, roads: DataFrame) -> DataFrame:
+    """segments with their percentile scores, importance, priority and level, what is missing filled first.
+
+    segments: id, icv, dim_social, malla, rutas, crashes, rain, school_m, hospital_m. roads, the reference of social value and
+    mobility: dim_social, malla, rutas. Missing social values and mobility take the roads' median, missing rain the segments'
+    median, missing crashes 0; a missing distance earns nothing. Scores of crashes and rain are among the segments' own known values.
+    """
+    moved = lambda df: df.withColumn("_moved", F.col("malla") + F.col("rutas"))
+    roads, own = moved(roads), moved(segments)
+    middle = lambda df, k: sampling.quantiles(df, k, {f"_mid_{k}": 0.5})
+    mids = middle(roads, "dim_social").crossJoin(middle(roads, "_moved")).crossJoin(middle(segments, "rain"))  # one row each
+    fills = {"_s": F.coalesce("dim_social", "_mid_dim_social"), "_m": F.coalesce("_moved", "_mid__moved"), "_c": F.coalesce("crashes", F.lit(0)), "_r": F.coalesce("rain", "_mid_rain")}
+    out = own.crossJoin(F.broadcast(mids)).withColumns(fills)
+    for value, refs, ref, name in (("_s", roads, "dim_social", "social"), ("_m", roads, "_moved", "mobility"), ("_c", segments, "crashes", "safety"), ("_r", segments, "rain", "score_rain")):
+        out = percentile_of(out, refs, value, ref, name)
+    ranked = out.select(*[k for k in segments.columns if k != "rain"], "social", "mobility", "safety", F.col("score_rain").alias("rain"))
+    return priority(ranked).withColumnRenamed("rain", "score_rain")
+
+
 def priority(segments: DataFrame) -> DataFrame:
     """importance, priority (0 to 100) and level of segments with icv, social, mobility, safety, rain (0 to 100), school_m and hospital_m."""
     importance = (0.4 * F.col("social") + 0.35 * F.col("mobility") + 0.25 * F.col("safety")) / (0.4 + 0.35 + 0.25)
