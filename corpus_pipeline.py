@@ -16,9 +16,18 @@ SHINGLE, LEAST = 5, 80
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without the documents whose score reaches the threshold."""
-    model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return toxicity.scored(docs, model, "_toxicity").where(F.col("_toxicity") < toxicity.THRESHOLD).drop("_toxicity")
+    """Without the documents whose score reaches the threshold.
+
+    Null texts are scored as empty ones, rows that repeat are scored alike and all stay or go, an empty table stays empty,
+    and all columns stay, whatever their names. Whole texts go to Python in small batches, here and in training, so the
+    rows are written inside.
+    """
+    name = "_toxicity"
+    while name in docs.columns:
+        name += "_"
+    with text.text_batches(spark):
+        model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+        return text.written(toxicity.scored(docs, model, name).where(F.col(name) < toxicity.THRESHOLD).drop(name), "pipeline-clean")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
