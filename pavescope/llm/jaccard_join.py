@@ -172,7 +172,7 @@ class Join:
         docs = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
         rarity, _ = sketch.corpus_counts(docs, lambda words: shingles(words, k)[1], bits=RARITY_BITS, as_kept=_rarity)
         sent = self.spark.sparkContext.broadcast(rarity)
-        prints = docs.mapInArrow(lambda batches: _prints(sent.value, k, least)(batches), "doc_id long, text_hash long, n long, a long, b long, pivots array<long>")
+        prints = docs.mapInArrow(lambda batches: tx.given_back(_prints(sent.value, k, least)(batches)), "doc_id long, text_hash long, n long, a long, b long, pivots array<long>")
         with tx.text_batches(self.spark):
             prints = tx.written(prints, "jaccard-prints")
         sent.destroy()  # what was made with it is written
@@ -215,7 +215,7 @@ class Join:
         # a bit for each wanted document, so that only their sets are written and no texts are shuffled
         bits = self.spark.sparkContext.broadcast(sketch.marks(wanted, "mark"))
         k = self.k
-        sets = self.docs.mapInArrow(lambda batches: _sets(bits.value, k)(batches), "doc_id long, text_hash long, items binary")
+        sets = self.docs.mapInArrow(lambda batches: tx.given_back(_sets(bits.value, k)(batches)), "doc_id long, text_hash long, items binary")
         with tx.text_batches(self.spark):
             sets = tx.written(sets.dropDuplicates(["doc_id", "text_hash"]) if self._repeated() else sets, "jaccard-sets")
         bits.destroy()

@@ -7,6 +7,7 @@ the matches of ``[^\\x20\\x09-\\x0D]+``. All hashing is vectorised over the byte
 from __future__ import annotations
 
 import contextlib
+import ctypes
 import functools
 import uuid
 from collections.abc import Iterator
@@ -237,6 +238,18 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.Re
             yield whole.slice(a, rows)
 
 
+def given_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same batches; after the last one the worker hands what it has freed back to the system.
+
+    Workers stay alive between stages, beside a JVM that needs the executor's memory next.
+    """
+    yield from batches
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
+    if trim is not None:
+        trim(0)
+
+
 def sorted_docs(table: pa.Table) -> pa.Table:
     """Documents by doc_id (nulls last), rows of one doc_id by text (nulls last)."""
     order = pc.sort_indices(table, sort_keys=[("doc_id", "ascending"), ("text", "ascending")], null_placement="at_end")

@@ -219,7 +219,7 @@ def scored(docs: DataFrame, model: Model, name: str = "toxicity") -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, scores], [*batch.schema.names, name])
 
     schema = StructType([*docs.schema.fields, StructField(name, DoubleType())])
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(lambda batches: tx.given_back(run(batches)), schema)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
