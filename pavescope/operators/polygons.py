@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from ..session import cut
+
 #: Metres of a degree, as the distance to the nearest polygon is judged; metres to it that still count.
 FLAT_DEGREE, NEAR_M = 111_000.0, 15.0
 
@@ -86,11 +88,17 @@ def nearest_edges(points: DataFrame, polygons: DataFrame, reach_m: float = NEAR_
 
 
 def placed(points: DataFrame, polygons: DataFrame, cell: float, reach_m: float = NEAR_M) -> DataFrame:
-    """points (id, lon, lat and more) with the least polygon that holds each, or else the nearest within reach_m; null for others."""
-    inside = holding(points, polygons, cell).groupBy("id").agg(F.min("polygon").alias("_in"))
-    out = points.join(inside, "id", "left")
-    near = nearest_edges(out.where("_in IS NULL"), polygons, reach_m).select("id", F.col("polygon").alias("_near"))
-    return out.join(near, "id", "left").withColumn("polygon", F.coalesce("_in", "_near")).drop("_in", "_near")
+    """points (id, lon, lat and more) with the least polygon that holds each, or else the nearest within reach_m; null for others.
+
+    Points of one place are judged once, and so are polygons of the same rings, as the least of them: it stands for the others in both choices.
+    """
+    n = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    shapes = cut(polygons.groupBy("rings").agg(F.min("polygon").alias("polygon")))
+    spots = cut(_known(points).select("lon", "lat").distinct().withColumn("id", F.monotonically_increasing_id()).repartition(n))
+    inside = cut(holding(spots, shapes, cell).groupBy("id").agg(F.min("polygon").alias("_in")))
+    near = nearest_edges(spots.join(inside, "id", "left_anti").repartition(n), shapes, reach_m).select("id", F.col("polygon").alias("_near"))
+    found = spots.join(inside, "id", "left").join(near, "id", "left").select("lon", "lat", F.coalesce("_in", "_near").alias("polygon"))
+    return points.join(found, ["lon", "lat"], "left").select(*points.columns, "polygon")
 
 
 def majority(placed_points: DataFrame, group: str) -> DataFrame:

@@ -1,9 +1,11 @@
 """Steps over many rows of few places, of few values or of one key: the work grows with what differs, and results stay those of plain loops."""
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
-from pavescope.operators import geo
+from pavescope.operators import fusion, geo, polygons
 
 POINT = "id long, lat double, lon double"
 
@@ -41,3 +43,23 @@ def test_context_judges_places_once(spark, met):
     got = geo.context(_crowd(spark, 4.6).drop("w"), crowd, crowd.withColumn("hospital", F.col("id") < 9), crowd.withColumn("anio", F.lit(2020)).withColumnRenamed("w", "peso")).collect()
     assert len(got) == 300 and {(r["colegio_300m"], r["ips_500m"], r["hospital_1000m"], r["siniestros_250m"], r["siniestros_pond_250m"]) for r in got} == {(300, 300, 9, 300, 300.0)}
     assert max(met) == 1
+
+
+def test_placed_judges_places_and_rings_once(spark, monkeypatch):
+    seen, plain = [], polygons.holding
+    monkeypatch.setattr(polygons, "holding", lambda points, shapes, cell: (seen.append((points.count(), shapes.count())), plain(points, shapes, cell))[1])
+    square = [[[[0.0, 0.0], [0.0, 1.0], [1.0, 1.0], [1.0, 0.0]]]]
+    shapes = spark.createDataFrame([(k, *square) for k in range(5, 45)], "polygon long, rings array<array<array<double>>>")
+    points = spark.range(300).select("id", F.lit(0.5).alias("lon"), F.lit(0.5).alias("lat"))
+    got = polygons.placed(points, shapes, 0.2).collect()
+    assert len(got) == 300 and {r["polygon"] for r in got} == {5} and seen == [(1, 1)]
+    beside = polygons.placed(points.withColumn("lon", F.lit(1.0001)), shapes, 0.2, 60.0).collect()
+    assert len(beside) == 300 and {r["polygon"] for r in beside} == {5}
+
+
+def test_state_shares_of_many_rows(spark):
+    """Terms of the series are added for a batch of rows at a time."""
+    rows = spark.range(0, 60_000, 1, 1).select((F.col("id") % 100).cast("double").alias("s"))
+    began = time.time()
+    assert rows.select(*fusion.state_shares(F.col("s"), F.lit(7.0))).agg(F.sum("p_malo")).first()[0] > 0
+    assert time.time() - began < 15
