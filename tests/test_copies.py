@@ -5,7 +5,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from pavescope.operators import fusion, geo, polygons
+from pavescope.operators import fusion, geo, polygons, study
 
 POINT = "id long, lat double, lon double"
 
@@ -63,3 +63,18 @@ def test_state_shares_of_many_rows(spark):
     began = time.time()
     assert rows.select(*fusion.state_shares(F.col("s"), F.lit(7.0))).agg(F.sum("p_malo")).first()[0] > 0
     assert time.time() - began < 15
+
+
+def test_replaced_draws(spark, monkeypatch):
+    """As draws made one by one: as many as groups in every resample, over several blocks and lots."""
+    monkeypatch.setattr(study, "BLOCK", 128)
+    n, reps, values = 300, 60, [float((i * 37) % 101) for i in range(300)]
+    groups = spark.createDataFrame([(5 * i, v) for i, v in enumerate(values)], "g long, v double").repartition(5)
+    got = {r["rep"]: r for r in study.replaced_sums(groups, "g", ["v"], reps).collect()}
+    for rep in range(reps):
+        took = []
+        for i in range(n):
+            h = (i * 48_271 + rep * 69_621 + 12_345) % study.PRIME * 16_807 % study.PRIME
+            took.append((h ^ (h >> 13)) * 39_373 % study.PRIME * 48_271 % study.PRIME % n)
+        assert (got[rep]["times"], got[rep]["groups"]) == (n, len(set(took))) and got[rep]["v"] == pytest.approx(sum(values[i] for i in took))
+    assert study.replaced_sums(groups.limit(0), "g", ["v"], reps).count() == 0
