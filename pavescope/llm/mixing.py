@@ -118,6 +118,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
     played = m.pieces.join(uses, ["src", "block"])
     taken = played.groupBy("src", "row", "doc_id", "start", "size").agg(*[F.sum(F.when(F.col("uses") > p, F.col("in_pass")[p]).otherwise(0)).alias(f"p{p}") for p in range(MOST_PASSES)])
     taken = taken.select("src", "doc_id", "row", "size", sum((F.col(f"p{p}") for p in range(1, MOST_PASSES)), F.col("p0")).alias("taken"), F.array(*[f"p{p}" for p in range(MOST_PASSES)]).alias("passes"))
+    taken = tx.written(taken, "mixing-taken")  # read twice: the schedule is planned and run once
     # rows that took nothing: as many as the sized rows have more than the taken ones of the same key
     have = taken.groupBy("src", "row", F.coalesce("doc_id", F.lit(-1)).alias("k"), F.col("doc_id").isNull().alias("null_id")).agg(F.count(F.lit(1)).alias("have"))
     all_rows = m.sized.groupBy("src", "row", F.coalesce("doc_id", F.lit(-1)).alias("k"), F.col("doc_id").isNull().alias("null_id"), "size").agg(F.count(F.lit(1)).alias("n"))

@@ -64,3 +64,9 @@ def test_targets_are_met_with_large_blocks(spark, monkeypatch):
         assert all(0 <= p <= r["size"] for p in r.passes) and r.taken == sum(r.passes)
         by[r.source_size, r.target] = by.get((r.source_size, r.target), 0) + r.taken
     assert by == {(s, t): round(t) for _, s, t in m.sources}
+
+
+def test_schedule_is_planned_once(spark):
+    """The rows that took nothing are found from the taken ones as written, not by another run of the schedule."""
+    docs = spark.createDataFrame([(i, "a b c", "xy"[i % 2]) for i in range(20)], "doc_id long, text string, source string")
+    assert "Window" not in mixing.mix(docs)._jdf.queryExecution().optimizedPlan().toString()
