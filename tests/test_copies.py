@@ -5,7 +5,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from pavescope.operators import fusion, geo, polygons, study
+from pavescope.operators import fusion, geo, polygons, sampling, study
 
 POINT = "id long, lat double, lon double"
 
@@ -78,3 +78,14 @@ def test_replaced_draws(spark, monkeypatch):
             took.append((h ^ (h >> 13)) * 39_373 % study.PRIME * 48_271 % study.PRIME % n)
         assert (got[rep]["times"], got[rep]["groups"]) == (n, len(set(took))) and got[rep]["v"] == pytest.approx(sum(values[i] for i in took))
     assert study.replaced_sums(groups.limit(0), "g", ["v"], reps).count() == 0
+
+
+def test_quantiles_of_many_keys_stay_in_tasks(spark, monkeypatch):
+    """Totals go to every task only where keys are few; the quantiles are the same."""
+    rows = spark.range(400).select((F.col("id") % 40).alias("k"), (F.col("id") * 7 % 400).cast("double").alias("v"))
+    few = sampling.quantiles(rows, "v", {"m": 0.5}, ["k"])
+    monkeypatch.setattr(sampling, "FEW_KEYS", 39)
+    many = sampling.quantiles(rows, "v", {"m": 0.5}, ["k"])
+    assert sorted(map(tuple, few.collect())) == sorted(map(tuple, many.collect())) and many.count() == 40
+    strategies = [df._jdf.queryExecution().analyzed().toString().count("strategy=broadcast") for df in (few, many)]
+    assert strategies[0] == strategies[1] + 1
