@@ -32,3 +32,19 @@ def test_boosted_reads_its_frames_once(spark):
     rows = spark.createDataFrame([(i, i % 6, "fusion" if i % 2 else "test", float(i % 5), float(i % 5 * 9)) for i in range(80)], "image_id long, segment_id long, split string, a double, icv double")
     assert baselines.boosted(rows.mapInArrow(counted, rows.schema), ["a"], settings=trees.Settings(rounds=3, least=2)).count() == 6
     assert read.value == 80
+
+
+def cells(box):
+    _, _, _, _, _, _, cx, cy, w, h = box
+    low, high = (lambda m, n: max(0, int((m - n / 2) * 64))), (lambda m, n: min(64, -int(-(m + n / 2) * 64 // 1)))
+    return {(u, v) for u in range(low(cx, w), high(cx, w)) for v in range(low(cy, h), high(cy, h))}
+
+
+def test_covered_moves_boxes_and_not_raster_rows(spark):
+    rows = some_boxes(300) + [(99, "D00", 0, 0, 0, 0.9, 0.5, 0.5, 2.0, 2.0), (98, "D00", 0, 0, 0, 0.9, 3.0, 0.5, 0.1, 0.1)]
+    got = vision.covered(spark.createDataFrame(rows, BOX))
+    assert plan(got).count("Exchange") == 1 and "Generate" not in plan(got)
+    want = {}
+    for b in rows:
+        want.setdefault(b[:2], set()).update(cells(b))
+    assert {(r["image_id"], r["cls"]): r["area"] for r in got.collect()} == {k: len(v) / 4096 for k, v in want.items() if v}
