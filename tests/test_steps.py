@@ -48,3 +48,20 @@ def test_covered_moves_boxes_and_not_raster_rows(spark):
     for b in rows:
         want.setdefault(b[:2], set()).update(cells(b))
     assert {(r["image_id"], r["cls"]): r["area"] for r in got.collect()} == {k: len(v) / 4096 for k, v in want.items() if v}
+
+
+def test_frame_features_unite_in_batches(spark):
+    """Unions of an image's boxes, by class and together, without nested array functions."""
+    rows = some_boxes(200)
+    cuts = spark.createDataFrame([(k, 1.0, 2.0) for k in c.CLASSES], "cls string, low double, high double")
+    out = vision.frame_features(spark.createDataFrame(rows, BOX), spark.createDataFrame([(i,) for i in range(14)], "image_id long"), cuts, {k: 0.3 for k in c.CLASSES})
+    assert "aggregate(" not in plan(out)
+    got = {r["image_id"]: r for r in out.collect()}
+    assert len(got) == 14 and got[13]["union_total"] == 0 and got[13]["n_D00"] == 0
+    for i in range(12):
+        hard = [b for b in rows if b[0] == i and b[5] >= 0.3]
+        assert got[i]["union_total"] == len(set().union(*map(cells, hard))) / 4096
+        for k in c.CLASSES:
+            own = [b for b in hard if b[1] == k]
+            assert got[i][f"union_{k}"] == len(set().union(*map(cells, own))) / 4096 and got[i][f"n_{k}"] == len(own)
+            assert got[i][f"area_mean_{k}"] == pytest.approx(sum(b[8] * b[9] for b in own) / max(len(own), 1))
