@@ -65,3 +65,27 @@ def test_frame_features_unite_in_batches(spark):
             own = [b for b in hard if b[1] == k]
             assert got[i][f"union_{k}"] == len(set().union(*map(cells, own))) / 4096 and got[i][f"n_{k}"] == len(own)
             assert got[i][f"area_mean_{k}"] == pytest.approx(sum(b[8] * b[9] for b in own) / max(len(own), 1))
+
+
+def iou(a, b, shift=0.0):
+    span = lambda i, n, s: max(0.0, min(a[i] + a[n] / 2, b[i] + s + b[n] / 2) - max(a[i] - a[n] / 2, b[i] + s - b[n] / 2))
+    both = span(6, 8, 0.0) * span(7, 9, shift)
+    return both / (a[8] * a[9] + b[8] * b[9] - both + 1e-9)
+
+
+def test_limits_deal_boxes_to_stretches(spark):
+    """One join, with the frames; a partner without a confidence still lets a box stay."""
+    rows = [*some_boxes(400, 600, 5), (700, "D40", 0, 0, 0, 0.8, 0.5, 0.6, 0.2, 0.2), (701, "D40", 1, 0, 0, None, 0.5, 0.6, 0.2, 0.2)]
+    frames = spark.createDataFrame([(i, 7, i) for i in range(702)], "image_id long, segment_id long, chain_pos int")
+    got = bx.limits(spark.createDataFrame(rows, BOX), frames)
+    assert plan(got).count("Join") == 1
+    tau = lambda b: None if b[5] is None else b[5] / c.TAU_FIELD[b[1]]
+    inside = [b for b in rows if not (b[1] == "D10" and b[8] > 0.5 and b[9] < 0.15) and b[7] > 0.35 and abs(b[6] - 0.5) < 0.38 + 0.12 * b[7]]
+    want = {}
+    for a in inside:
+        near = [tau(b) for b in inside if a[1] == b[1] and 1 <= abs(a[0] - b[0]) <= c.NEIGHBOURS and max(iou(a, b, s) for s in (0.0, c.SHIFT, -c.SHIFT)) >= c.PERSIST_IOU]
+        if near:
+            want[a[2], a[0]] = min([t for t in (tau(a), max([t for t in near if t is not None], default=None)) if t is not None], default=None)
+    have = {(r["l_partkey"], r["image_id"]): r["limit"] for r in got.collect()}
+    assert have.keys() == want.keys() and len(want) > 20
+    assert all(have[k] == pytest.approx(v) for k, v in want.items() if v is not None)
