@@ -89,3 +89,14 @@ def test_limits_deal_boxes_to_stretches(spark):
     have = {(r["l_partkey"], r["image_id"]): r["limit"] for r in got.collect()}
     assert have.keys() == want.keys() and len(want) > 20
     assert all(have[k] == pytest.approx(v) for k, v in want.items() if v is not None)
+
+
+def test_consensus_joins_once(spark):
+    rows, other = some_boxes(120), [b[:5] + (b[5] * 0.9, b[6] + 0.1 * (b[2] % 3)) + b[7:] for b in some_boxes(120)]
+    judged = spark.createDataFrame([(*b, "" if b[2] % 4 else "2_banda") for b in rows], f"{BOX}, reason string")
+    got = bx.consensus(judged, [spark.createDataFrame(other, BOX), spark.createDataFrame(other[::2], BOX)], least=2)
+    assert plan(got).count("Join") == 1
+    seen = lambda b, scale: any(o[:2] == b[:2] and o[5] >= 0.6 * c.TAU_FIELD[b[1]] and iou(b, o) >= 0.5 for o in scale)
+    want = {b[2]: "2_banda" if b[2] % 4 == 0 else "" if seen(b, other) and seen(b, other[::2]) else "4_sin_consenso_escala" for b in rows}
+    assert {r["l_partkey"]: r["reason"] for r in got.collect()} == want
+    assert set(want.values()) == {"", "2_banda", "4_sin_consenso_escala"}
