@@ -34,6 +34,19 @@ def test_boosted_reads_its_frames_once(spark):
     assert read.value == 80
 
 
+def test_held_out_scores_read_predictions_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    rows = spark.createDataFrame([(i, float(i), float(i + i % 2)) for i in range(40)], "id long, a double, a_held double")
+    got = baselines.held_out_scores(rows.mapInArrow(counted, rows.schema), ["a"]).collect()
+    assert [(r["target"], r["n"]) for r in got] == [("a", 40)] and read.value == 40
+
+
 def cells(box):
     _, _, _, _, _, _, cx, cy, w, h = box
     low, high = (lambda m, n: max(0, int((m - n / 2) * 64))), (lambda m, n: min(64, -int(-(m + n / 2) * 64 // 1)))
