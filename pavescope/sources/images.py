@@ -8,6 +8,7 @@ from pyspark.sql import Window
 
 from .. import config as c
 from ..operators import sampling
+from ..session import cut
 
 NOTE = "size struct<width:int,height:int>, object array<struct<name:string,bndbox:struct<xmin:double,ymin:double,xmax:double,ymax:double>>>"
 
@@ -73,18 +74,16 @@ def lists(images: DataFrame, splits: DataFrame, negatives: float = 0.2, n_val: i
     """list, path: photos (image_id, path, has_damage) by split; 'train' with at most that share of photos without damage, 'val' so many
     of the fusion split, 'all' all of them. Picks are the least by MD5 of image and seed; photos without a split are in no list.
     """
-    df = splits.select("image_id", "split").join(images.select("image_id", "path", F.coalesce("has_damage", F.lit(False)).alias("has_damage")), "image_id")
+    # joined once and written: read for the room, the picks and the lists
+    df = cut(splits.select("image_id", "split").join(images.select("image_id", "path", F.coalesce("has_damage", F.lit(False)).alias("has_damage")), "image_id"))
     train = df.where("split = 'train'")
-    shown = train.where("has_damage")
-    room = int(negatives * shown.count() / (1 - negatives) + 1e-9)
-    fusion = df.where("split = 'fusion'")
-    parts = {"train": shown.unionByName(sampling.least_by_digest(train.where("NOT has_damage"), "image_id", seed, room)), "fusion": fusion, "val": sampling.least_by_digest(fusion, "image_id", seed, n_val)}
-    parts |= {k: df.where(F.col("split") == k) for k in ("test", "despliegue")} | {"all": df}
-    out = [rows.select(F.lit(k).alias("list"), "path") for k, rows in parts.items()]
-    whole = out[0]
-    for more in out[1:]:
-        whole = whole.unionByName(more)
-    return whole
+    room = int(negatives * train.where("has_damage").count() / (1 - negatives) + 1e-9)
+    picks = {"train": sampling.least_by_digest(train.where("NOT has_damage"), "image_id", seed, room), "val": sampling.least_by_digest(df.where("split = 'fusion'"), "image_id", seed, n_val)}
+    own = F.when(F.col("split").isin("fusion", "test", "despliegue") | (F.col("split") == "train") & F.col("has_damage"), F.col("split"))
+    out = df.select(F.explode(F.array_compact(F.array(F.lit("all"), own))).alias("list"), "path")
+    for name, rows in picks.items():
+        out = out.unionByName(rows.select(F.lit(name).alias("list"), "path"))
+    return out
 
 
 def write_lists(rows: DataFrame, folder: str) -> None:

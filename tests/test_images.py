@@ -61,3 +61,20 @@ def test_lists(spark, tmp_path):
         parts = sorted((tmp_path / "out" / f"list={name}").glob("part-*"))
         assert [line for p in parts for line in p.read_text().splitlines()] == sorted(paths)
     assert images.lists(photos.limit(0), splits).count() == 0
+
+
+def test_lists_join_once(spark):
+    """Room, picks and all lists come from one pass over the photos."""
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    photos = spark.createDataFrame([(i, f"p{i}", i % 2 == 0) for i in range(100)], "image_id long, path string, has_damage boolean")
+    splits = spark.createDataFrame([(i, ("train", "fusion", "test", "other", None)[i % 5]) for i in range(100)], "image_id long, split string")
+    made = images.lists(photos.mapInArrow(counted, photos.schema), splits, 0.2, 5, 1)
+    by = {k: sorted(r["path"] for r in made.collect() if r["list"] == k) for k in ("train", "val", "fusion", "test", "other", "all")}
+    assert [len(by[k]) for k in by] == [12, 5, 20, 20, 0, 100] and by["test"] == sorted(f"p{i}" for i in range(2, 100, 5))
+    assert read.value == 100
