@@ -5,7 +5,7 @@ import random
 import pytest
 
 from pavescope import config as c
-from pavescope.operators import baselines, trees, vision
+from pavescope.operators import baselines, field, tracks, trees, vision
 from pavescope.operators import boxes as bx
 
 BOX = "image_id long, cls string, l_partkey long, l_suppkey long, l_linenumber int, conf double, cx double, cy double, w double, h double"
@@ -113,3 +113,54 @@ def test_consensus_joins_once(spark):
     want = {b[2]: "2_banda" if b[2] % 4 == 0 else "" if seen(b, other) and seen(b, other[::2]) else "4_sin_consenso_escala" for b in rows}
     assert {r["l_partkey"]: r["reason"] for r in got.collect()} == want
     assert set(want.values()) == {"", "2_banda", "4_sin_consenso_escala"}
+
+
+def test_lasting_boxes_as_pair_by_pair(spark):
+    """Batches say what the pairwise test says; boxes with a null or NaN are left to that test."""
+    rows = [(*b[:6], b[6], b[7], b[8], b[9]) for b in some_boxes(500, 60, 11)]
+    rows += [(i, "D40", 900 + i, 0, 0, 0.9, 0.5, 0.6, w, 0.2) for i, w in enumerate((None, float("nan"), 0.2, 0.2))]
+    frames = spark.createDataFrame([(i, i // 30, i % 30) for i in range(60)], "image_id long, segment_id long, chain_pos int")
+    boxes = spark.createDataFrame(rows, BOX)
+    got = bx.filtered(boxes, frames)
+    assert "ArrowEvalPython" in plan(got)
+    sound = [b for b in rows if b[8] is not None and b[8] == b[8]]
+    early = lambda b: "1_confianza" if b[5] < c.TAU_FIELD[b[1]] else "2_banda" if b[1] == "D10" and b[8] > 0.5 and b[9] < 0.15 else "" if b[7] > 0.35 and abs(b[6] - 0.5) < 0.38 + 0.12 * b[7] else "2_fuera_de_via"
+    alive = [b for b in sound if not early(b)]
+    lasts = lambda a: any(a[1] == b[1] and a[0] // 30 == b[0] // 30 and 1 <= abs(a[0] - b[0]) <= c.NEIGHBOURS and max(iou(a, b, s) for s in (0.0, c.SHIFT, -c.SHIFT)) >= c.PERSIST_IOU for b in alive)
+    have = {r["l_partkey"]: r["reason"] for r in got.collect()}
+    want = {b[2]: early(b) or ("" if lasts(b) else "3_sin_persistencia") for b in sound if b[1] != "D40" or b[0] > 5}
+    assert {k: have[k] for k in want} == want and len(have) == len(rows) and {"", "3_sin_persistencia"} <= set(want.values())
+
+
+def test_near_in_time_looks_maxima_up(spark):
+    """The deepest of all readings within reach, ends and repeats included; no time is paired with the readings around it."""
+    r = random.Random(4)
+    readings = [(u, t, float(r.randrange(-8, 28)) if r.random() < 0.7 else None) for u in (1, 2, None) for t in [0.0, 1.0, *(r.random() for _ in range(150))]]
+    asked = [(u, i, i / n) for u in (1, 2, 3, None) for n in (1, 7, 33, 100) for i in range(n + 1)] + [(1, -1, None), (2, -2, -0.02), (2, -3, 1.02)]
+    got = tracks.near_in_time(spark.createDataFrame(asked, "user_id long, query long, q double"), spark.createDataFrame(readings + readings, "user_id long, t_norm double, depth double"))
+    assert "abs(" not in plan(got)
+    near = lambda u, q: [d for v, t, d in readings if None not in (u, q, d) and u == v and abs(t - q) <= 0.03]
+    key = lambda row: tuple((x is None, x or 0.0) for x in row)
+    assert sorted(map(tuple, got.select("user_id", "query", "q", "depth").collect()), key=key) == sorted([(u, i, q, max(near(u, q), default=None)) for u, i, q in asked], key=key)
+
+
+def test_via_table_reads_frames_once(spark):
+    """Sums and depth of stretches, sites and runs come from one pass, with the depth of depth_by_level()."""
+    kinds = ", ".join(f"{p}_{k} double" for p in ("rho", "conf") for k in c.CLASSES) + ", " + ", ".join(f"n_{k} int" for k in c.CLASSES)
+    rows = [(i, i % 4, i // 4, i % 3, None if i % 4 else i % 2, i / 40, *(float(i % 5) if i % 3 else 0.0 for _ in range(8)), *(i % 3,) * 4, 0.25, 0.5, None if i % 6 else float(i % 9)) for i in range(40)]
+    table = spark.createDataFrame(rows, f"image_id long, segment_id long, chain_pos int, user_id long, site long, t_norm double, {kinds}, area double, max_conf double, depth double")
+    readings = spark.createDataFrame([(i % 2, float(i) if i % 3 else None) for i in range(20)], "user_id long, depth double")
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    leveled = field.levels(table)
+    got = {(r["level"], r["id"]): r for r in field.via_table(leveled.mapInArrow(counted, leveled.schema), readings).collect()}
+    assert read.value == 80 and sum(r["n_frames"] for r in got.values()) == 80
+    keys = ("depth_max", "depth_mean", "depth_deep", "depth_source", "readings_valid", "readings")
+    assert {k: tuple(r[n] for n in keys) for k, r in got.items()} == {(r["level"], r["id"]): tuple(r[n] for n in keys) for r in field.depth_by_level(leveled, readings).collect()}
+    one = [r for r in rows if r[1] == 1]
+    assert got["prueba", "1"]["share_D00"] == pytest.approx(sum(r[14] > 0 for r in one) / len(one)) and got["prueba", "1"]["area_pct"] == pytest.approx(25.0)
