@@ -84,3 +84,16 @@ def test_trees_edge_cases(spark):
     assert len({r["fitted"] for r in blank.scored(df.select("a")).collect()}) == 1
     with pytest.raises(ValueError):
         none.scored(df.withColumnRenamed("y", "fitted"))
+
+
+def test_rows_of_one_partition_are_dealt_to_tasks(spark, monkeypatch):
+    """Rounds go through TASK_ROWS rows a task, about, however the rows lie; the trees are the same."""
+    rows = spark.createDataFrame([(float(i % 17), float(i * 7 % 23), float(i % 17 * 2 + i % 3)) for i in range(400)], "a double, b double, y double").coalesce(1)
+    seen, histograms = [], trees._histograms
+    monkeypatch.setattr(trees, "_histograms", lambda state, *rest: seen.append(state.rdd.getNumPartitions()) or histograms(state, *rest))
+    quick = trees.Settings(rounds=2, depth=2)
+    one = trees.fit(rows, ["a", "b"], "y", settings=quick)
+    monkeypatch.setattr(trees, "TASK_ROWS", 100)
+    many = trees.fit(rows, ["a", "b"], "y", settings=quick)
+    assert seen == [1] * 4 + [4] * 4
+    assert all((p == q).all() for a, b in zip(one.trees, many.trees) for p, q in zip(a, b))
