@@ -1,11 +1,14 @@
 """Steps over many rows of few places, of few values or of one key: the work grows with what differs, and results stay those of plain loops."""
 
+import math
 import time
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from pavescope.operators import fusion, geo, polygons, sampling, study
+from pavescope.plans import ORACLES, QUERIES
 
 POINT = "id long, lat double, lon double"
 
@@ -80,6 +83,39 @@ def test_replaced_draws(spark, monkeypatch):
     assert study.replaced_sums(groups.limit(0), "g", ["v"], reps).count() == 0
 
 
+def test_replaced_draws_of_odd_values(spark, monkeypatch):
+    """As SQL's sums and means: nulls are no zeros, a null key comes last, an infinity is that of the draws that hold it. Draws are dealt to tasks."""
+    monkeypatch.setattr(study, "BLOCK", 16)
+    monkeypatch.setattr(study, "DRAWS", 400)
+    n, reps = 40, 60
+    rows = [(i if i < n - 1 else None, None if i % 4 == 0 else math.inf if i == 21 else -math.inf if i == 22 else math.nan if i == 23 else float(i), None) for i in range(n)]
+    groups = spark.createDataFrame(rows, "g long, v double, w double").repartition(3)
+    sums = study.replaced_sums(groups, "g", ["v", "w"], reps)
+    seen = set()
+    for r in sums.collect():
+        drawn = []
+        for i in range(n):
+            h = (i * 48_271 + r["rep"] * 69_621 + 12_345) % study.PRIME * 16_807 % study.PRIME
+            drawn.append((h ^ (h >> 13)) * 39_373 % study.PRIME * 48_271 % study.PRIME % n)
+        known = [rows[i][1] for i in drawn if rows[i][1] is not None]
+        assert (r["times"], r["v_known"], r["w_known"], r["w"]) == (n, len(known), 0, None) and r["v"] == pytest.approx(sum(known), nan_ok=True)
+        seen.add(str(r["v"]) if not math.isfinite(r["v"]) else "finite")
+    assert seen == {"inf", "-inf", "nan", "finite"}
+
+
+def test_boot_rows_of_odd_balances(spark, tmp_path):
+    """ev_boot_rows is its SQL where balances or a key are null."""
+    supplier = spark.range(60).select(F.when(F.col("id") > 0, F.col("id")).alias("s_suppkey"), F.when(F.col("id") % 3 > 0, F.col("id") * F.col("id") + 0.5).alias("s_acctbal"))
+    empty = supplier.withColumn("s_acctbal", F.lit(None).cast("double"))
+    for name, df in (("some", supplier), ("none", empty)):
+        df.coalesce(1).write.parquet(f"{tmp_path}/{name}/supplier.parquet")
+        with duckdb.connect() as con:
+            con.sql(f"CREATE VIEW supplier AS SELECT * FROM '{tmp_path}/{name}/supplier.parquet/*.parquet'")
+            [want] = con.sql(ORACLES["ev_boot_rows"]).fetchall()
+        got = tuple(QUERIES["ev_boot_rows"](spark, f"{tmp_path}/{name}").first())
+        assert (got == want == (None, None)) if name == "none" else got == pytest.approx(want, abs=1e-4)
+
+
 def test_quantiles_of_many_keys_stay_in_tasks(spark, monkeypatch):
     """Totals go to every task only where keys are few; the quantiles are the same."""
     rows = spark.range(400).select((F.col("id") % 40).alias("k"), (F.col("id") * 7 % 400).cast("double").alias("v"))
