@@ -38,3 +38,25 @@ def test_importance(spark):
     assert lone["good_held"] is None and lone["good_predicted"] is not None
     scores = {r["target"]: r for r in baselines.held_out_scores(out, ["good", "noise"]).collect()}
     assert scores["good"]["r2"] > 0.8 and scores["good"]["spearman"] > 0.9 and scores["noise"]["r2"] < 0.1 and scores["good"]["n"] == 400
+
+
+def test_whole_rounds_of_scores(spark, sf, monkeypatch):
+    """The queries ask for every round of the method: 400 at a rate of 0.05."""
+    from pavescope.plans import learning
+
+    seen = rounds_asked(monkeypatch)
+    learning.sco_b2(spark, sf)
+    learning.sco_c1(spark, sf)
+    assert seen == [("icv", 400, 0.05)] * 2
+
+
+def rounds_asked(monkeypatch):
+    """What fits are asked for, in place of growing them."""
+    seen = []
+
+    def fit(rows, features, target, fold=None, folds=0, settings=S):
+        seen.append((target, settings.rounds, settings.rate))
+        return trees.Forest(features, [], folds, settings, np.full(folds + 1, np.nan))
+
+    monkeypatch.setattr(trees, "fit", fit)
+    return seen

@@ -97,3 +97,15 @@ def test_rows_of_one_partition_are_dealt_to_tasks(spark, monkeypatch):
     many = trees.fit(rows, ["a", "b"], "y", settings=quick)
     assert seen == [1] * 4 + [4] * 4
     assert all((p == q).all() for a, b in zip(one.trees, many.trees) for p, q in zip(a, b))
+
+
+def test_rounds_written_on_the_way_change_nothing(spark, monkeypatch):
+    """Predictions beside the rows are held and, each KEEP rounds, written; one tree follows from the other either way, and nothing stays held."""
+    _, df = table(spark, 200)
+    rows, held = df.repartition(3), lambda: spark.sparkContext._jsc.getPersistentRDDs().size()
+    before, quick = held(), trees.Settings(rounds=7, depth=2, least=5)
+    once = trees.fit(rows, ["a", "b", "c"], "y", "fold", 3, quick)
+    monkeypatch.setattr(trees, "KEEP", 2)
+    often = trees.fit(rows, ["a", "b", "c"], "y", "fold", 3, quick)
+    assert len(once.trees) == 7 and all((p == q).all() for a, b in zip(once.trees, often.trees) for p, q in zip(a, b))
+    assert held() == before
