@@ -50,6 +50,17 @@ def test_whole_rounds_of_scores(spark, sf, monkeypatch):
     assert seen == [("icv", 400, 0.05)] * 2
 
 
+def test_whole_rounds_of_importance(spark, monkeypatch):
+    """Each target by 300 rounds at a rate of 0.08."""
+    from pavescope.plans import learning
+
+    seen = rounds_asked(monkeypatch)
+    roads = spark.createDataFrame([(1, 4.5, -74.1, *[1.0] * 8)], "id long, lat double, lon double, " + ", ".join(f"`{k}` double" for k in [*learning._PLACE, *learning._TARGETS]))
+    monkeypatch.setattr(learning, "_roads", lambda spark, d: roads)
+    learning._important(spark, "")
+    assert sorted(seen) == [("index", 300, 0.08), ("social", 300, 0.08)]
+
+
 def rounds_asked(monkeypatch):
     """What fits are asked for, in place of growing them."""
     seen = []
