@@ -32,6 +32,26 @@ def test_correlations(spark):
     assert got["p"]["spearman"] == pytest.approx(np.corrcoef(ranks(a), ranks(b))[0, 1]) and got["p"]["pearson"] == pytest.approx(np.corrcoef(a, b)[0, 1])
 
 
+@pytest.mark.parametrize("block", [7, 64, 1 << 16])
+def test_rank_intervals(spark, monkeypatch, block):
+    """As resamples drawn and ranked one by one, with ties across blocks; in one block and in many."""
+    monkeypatch.setattr(quality.study, "BLOCK", block)
+    rng = np.random.default_rng(2)
+    rows = [("p", float(round(a, 1)), float(b)) for a, b in zip(rng.normal(size=90), rng.integers(0, 4, 90))] + [("q", float(a), float(a // 3)) for a in rng.integers(0, 9, 90)] + [("r", float(i), float(i % 3)) for i in range(20)] + [("flat", float(i), 1.0) for i in range(20)]
+    want, p = {}, quality.study.PRIME
+    for k in ("p", "q", "r"):
+        a, b = np.array(sorted(r[1:] for r in rows if r[0] == k)).T
+        i, rho = np.arange(len(a)), []
+        for rep in range(60):
+            h = (i * 48271 + rep * 69621 + 12345) % p * 16807 % p
+            at = ((h ^ (h >> 13)) * 39373 % p) * 48271 % p % len(a)
+            if len(set(a[at])) > 2 and len(set(b[at])) > 2:
+                rho.append(np.corrcoef(ranks(a[at]), ranks(b[at]))[0, 1])
+        want[k] = np.quantile(rho, [0.025, 0.975])
+    got = {r["k"]: (r["low"], r["high"]) for r in quality.rank_intervals(spark.createDataFrame(rows, "k string, a double, b double").repartition(5), "k", 60).collect()}
+    assert set(got) == set(want) and all(got[k] == pytest.approx(want[k]) for k in want)
+
+
 def test_repeats_and_presence(spark):
     rows = spark.createDataFrame([(1, 5.0, None, "a"), (1, 8.0, 2.0, "a"), (2, 1.0, 1.0, "a"), (2, 4.0, 3.0, "b"), (3, 1.0, 1.0, "a"), (None, 0.0, 0.0, "a")], "site long, s double, d double, label string")
     got = {(r["id"], r["metric"]): (r["value"], r["n"]) for r in quality.repeats(rows, ["s", "d"], {"agree": "label"}).collect()}
