@@ -43,3 +43,22 @@ def test_auroc(spark):
     assert got["far"]["auroc"] > 0.8
     assert domain.auroc(r, b.limit(0), "batch", "id", ["u"]).count() == 0
     assert [x["auroc"] for x in domain.auroc(r.limit(0), b.where("batch = 'far'"), "batch", "id", ["u"]).collect()] == [None]
+
+
+def test_small_batches_are_fitted_alone(spark, monkeypatch):
+    """No sums of small batches come to the driver, and areas are those of models fitted together; large batches are still fitted together."""
+    rng = np.random.default_rng(9)
+    ref = spark.createDataFrame([(i, *map(float, v)) for i, v in enumerate(rng.normal(size=(200, 2)))], "id long, u double, v double")
+    rows = [(500 + i, f"b{i % 4}", float(u) + i % 4, None if i % 11 == 0 else float(v)) for i, (u, v) in enumerate(rng.normal(size=(130, 2)))] + [(900 + i, "b9", 1.0, float(i)) for i in range(50)]
+    batches = spark.createDataFrame(rows, "id long, batch string, u double, v double").repartition(5)
+    found = lambda: {r["batch"]: (r["n"], pytest.approx(r["auroc"], abs=1e-9)) for r in domain.auroc(ref, batches, "batch", "id", ["u", "v"]).collect()}
+    steps, plain = [], domain._step
+    monkeypatch.setattr(domain, "_step", lambda rows, weights, *more: (steps.append(len(weights)), plain(rows, weights, *more))[1])
+    alone = found()
+    assert not steps and len(alone) == 5
+    monkeypatch.setattr(domain, "OWN", 40)  # the reference is larger
+    together = found()
+    assert set(steps) == {5} and {k: (n, a.expected) for k, (n, a) in together.items()} == alone
+    steps.clear()
+    ref = ref.limit(40)
+    assert len(found()) == 5 and set(steps) == {1}

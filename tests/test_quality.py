@@ -54,6 +54,29 @@ def test_rank_intervals(spark, monkeypatch, block):
     assert set(got) == set(want) and all(got[k] == pytest.approx(want[k]) for k in want)
 
 
+@pytest.mark.parametrize("block", [8, 1 << 16])
+def test_whole_resamples_as_by_blocks(spark, monkeypatch, block):
+    """Resamples made whole in a task shuffle no draws and end where those dealt to blocks do, with one long value of a, negatives and as many cells as pairs."""
+    monkeypatch.setattr(quality.study, "BLOCK", block)
+    rng = np.random.default_rng(3)
+    rows = [("long", float(max(i, 40)), float(i % 7)) for i in range(80)] + [("fine", float(a), float(round(a))) for a in rng.normal(size=80)] + [("other", float(a), float(b)) for a, b in rng.integers(-3, 3, (61, 2))]
+    pairs, dealt, plain = spark.createDataFrame(rows, "k string, a double, b double").repartition(5), [], quality._draws
+    monkeypatch.setattr(quality, "_draws", lambda *args: (dealt.append(args[0]), plain(*args))[1])
+    found = lambda: {r["k"]: (r["low"], r["high"]) for r in quality.rank_intervals(pairs, "k", 70).collect()}
+    whole = found()
+    assert not dealt and set(whole) == {"long", "fine", "other"}
+    monkeypatch.setattr(quality, "WHOLE", 70)  # some whole, some by blocks
+    mixed = found()
+    assert dealt == [80] and all(mixed[k] == pytest.approx(whole[k]) for k in whole)
+
+
+def test_places_are_those_drawn(spark):
+    i = np.array([0, 1, 2, 77_777, 999_999_937, 2**30])
+    for rep, n in ((0, 7), (1, 1), (1999, 33_554_432)):
+        want = [r[0] for r in spark.createDataFrame([(k, int(v)) for k, v in enumerate(i)], "k int, i long").orderBy("k").select(quality.study.drawn(F.col("i"), F.lit(rep).cast("long"), F.lit(n).cast("long"))).collect()]
+        assert quality._places((i * quality._BEFORE % quality.study.PRIME).astype(np.uint32), rep, n).tolist() == want
+
+
 def test_repeats_and_presence(spark):
     rows = spark.createDataFrame([(1, 5.0, None, "a"), (1, 8.0, 2.0, "a"), (2, 1.0, 1.0, "a"), (2, 4.0, 3.0, "b"), (3, 1.0, 1.0, "a"), (None, 0.0, 0.0, "a")], "site long, s double, d double, label string")
     got = {(r["id"], r["metric"]): (r["value"], r["n"]) for r in quality.repeats(rows, ["s", "d"], {"agree": "label"}).collect()}

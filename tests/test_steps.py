@@ -164,3 +164,21 @@ def test_via_table_reads_frames_once(spark):
     assert {k: tuple(r[n] for n in keys) for k, r in got.items()} == {(r["level"], r["id"]): tuple(r[n] for n in keys) for r in field.depth_by_level(leveled, readings).collect()}
     one = [r for r in rows if r[1] == 1]
     assert got["prueba", "1"]["share_D00"] == pytest.approx(sum(r[14] > 0 for r in one) / len(one)) and got["prueba", "1"]["area_pct"] == pytest.approx(25.0)
+
+
+def test_limits_as_pair_by_pair(spark):
+    """Partners' ratios come from batches; boxes with a null or NaN, or beside one, are left to the pairwise test."""
+    rows = some_boxes(500, 60, 12) + [(i, "D40", 900 + i, 0, 0, conf, 0.5, 0.6, w, 0.2) for i, (conf, w) in enumerate(((0.9, float("nan")), (float("nan"), 0.2), (0.9, 0.2), (0.8, 0.2)))]
+    frames = spark.createDataFrame([(i, i // 30, i % 30) for i in range(60)], "image_id long, segment_id long, chain_pos int")
+    got = bx.limits(spark.createDataFrame(rows, BOX), frames)
+    assert "ArrowEvalPython" in plan(got)
+    have = {(r["image_id"], r["l_partkey"]): r["limit"] for r in got.collect()}
+    inside = [b for b in rows if not (b[1] == "D10" and b[8] > 0.5 and b[9] < 0.15) and b[7] > 0.35 and abs(b[6] - 0.5) < 0.38 + 0.12 * b[7]]
+    want = {}
+    for a in inside:
+        near = [b for b in inside if a[1] == b[1] and a[0] // 30 == b[0] // 30 and 1 <= abs(a[0] - b[0]) <= c.NEIGHBOURS]
+        top = max((b[5] / c.TAU_FIELD[b[1]] for b in near if max(iou(a, b, s) for s in (0.0, c.SHIFT, -c.SHIFT)) >= c.PERSIST_IOU), default=None)
+        if top is not None and a[0] > 5:
+            want[a[0], a[2]] = min(a[5] / c.TAU_FIELD[a[1]], top)
+    assert {k: v for k, v in have.items() if k[0] > 5} == want and len(want) > 20
+    assert have[3, 903] == 0.8 / c.TAU_FIELD["D40"]  # beside it one of 0.9, and one without a confidence, which counts as the greatest
