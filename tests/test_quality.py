@@ -71,10 +71,10 @@ def test_whole_resamples_as_by_blocks(spark, monkeypatch, block):
 
 
 def test_places_are_those_drawn(spark):
-    i = np.array([0, 1, 2, 77_777, 999_999_937, 2**30])
-    for rep, n in ((0, 7), (1, 1), (1999, 33_554_432)):
+    for start, rep, n in ((0, 0, 7), (77_777, 1, 1), (2**25 - 9, 1999, 2**25)):
+        i = np.arange(start, start + 9)
         want = [r[0] for r in spark.createDataFrame([(k, int(v)) for k, v in enumerate(i)], "k int, i long").orderBy("k").select(quality.study.drawn(F.col("i"), F.lit(rep).cast("long"), F.lit(n).cast("long"))).collect()]
-        assert quality._places((i * quality._BEFORE % quality.study.PRIME).astype(np.uint32), rep, n).tolist() == want
+        assert quality._places(start, 9, rep, n).tolist() == want
 
 
 def test_repeats_and_presence(spark):
